@@ -151,7 +151,7 @@ class _PageParser(HTMLParser):
             try:
                 text = chr(code)
             except (ValueError, OverflowError):
-                text = "�"
+                text = "\ufffd"
         self._run.append(text)
 
     def _skip(self, data):

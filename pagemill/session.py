@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Pages are wide rows (tens of KB to MBs), so Arrow batches are bounded by bytes and
 # by a low row count, and input splits stay small enough for one Python worker.
@@ -29,19 +30,24 @@ def build_session(app: str = "pagemill", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if configured:
-        if not (current or "").startswith(configured):
-            context.setCheckpointDir(configured)
         return configured
-    if current:
-        return current
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pagemill-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = tempfile.mkdtemp(prefix="pagemill-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """*df* written once to the shared folder and read back.
+
+    Cuts the plan where a result is used several times; written files outlive lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
