@@ -16,7 +16,8 @@ from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
 
-_CHARSET = "r\"(?i)charset=[\\\"']?([\\w-]+)\""
+# Fixed value: how a charset is declared.
+_CHARSET = "'(?i)charset=[\"\\']?([\\\\w-]+)'"
 _HEAD_BYTES = 4096
 
 # Spellings of the character sets the JVM decodes.

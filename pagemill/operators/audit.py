@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.functions.times import epoch_micros, from_micros
 from pagemill.schemas import CACHE_TTL_SECONDS, DOMAIN_SPACING_MS, JOB_TTL_SECONDS, RATE_LIMIT_PER_MINUTE
 from pagemill.session import materialize
 from pagemill.shipping import ship_with_jobs
@@ -26,8 +27,7 @@ _MICROS = 1_000_000
 
 
 def _bucketed(requests: DataFrame, ts: str, seconds: int) -> DataFrame:
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return requests.withColumn("_us", micros).withColumn("_bucket", F.floor(F.col("_us") / (seconds * _MICROS)))
+    return requests.withColumn("_us", epoch_micros(requests, ts)).withColumn("_bucket", F.floor(F.col("_us") / (seconds * _MICROS)))
 
 
 def spacing_audit(requests: DataFrame, key: str, ts: str, order: str, min_gap_ms: int = DOMAIN_SPACING_MS,
@@ -70,7 +70,7 @@ def spacing_schedule(requests: DataFrame, key: str, ts: str, order: str, gap_ms:
     slot = lead + (F.col("_before") + F.col("_pos")) * gap
     return (
         rows.join(carried, [key, "_bucket"])
-        .withColumn("slot_ts", F.timestamp_micros(slot))
+        .withColumn("slot_ts", from_micros(requests, ts, slot))
         .drop("_us", "_bucket", "_pos", "_lead", "_before", "_carried")
     )
 
@@ -95,7 +95,7 @@ def latest_status(events: DataFrame, job: str, ts: str, order: str, fields: list
 
 def live_jobs(jobs: DataFrame, now: str, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
     """Jobs not finished, or finished at most *ttl_seconds* before *now* (an SQL expression)."""
-    age = F.unix_micros(F.expr(now)) - F.unix_micros("finished_at")
+    age = F.unix_micros(F.expr(now)) - epoch_micros(jobs, "finished_at")
     return jobs.filter(F.col("finished_at").isNull() | (age <= ttl_seconds * _MICROS))
 
 
@@ -219,7 +219,7 @@ def cache_hits(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds:
     ttl_us = ttl_seconds * _MICROS
     rows = requests.select(
         F.col(key).cast("string").alias("key"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        epoch_micros(requests, ts).alias("us"),
         F.col(order).cast("long").alias("id"),
     )
     hot = materialize(rows.groupBy("key").count().filter(F.col("count") > hot_rows).select("key"), "cache-hot")
@@ -231,8 +231,8 @@ def cache_hits(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds:
         hits = _fold(small, ttl_us).unionByName(_stamp(large, _stores(large, ttl_us), ttl_us))
     return hits.select(
         F.col("key").cast(dict(requests.dtypes)[key]).alias(key),
-        F.timestamp_micros("us").alias(ts),
+        from_micros(requests, ts, F.col("us")).alias(ts),
         F.col("id").alias(order),
         "hit",
-        F.timestamp_micros("stored_us").alias("stored_at"),
+        from_micros(requests, ts, F.col("stored_us")).alias("stored_at"),
     )

@@ -23,12 +23,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New parquet files of a crawl folder as a stream of pages."""
-    reader = spark.readStream.schema(PAGE_SCHEMA)
+def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """New parquet files of a folder as a stream; one file is taken as a pattern for itself."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]" if path.endswith(".parquet") else path)
+
+
+def stream_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A crawl folder as a stream of pages."""
+    return stream_table(spark, path, PAGE_SCHEMA, files_per_trigger)
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagemill.functions.times import as_instant
 from pagemill.operators.audit import latest_status, rate_audit
 from pagemill.schemas import CACHE_TTL_SECONDS, RATE_LIMIT_PER_MINUTE
 from pagemill.shipping import ship_with_jobs
@@ -23,7 +24,8 @@ _HITS = "key string, us long, id long, hit boolean, stored_us long"
 def stream_rate_audit(requests: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT_PER_MINUTE,
                       window: str = "1 minute", lateness: str = "1 minute") -> DataFrame:
     """``rate_audit`` on a stream (append mode); rows later than the watermark are dropped."""
-    return rate_audit(requests.withWatermark(ts, lateness), client, ts, limit, window)
+    timed = requests.withColumn(ts, as_instant(requests, ts)).withWatermark(ts, lateness)
+    return rate_audit(timed, client, ts, limit, window)
 
 
 def stream_latest_status(events: DataFrame, job: str, ts: str, order: str, fields: list[str]) -> DataFrame:
@@ -68,16 +70,20 @@ def stream_cache(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds
     def serve(keys, chunks, state):
         return _serve(ttl_us, keys, chunks, state)
 
-    slim = requests.withWatermark(ts, lateness).select(
+    timed = requests.withColumn(ts, as_instant(requests, ts))
+    slim = timed.withWatermark(ts, lateness).select(
         F.col(key).cast("string").alias("key"),
         F.col(ts),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        F.unix_micros(ts).alias("us"),
         F.col(order).cast("long").alias("id"),
     )
     hits = slim.groupBy("key").applyInPandasWithState(
         serve, _HITS, "stored long", "append", GroupStateTimeout.EventTimeTimeout
     )
     return hits.select(
-        F.col("key").alias(key), F.timestamp_micros("us").alias(ts), F.col("id").alias(order), "hit",
+        F.col("key").cast(dict(requests.dtypes)[key]).alias(key),
+        F.timestamp_micros("us").alias(ts),
+        F.col("id").alias(order),
+        "hit",
         F.timestamp_micros("stored_us").alias("stored_at"),
     )
