@@ -7,9 +7,11 @@ All later steps are Column expressions over the row, so a page is never shuffled
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
+from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -46,12 +48,53 @@ _NODE = pa.struct(
 )
 
 
+# Markup every reader agrees on: plain tags with well-formed attributes, doctypes, comments
+# without inner dashes. Pages made of nothing else are read token by token.
+_SPACE = r"[ \t\n\r\f]"
+_TAG = re.compile(
+    rf"""<(?:/([a-zA-Z][a-zA-Z0-9:_-]*){_SPACE}*>
+    |([a-zA-Z][a-zA-Z0-9:_-]*)
+     ((?:{_SPACE}+[a-zA-Z_:@][a-zA-Z0-9_:.@-]*+(?:=(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'=<>`]++))?)*+)
+     {_SPACE}*+(/?)>
+    |!(?:--(?!-?>)(?:[^-]|-(?!-))*+-->|[dD][oO][cC][tT][yY][pP][eE][^>]*+>))""",
+    re.VERBOSE,
+)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][a-zA-Z0-9_:.@-]*+)(?:=(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f"'=<>`]+)))?""")
+_REFERENCE = re.compile(r"&(?:#([0-9]+|[xX][0-9a-fA-F]+)|([a-zA-Z][-.a-zA-Z0-9]*));?")
+_ODD_REFERENCE = re.compile(r"&#(?:(?!(?:[0-9]+|[xX][0-9a-fA-F]+)[^0-9a-fA-F])|[0-9]{4000})")
+_RAW_END = {tag: re.compile(rf"</\s*{tag}", re.I) for tag in ("script", "style")}
+
+
+def _named(name: str) -> str:
+    return html5.get(name + ";") or html5.get(name) or "&" + name
+
+
+def _numbered(digits: str) -> str:
+    code = int(digits[1:], 16) if digits[:1] in "xX" else int(digits)
+    if 0x80 <= code < 0xA0:
+        try:
+            return bytes([code]).decode("windows-1252")
+        except UnicodeDecodeError:
+            pass
+    try:
+        return chr(code)
+    except (ValueError, OverflowError):
+        return "�"
+
+
+def _dereference(match: re.Match) -> str:
+    return _numbered(match[1]) if match[1] else _named(match[2])
+
+
 class _PageParser(HTMLParser):
     """Element ranges of one page at a time.
 
     An end tag closes the nearest open element of its name and all inside it; one without
     an open match is ignored; nothing else closes an element. Text runs between two tags
     (or comments) are stripped and joined without a separator.
+
+    A page of ordinary markup is read by ``_read``; anything odd in it, and the page is read
+    again by the standard parser, whose recovery rules then hold.
     """
 
     def __init__(self, tags: frozenset[str], attributes: frozenset[str]):
@@ -61,8 +104,19 @@ class _PageParser(HTMLParser):
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not needed
 
-    def parse(self, html: str) -> tuple[bytes, list[tuple]]:
-        self.reset()
+    def parse(self, html: str) -> tuple[bytes, list[list]]:
+        self._start_page()
+        if not self._read(html):
+            self._start_page()
+            self.reset()
+            self.feed(html)
+            self.close()
+        self._end_run()
+        while self._open:
+            self._pop()
+        return b"".join(self._pieces), self._nodes
+
+    def _start_page(self) -> None:
         self._pieces: list[bytes] = []
         self._size = 0
         self._run: list[str] = []
@@ -71,12 +125,48 @@ class _PageParser(HTMLParser):
         self._count: Counter = Counter()
         self._showing = self._hiding = 0
         self._closed_void: Counter = Counter()
-        self.feed(html)
-        self.close()
-        self._end_run()
-        while self._open:
-            self._pop()
-        return b"".join(self._pieces), self._nodes
+
+    def _read(self, html: str) -> bool:
+        """Read a page of ordinary markup; False when it is not."""
+        if _ODD_REFERENCE.search(html):
+            return False
+        at, end = 0, len(html)
+        tags, run = self._tags, self._run
+        find, match = html.find, _TAG.match
+        while at < end:
+            here = find("<", at)
+            if here != at:
+                text = html[at:] if here < 0 else html[at:here]
+                if self._showing and not self._hiding:
+                    if "&" in text:
+                        if here < 0:
+                            return False  # a reference may be cut off by the end
+                        text = _REFERENCE.sub(_dereference, text)
+                    run.append(text)
+                if here < 0:
+                    break
+            token = match(html, here)
+            if token is None:
+                return False
+            at = token.end()
+            closing, opening, attributes, slash = token.groups()
+            if opening:
+                tag = opening.lower()
+                attrs = _attributes(attributes) if attributes and tag in tags else ()
+                if slash:
+                    self.handle_startendtag(tag, attrs)
+                    continue
+                self.handle_starttag(tag, attrs)
+                if tag in _RAW_END:
+                    stop = _RAW_END[tag].search(html, at)
+                    if stop is None or not html.startswith(">", stop.end()) or html[stop.start() + 2] in " \t\n\r\f":
+                        return False
+                    at = stop.start()
+            elif closing:
+                self.handle_endtag(closing.lower())
+            else:
+                self._end_run()
+        return True
 
     def _end_run(self) -> None:
         if self._run:
@@ -137,22 +227,10 @@ class _PageParser(HTMLParser):
         self._run.append(data)
 
     def handle_entityref(self, name):
-        self._run.append(html5.get(name + ";") or html5.get(name) or "&" + name)
+        self._run.append(_named(name))
 
     def handle_charref(self, name):
-        code = int(name[1:], 16) if name[:1] in "xX" else int(name)
-        text = None
-        if 0x80 <= code < 0xA0:
-            try:
-                text = bytes([code]).decode("windows-1252")
-            except UnicodeDecodeError:
-                pass
-        if text is None:
-            try:
-                text = chr(code)
-            except (ValueError, OverflowError):
-                text = "\ufffd"
-        self._run.append(text)
+        self._run.append(_numbered(name))
 
     def _skip(self, data):
         self._end_run()
@@ -168,6 +246,13 @@ class _PageParser(HTMLParser):
             self._hiding = hidden
 
 
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [
+        (name.lower(), unescape(double or single or bare))
+        for name, double, single, bare in _ATTRIBUTE.findall(text)
+    ]
+
+
 class _Batch:
     """Column buffers of finished pages, turned into one Arrow batch."""
 

@@ -192,7 +192,7 @@ kept AS (SELECT * FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1 AND page_id IN (SEL
 
 ORACLES: dict[str, str] = {
     # sources and sinks
-    "read_pages_table": "SELECT page_id, url, length(html) AS n_chars FROM pages",
+    "read_pages_table": "SELECT page_id, url, CAST(length(html) AS int) AS n_chars FROM pages",
     "read_url_list_lines": "SELECT url FROM pages",
     "write_csv_read_back": f"{rich(0, 4, 6)} SELECT {_cell('type')} AS type, {_cell('value')} AS value, nullif({_cell('text')}, '') AS text, table_index, {_cell('source_url')} AS source_url FROM recs",
     "write_json_read_back": f"{rich(0, 4, 6)} SELECT type, value, text, table_index, source_url FROM recs",
@@ -205,12 +205,12 @@ ORACLES: dict[str, str] = {
     "save_history_records": f"""{plain('title', 'heading', 'link')} SELECT page_id AS job_id, type, value,
       CAST({_EXTRA} AS varchar) AS extra, source_url FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1""",
     "read_history_records": f"{rich(2, 4, 6)} SELECT page_id AS job_id, type, value, text, level, table_index, row_index, table_headers FROM recs",
-    "read_responses_table": """SELECT url, 200 AS status, content_type, CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS n_bytes
+    "read_responses_table": """SELECT url, 200 AS status, content_type, CAST(CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS int) AS n_bytes
       FROM (""" + dd(given.RAW_RESPONSES).replace("SELECT page_id, url,", "SELECT page_id, url, html,") + ") r",
     "read_body_files_folder": "SELECT CAST(sum(octet_length(encode(html)) + 1) AS bigint) AS n_bytes, 200 AS status FROM pages",
     # extraction
     "shred_nodes": f"""WITH {ELEMENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_id FROM els WHERE tag <> 'li')
-      SELECT k.page_id, k.node_id, (SELECT max(x.node_id) FROM kept x WHERE x.page_id = k.page_id AND x.i >= k.i AND x.i < k.j) AS end_id,
+      SELECT k.page_id, CAST(k.node_id AS int) AS node_id, (SELECT CAST(max(x.node_id) AS int) FROM kept x WHERE x.page_id = k.page_id AND x.i >= k.i AND x.i < k.j) AS end_id,
       k.tag, CASE WHEN k.tag = 'a' THEN k.href END AS href, k.txt AS text FROM kept k""",
     "page_nodes_sql": f"WITH {ELEMENTS} SELECT page_id, tag, CASE WHEN tag = 'a' THEN href END AS href, txt AS text FROM els WHERE tag <> 'li'",
     "extract_title": f"{plain('title')} SELECT page_id, value, source_url FROM recs",
@@ -272,7 +272,7 @@ ORACLES: dict[str, str] = {
     "html_only": f"SELECT page_id, lower(trim(split_part(content_type, ';', 1))) AS mime FROM ({dd(given.RAW_RESPONSES)}) r WHERE lower(trim(split_part(content_type, ';', 1))) IN ({HTML_TYPES})",
     "not_html": """SELECT url, 'CONTENT_TYPE_UNSUPPORTED' AS code, 'Unsupported Content-Type ''application/pdf''. Only application/xhtml+xml, application/xml, text/html, text/xml are accepted.' AS message
       FROM pages WHERE page_id % 6 = 2""",
-    "size_cap": "SELECT * FROM (SELECT page_id, CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS n_bytes FROM pages) b WHERE n_bytes <= 4000",
+    "size_cap": "SELECT * FROM (SELECT page_id, CAST(CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS int) AS n_bytes FROM pages) b WHERE n_bytes <= 4000",
     "too_large": """SELECT url, 'RESPONSE_TOO_LARGE' AS code, 'Response body exceeds the 4000-byte limit.' AS message
       FROM pages WHERE CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END > 4000""",
     "retryable": f"""SELECT url, attempt % 2 AS attempt, status, transport_error, (transport_error OR status IN (502, 503, 504)) AND attempt % 2 < 1 AS retryable,

@@ -38,6 +38,10 @@ def difference(spark, connection, sf, name, queries, oracles):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cursor = connection.execute(oracles[name])
     expected = rows_of([d[0] for d in cursor.description], cursor.fetchall())
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "FLOAT": "float"}
+    types = {d[0]: kinds.get(str(d[1]), str(d[1])) for d in cursor.description}
+    if got[0] == expected[0] and types != dict(df.dtypes):
+        return f"types {sorted(set(dict(df.dtypes).items()) ^ set(types.items()))}"
     if got[0] != expected[0]:
         return f"columns {got[0]} != {expected[0]}"
     if len(got[1]) != len(expected[1]):
