@@ -12,7 +12,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,8 +26,15 @@ ship_with_jobs(__name__)
 _MICROS = 1_000_000
 
 
+def _bucket(micros: str, width: int) -> Column:
+    """Index of the time bucket. The remainder goes first: what is left divides exactly, where a
+    plain division could round a time just before a border over it."""
+    time = F.col(micros)
+    return ((time - F.pmod(time, F.lit(width).cast("long"))) / width).cast("long")
+
+
 def _bucketed(requests: DataFrame, ts: str, seconds: int) -> DataFrame:
-    return requests.withColumn("_us", epoch_micros(requests, ts)).withColumn("_bucket", F.floor(F.col("_us") / (seconds * _MICROS)))
+    return requests.withColumn("_us", epoch_micros(requests, ts)).withColumn("_bucket", _bucket("_us", seconds * _MICROS))
 
 
 def spacing_audit(requests: DataFrame, key: str, ts: str, order: str, min_gap_ms: int = DOMAIN_SPACING_MS,
@@ -57,7 +64,7 @@ def spacing_schedule(requests: DataFrame, key: str, ts: str, order: str, gap_ms:
     """
     gap = gap_ms * 1000
     in_bucket = W.partitionBy(key, "_bucket").orderBy("_us", order)
-    rows = _bucketed(requests, ts, bucket_seconds).withColumn("_pos", F.row_number().over(in_bucket))
+    rows = _bucketed(requests, ts, bucket_seconds).withColumn("_pos", F.row_number().over(in_bucket).cast("long"))
     rows = rows.withColumn("_lead", F.max(F.col("_us") - F.col("_pos") * gap).over(in_bucket))
     per_bucket = rows.groupBy(key, "_bucket").agg(F.count("*").alias("n"), F.max("_lead").alias("lead"))
     before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -153,7 +160,7 @@ def _stores(rows: DataFrame, ttl_us: int) -> DataFrame:
     half's. Every step works per (key, block), however many rows the key has.
     """
     first_per_time = rows.groupBy("key", "us").agg(F.min("id").alias("id"))
-    times = materialize(first_per_time.withColumn("bucket", F.floor(F.col("us") / ttl_us)), "cache-times")
+    times = materialize(first_per_time.withColumn("bucket", _bucket("us", ttl_us)), "cache-times")
     low, high = times.agg(F.min("bucket"), F.max("bucket")).first()
     levels = ceil(log2(high - low + 1)) if high > low else 0
 
@@ -165,7 +172,7 @@ def _stores(rows: DataFrame, ttl_us: int) -> DataFrame:
         sides = block.select(
             "key", "entry", "exit", F.shiftright("block", 1).alias("parent"), is_left.alias("left"),
             F.when(is_left, F.col("exit") + ttl_us).otherwise(F.col("entry")).alias("at"),
-            (F.floor(F.col("entry") / ttl_us) > first_bucket).alias("beyond"),
+            (_bucket("entry", ttl_us) > first_bucket).alias("beyond"),
         )
         family = W.partitionBy("key", "parent")
         # latest first, so the nearest right-hand entry strictly after the exit comes last
@@ -196,7 +203,7 @@ def _stamp(rows: DataFrame, stores: DataFrame, ttl_us: int) -> DataFrame:
     own = stores.select("key", "bucket", F.col("us").alias("own_us"), F.col("id").alias("own_id"))
     earlier = stores.select("key", (F.col("bucket") + 1).alias("bucket"), F.col("us").alias("earlier_us"))
     joined = (
-        rows.withColumn("bucket", F.floor(F.col("us") / ttl_us))
+        rows.withColumn("bucket", _bucket("us", ttl_us))
         .join(own, ["key", "bucket"], "left")
         .join(earlier, ["key", "bucket"], "left")
     )

@@ -236,14 +236,11 @@ def _first_per_value_sql(records: str) -> str:
     """First slim record per (type, value); long texts are compared by SHA-256 and length."""
     raw = "substring(body, r.v0 + 1, r.v1 - r.v0)"
     value_key = (
-        "CASE WHEN r.value IS NOT NULL THEN concat('=', r.value) "
-        f"WHEN r.v1 - r.v0 <= 64 THEN concat('=', cast({raw} AS string)) "
-        f"ELSE concat('#', sha2({raw}, 256), r.v1 - r.v0) END"
-    )
-    keyed = (
-        f"transform({records}, (r, i) -> named_struct("
-        f"'key', named_struct('type', r.type, 'value', {value_key}), 'pos', i, 'record', r))"
+        "CASE WHEN r.value IS NOT NULL THEN concat(r.type, '=', r.value) "
+        f"WHEN r.v1 - r.v0 <= 64 THEN concat(r.type, '=', cast({raw} AS string)) "
+        f"ELSE concat(r.type, '#', sha2({raw}, 256), r.v1 - r.v0) END"
     )
+    keyed = f"transform({records}, (r, i) -> named_struct('key', {value_key}, 'pos', i, 'record', r))"
     return f"transform({first_of_key_sql(keyed)}, e -> e.record)"
 
 
