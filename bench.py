@@ -14,8 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "distinct_records",
-    "shred_nodes",
-    "extract_records_all",
+    "shred",
+    "extract_records",
     "extract_paragraphs",
     "extract_links",
     "extract_tables",
@@ -25,10 +25,10 @@ HEADLINE = (
     "page_records",
     "export_view",
     "keyword_search_documents",
-    "clean_cells",
+    "clean_cell",
     "resolve_url",
     "validate_url",
-    "decode_pages",
+    "decode_body",
     "robots_verdict",
     "redirect_chain",
     "dashboard_totals",

@@ -34,15 +34,18 @@ def meta_refresh_edges(pages: DataFrame) -> DataFrame:
 
 
 def follow_chains(edges: DataFrame, blocked: DataFrame | None = None, max_hops: int = MAX_REDIRECTS) -> DataFrame:
-    """``start_url, final_url, hops, outcome`` for every URL of *edges* (one row per URL).
+    """``start_url, final_url, hops, outcome`` for every URL of *edges*.
 
     Outcomes: ``ok``, ``too_many`` (more than *max_hops* redirects), ``blocked`` (a hop's host
     is in *blocked*), ``missing`` (no response for a hop). The plan has *max_hops* equi joins
     and no iteration to wait for. URLs that do not redirect never enter a join, finished
-    chains leave the loop under a key of their own, and URLs many chains lead to are one row
-    on the right side, so the skew join can split their left side.
+    chains leave the loop under a key of their own. Copies of a URL are combined to one row
+    first, so a URL that many chains lead to has a single row on the right, and the skew join
+    can split its left side.
     """
-    known = edges.select("url", "redirects", "target")
+    known = (
+        edges.groupBy("url").agg(F.max(F.struct("redirects", "target")).alias("edge")).select("url", "edge.*")
+    )
     if blocked is not None:
         refused = blocked.select(F.col("host").alias("_host")).distinct().withColumn("refused", F.lit(True))
         # rows without a target get a key of their own, not one NULL they would all share

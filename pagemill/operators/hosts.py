@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.hosts import is_blocked_ip
 from pagemill.functions.urls import url_host
+from pagemill.session import checked_broadcast
+
+_HOST_BYTES = 300  # a host name has at most 253 characters
 
 
 def host_verdicts(addresses: DataFrame) -> DataFrame:
@@ -24,13 +27,13 @@ def blocked_hosts(addresses: DataFrame) -> DataFrame:
 def drop_blocked(pages: DataFrame, addresses: DataFrame, unresolved_too: bool = False) -> DataFrame:
     """Pages whose host is not blocked; *unresolved_too* also drops hosts without any address.
 
-    The host side is one row per host. Spark broadcasts it when it is measured small and
-    otherwise sort-merges with its skew join, which splits a host that holds many pages.
+    Pages carry their markup, so they should not move: the host list, one row per host, is
+    broadcast when it is counted small. Otherwise the join sorts and merges, and its skew
+    handling splits a host that holds many pages.
     """
     keyed = pages.withColumn("host", url_host("url"))
     if unresolved_too:
-        fine = host_verdicts(addresses).filter(~F.col("blocked")).select("host")
-        kept = keyed.join(fine, "host", "left_semi")
+        listed, how = host_verdicts(addresses).filter(~F.col("blocked")).select("host"), "left_semi"
     else:
-        kept = keyed.join(blocked_hosts(addresses), "host", "left_anti")
-    return kept.select(*pages.columns)
+        listed, how = blocked_hosts(addresses), "left_anti"
+    return keyed.join(checked_broadcast(listed, _HOST_BYTES, "hosts"), "host", how).select(*pages.columns)

@@ -122,10 +122,25 @@ def dedupe_rows(records: DataFrame) -> DataFrame:
 # -- order and paging ------------------------------------------------------------------
 
 
-def assign_ord(records: DataFrame, name: str = "ord") -> DataFrame:
-    """Dense 0-based position within the page, in the order of ``ord``."""
-    position = F.row_number().over(W.partitionBy("page_id").orderBy("ord")) - 1
-    return records.withColumn(name, position.cast("long"))
+def assign_ord(records: DataFrame, name: str = "ord", span: int = 65_536) -> DataFrame:
+    """Dense 0-based position within the page, in the order of ``ord``.
+
+    A page is numbered in stretches of *span* consecutive ``ord`` values, so a page with very
+    many records is shared by as many tasks; what the stretches before hold is added on.
+    """
+    parts = records.withColumn("_part", ((F.col("ord") - F.pmod("ord", F.lit(span))) / span).cast("long"))
+    earlier = W.partitionBy("page_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        parts.groupBy("page_id", "_part")
+        .agg(F.count("*").alias("n"))
+        .select("page_id", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    position = F.row_number().over(W.partitionBy("page_id", "_part").orderBy("ord")) - 1 + F.col("_before")
+    return (
+        parts.join(before, ["page_id", "_part"])
+        .withColumn(name, position.cast("long"))
+        .select(*records.columns, *([] if name in records.columns else [name]))
+    )
 
 
 def page_records(records: DataFrame, cursor: str | None = None, size: int = MAX_RESULT_ROWS) -> DataFrame:
@@ -155,19 +170,17 @@ def records_by_type(records: DataFrame) -> DataFrame:
 
 
 def type_share(records: DataFrame) -> DataFrame:
-    """Types by count with their rounded percentage and the number of types.
-
-    The totals are taken over the counted types, of which there are a handful.
-    """
-    everything = W.partitionBy()
+    """Types by count with their rounded percentage and the number of types."""
     counted = records_by_type(records)
-    total = F.sum("n").over(everything)
-    return counted.select(
-        "type",
-        "n",
-        F.floor(100.0 * F.col("n") / total + 0.5).cast("long").alias("percent"),
-        F.count("*").over(everything).alias("n_types"),
-    ).orderBy(F.desc("n"), "type")
+    # a closed list of types: their counts fit one row
+    listed = counted.agg(
+        F.sum("n").alias("total"), F.count("*").alias("n_types"), F.collect_list(F.struct("type", "n")).alias("types")
+    )
+    return (
+        listed.select("total", "n_types", F.inline("types"))
+        .select("type", "n", F.expr("cast(floor(100.0D * n / total + 0.5D) AS bigint)").alias("percent"), "n_types")
+        .orderBy(F.desc("n"), "type")
+    )
 
 
 def distinct_types(records: DataFrame) -> DataFrame:

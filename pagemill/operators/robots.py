@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import bind_sql, pattern, strip_sql
 from pagemill.functions.urls import url_parts_sql, url_site
+from pagemill.session import checked_broadcast
 
 DEFAULT_AGENT = "pagemill/1.0"
 
@@ -49,15 +50,20 @@ def _rule_path(text: str) -> Column:
     return F.expr(bind_sql(path, "u_path", _quote_sql("u_path")))
 
 
+def _one_per_site(robots: DataFrame) -> DataFrame:
+    """Copies of a site's file combined to one (of differing ones the last in order of status and body)."""
+    return robots.groupBy("site").agg(F.max(F.struct("status", "body")).alias("file")).select("site", "file.*")
+
+
 def robots_rules(robots: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:
     """Per site the rules that apply to *agent*, in file order: ``site, rules``.
 
-    *robots* has ``site`` (scheme://host), ``status`` and ``body``, one row per site. A group
+    *robots* has ``site`` (scheme://host), ``status`` and ``body``. A group
     starts at a ``User-agent`` line that follows a rule, a blank line or nothing. The first
     group naming the agent applies, else the first ``*`` group.
     """
     name = agent.split("/")[0].lower()
-    lines = robots.filter("status < 400").select(
+    lines = _one_per_site(robots).filter("status < 400").select(
         "site", F.posexplode(F.split("body", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("pos", "raw")
     )
     text = strip_sql("regexp_replace(raw, '(?s)#.*$', '')")
@@ -110,7 +116,7 @@ def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGE
     holds a third of the pages is split by the skew join without multiplying anything.
     """
     rules = robots_rules(robots, agent)
-    sites = robots.select("site", "status").join(rules, "site", "left")
+    sites = _one_per_site(robots).select("site", "status").join(rules, "site", "left")
     keyed = pages.select("page_id", "url", url_site("url").alias("site"))
     joined = keyed.join(sites, "site", "left").withColumn("path", robots_path("url"))
     # the first rule whose path is a prefix decides; an empty Disallow allows everything
@@ -129,6 +135,10 @@ def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGE
 
 
 def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:
-    """Pages that may be used. The usually few disallowed ids are removed from the wide table."""
+    """Pages that may be used.
+
+    The verdict reads ids and URLs only. The refused ids are counted; when few enough they are
+    broadcast, so the wide table stays where it is, else the join sorts and merges on the id.
+    """
     refused = robots_verdict(pages, robots, agent).filter(~F.col("allowed")).select("page_id")
-    return pages.join(refused, "page_id", "left_anti")
+    return pages.join(checked_broadcast(refused, 16, "refused"), "page_id", "left_anti")

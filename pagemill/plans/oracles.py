@@ -192,27 +192,27 @@ kept AS (SELECT * FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1 AND page_id IN (SEL
 
 ORACLES: dict[str, str] = {
     # sources and sinks
-    "read_pages_table": "SELECT page_id, url, CAST(length(html) AS int) AS n_chars FROM pages",
-    "read_url_list_lines": "SELECT url FROM pages",
-    "write_csv_read_back": f"{rich(0, 4, 6)} SELECT {_cell('type')} AS type, {_cell('value')} AS value, nullif({_cell('text')}, '') AS text, table_index, {_cell('source_url')} AS source_url FROM recs",
-    "write_json_read_back": f"{rich(0, 4, 6)} SELECT type, value, text, table_index, source_url FROM recs",
+    "read_pages": "SELECT page_id, url, CAST(length(html) AS int) AS n_chars FROM pages",
+    "read_url_list": "SELECT url FROM pages",
+    "write_csv": f"{rich(0, 4, 6)} SELECT {_cell('type')} AS type, {_cell('value')} AS value, nullif({_cell('text')}, '') AS text, table_index, {_cell('source_url')} AS source_url FROM recs",
+    "write_json": f"{rich(0, 4, 6)} SELECT type, value, text, table_index, source_url FROM recs",
     "export_view": f"{rich(0, 4, 6)} SELECT type, {_cell('value')} AS value, {_cell('text')} AS text, table_index, {_cell('source_url')} AS source_url FROM recs",
-    "export_cap_guard": f"{plain('link')} SELECT type, count(*) AS n FROM recs GROUP BY type",
-    "save_history_jobs": f"""{plain('title', 'heading', 'link')}, firsts AS ({_FIRST_PER_VALUE})
+    "export_cap": f"{plain('link')} SELECT type, count(*) AS n FROM recs GROUP BY type",
+    "save_history": f"""{plain('title', 'heading', 'link')}, firsts AS ({_FIRST_PER_VALUE})
       SELECT p.page_id AS id, p.url, 'title,headings,links' AS fields, 'done' AS status, CAST(count(f.value) AS int) AS record_count, 0 AS warning_count,
       12.5::double AS duration_ms, 1700000000 + p.page_id AS created_s, false AS used_js
       FROM pages p LEFT JOIN firsts f ON f.page_id = p.page_id AND f.copy = 1 GROUP BY p.page_id, p.url""",
     "save_history_records": f"""{plain('title', 'heading', 'link')} SELECT page_id AS job_id, type, value,
       CAST({_EXTRA} AS varchar) AS extra, source_url FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1""",
     "read_history_records": f"{rich(2, 4, 6)} SELECT page_id AS job_id, type, value, text, level, table_index, row_index, table_headers FROM recs",
-    "read_responses_table": """SELECT url, 200 AS status, content_type, CAST(CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS int) AS n_bytes
+    "read_responses": """SELECT url, 200 AS status, content_type, CAST(CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS int) AS n_bytes
       FROM (""" + dd(given.RAW_RESPONSES).replace("SELECT page_id, url,", "SELECT page_id, url, html,") + ") r",
-    "read_body_files_folder": "SELECT CAST(sum(octet_length(encode(html)) + 1) AS bigint) AS n_bytes, 200 AS status FROM pages",
+    "read_body_files": "SELECT CAST(sum(octet_length(encode(html)) + 1) AS bigint) AS n_bytes, 200 AS status FROM pages",
     # extraction
-    "shred_nodes": f"""WITH {ELEMENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_id FROM els WHERE tag <> 'li')
+    "shred": f"""WITH {ELEMENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_id FROM els WHERE tag <> 'li')
       SELECT k.page_id, CAST(k.node_id AS int) AS node_id, (SELECT CAST(max(x.node_id) AS int) FROM kept x WHERE x.page_id = k.page_id AND x.i >= k.i AND x.i < k.j) AS end_id,
       k.tag, CASE WHEN k.tag = 'a' THEN k.href END AS href, k.txt AS text FROM kept k""",
-    "page_nodes_sql": f"WITH {ELEMENTS} SELECT page_id, tag, CASE WHEN tag = 'a' THEN href END AS href, txt AS text FROM els WHERE tag <> 'li'",
+    "page_nodes": f"WITH {ELEMENTS} SELECT page_id, tag, CASE WHEN tag = 'a' THEN href END AS href, txt AS text FROM els WHERE tag <> 'li'",
     "extract_title": f"{plain('title')} SELECT page_id, value, source_url FROM recs",
     "extract_headings": f"{rich(2)} SELECT page_id, type, value, source_url, level FROM recs",
     "extract_paragraphs": f"{plain('paragraph')} SELECT page_id, ord, value FROM recs",
@@ -223,11 +223,11 @@ ORACLES: dict[str, str] = {
     "extract_open_graph": f"{rich(7)} SELECT page_id, type, value, source_url, text FROM recs",
     "extract_canonical": f"{rich(8)} SELECT page_id, type, value, source_url FROM recs",
     "base_url": f"SELECT page_id, CASE WHEN {_ON_CDN} THEN concat({_CDN}, '/d/e/f.html') ELSE url END AS base FROM pages",
-    "extract_records_all": f"{rich(*ALL_RANKS)} SELECT page_id, ord, type, value, text, level, table_index, row_index, table_headers, source_url FROM recs",
+    "extract_records": f"{rich(*ALL_RANKS)} SELECT page_id, ord, type, value, text, level, table_index, row_index, table_headers, source_url FROM recs",
     "extract_warnings": "SELECT page_id, url, concat(unnest(['title', 'links']), ': extraction failed') AS message FROM pages WHERE page_id % 10 = 0",
     "extract_batch": f"""{plain('title', 'link')} SELECT p.page_id, p.url, p.page_id % 10 <> 0 AS success,
       CAST(count(r.value) AS int) AS record_count, p.page_id % 10 = 0 AS has_error FROM pages p LEFT JOIN recs r ON r.page_id = p.page_id AND p.page_id % 10 <> 0 GROUP BY p.page_id, p.url""",
-    "flatten_batch_records": f"{plain('title', 'link')} SELECT page_id, ord, type, value, text FROM recs WHERE page_id % 10 <> 0",
+    "flatten_batch": f"{plain('title', 'link')} SELECT page_id, ord, type, value, text FROM recs WHERE page_id % 10 <> 0",
     "flatten_batch_warnings": "SELECT page_id, true AS named FROM pages WHERE page_id % 10 = 0",
     "extraction_types": f"""{plain('title', 'heading', 'paragraph', 'link')}, fields AS (SELECT unnest(['title', 'meta', 'headings', 'paragraphs', 'links', 'images', 'tables', 'open_graph', 'canonical_url']) AS field, generate_subscripts(range(9), 1) - 1 AS position)
       SELECT CAST(position AS int) AS position, field, CAST((SELECT count(*) FROM recs WHERE type = rtrim(field, 's')) AS bigint) AS n FROM fields""",
@@ -240,18 +240,19 @@ ORACLES: dict[str, str] = {
       WHEN 'ftp://f.example.com/x' THEN href END AS target FROM ({dd(given.REFERENCES)}) q""",
     "url_parts": f"SELECT page_id, {_SCHEME} AS scheme, {HOST} AS netloc, lower({HOST}) AS hostname, {SITE} AS site, concat({SITE}, '/robots.txt') AS robots_url FROM pages",
     "cache_key": f"SELECT event_id, sha256(concat(url, '|', array_to_string(list_sort(fields), ','))) AS cache_key FROM ({dd(given.REQUESTS)}) q",
-    "cursors": """SELECT page_id, to_base64(encode(CAST(page_id AS varchar))) AS cursor, page_id AS parsed, page_id AS parsed_dirty, CAST(0 AS bigint) AS parsed_bad,
+    "make_cursor": "SELECT page_id, to_base64(encode(CAST(page_id AS varchar))) AS cursor FROM pages",
+    "parse_cursor": """SELECT page_id, page_id AS parsed, page_id AS parsed_dirty, CAST(0 AS bigint) AS parsed_bad,
       CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS parsed_maybe FROM pages""",
-    "clean_cells": f"SELECT doc_id, {_cell('text')} AS cell, concat('''=', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS formula_cell FROM documents",
-    "display_view": f"""{rich(0, 1, 4, 8)} SELECT page_id, ord, CASE type WHEN 'title' THEN 'Title' WHEN 'link' THEN 'Link' WHEN 'canonical_url' THEN 'Canonical' ELSE 'Meta' END AS type_label,
+    "clean_cell": f"SELECT doc_id, {_cell('text')} AS cell, concat('''=', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS formula_cell FROM documents",
+    "display_text": f"""{rich(0, 1, 4, 8)} SELECT page_id, ord, CASE type WHEN 'title' THEN 'Title' WHEN 'link' THEN 'Link' WHEN 'canonical_url' THEN 'Canonical' ELSE 'Meta' END AS type_label,
       value, coalesce(text, '') AS text_or_alt, '' AS level, source_url FROM recs""",
     "detect_charset": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'UTF-8' WHEN 3 THEN 'utf-16-be' WHEN 4 THEN 'no-such-charset' ELSE 'utf-8' END AS charset FROM pages",
-    "decode_pages": """SELECT page_id, url, html, CASE page_id % 6 WHEN 0 THEN 'UTF-8' WHEN 3 THEN 'utf-16-be' ELSE 'utf-8' END AS encoding FROM pages WHERE page_id % 6 <> 2""",
-    "meta_refresh": f"SELECT page_id, {_REFRESH_TARGET} AS target FROM pages",
-    "field_lists": f"""SELECT event_id, array_to_string(fields, ',') AS joined, concat_ws(',', fields[1], fields[2], fields[3]) AS joined_distinct,
+    "decode_body": """SELECT page_id, url, html, CASE page_id % 6 WHEN 0 THEN 'UTF-8' WHEN 3 THEN 'utf-16-be' ELSE 'utf-8' END AS encoding FROM pages WHERE page_id % 6 <> 2""",
+    "meta_refresh_target": f"SELECT page_id, {_REFRESH_TARGET} AS target FROM pages",
+    "field_list": f"""SELECT event_id, array_to_string(fields, ',') AS joined, concat_ws(',', fields[1], fields[2], fields[3]) AS joined_distinct,
       CAST(len(fields) AS int) AS n_split, CAST(len(list_distinct(fields)) AS int) AS n_distinct FROM ({dd(given.REQUESTS)}) q""",
-    "backoff_and_progress": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 WHEN 4 THEN 4.0 ELSE 8.0 END::double AS backoff,
-      CAST(greatest(0, least(100, floor(value * 2 - 20))) AS int) AS progress FROM events""",
+    "backoff_seconds": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 WHEN 4 THEN 4.0 ELSE 8.0 END::double AS backoff FROM events",
+    "clamp_progress": "SELECT event_id, CAST(greatest(0, least(100, floor(value * 2 - 20))) AS int) AS progress FROM events",
     # filters
     "validate_url": """SELECT page_id, variant, message = '' AS valid, CASE WHEN message = '' THEN '' ELSE 'INVALID_URL' END AS error_code, message AS error_message FROM (
       SELECT page_id, variant, CASE variant WHEN 'long' THEN 'URL exceeds the maximum allowed length of 2048 characters.'
@@ -334,10 +335,10 @@ ORACLES: dict[str, str] = {
     "latest_status": f"""SELECT job_id, stage, greatest(0, least(100, raw_progress)) AS progress, status, status IN ('done', 'error') AS finished
       FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS k FROM ({given.STATUS_EVENTS}) e) l WHERE k = 1""",
     "live_jobs": f"SELECT event_id, job_id FROM ({given.STATUS_EVENTS}) e WHERE status = 'running' OR ts >= TIMESTAMP '2024-01-10 00:00:00'",
-    "stream_extract_records": f"{plain('title', 'link')} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, type, value FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1",
-    "stream_history_records": f"{plain('title', 'link')} SELECT page_id AS job_id, type, value FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1",
-    "stream_rate_audit_windows": f"SELECT * FROM ({_RATES}) r WHERE window_us + 86400000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000",
-    "stream_cache_hits": _STORES,
-    "stream_latest_status_jobs": f"""SELECT job_id, stage, status, status IN ('done', 'error') AS finished
+    "stream_extract": f"{plain('title', 'link')} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, type, value FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1",
+    "stream_history": f"{plain('title', 'link')} SELECT page_id AS job_id, type, value FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1",
+    "stream_rate_audit": f"SELECT * FROM ({_RATES}) r WHERE window_us + 86400000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000",
+    "stream_cache": _STORES,
+    "stream_latest_status": f"""SELECT job_id, stage, status, status IN ('done', 'error') AS finished
       FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS k FROM ({given.STATUS_EVENTS}) e) l WHERE k = 1""",
 }

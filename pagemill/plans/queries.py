@@ -41,6 +41,14 @@ def query(build: Query) -> Query:
     return build
 
 
+def query_named(name: str) -> Callable[[Query], Query]:
+    def add(build: Query) -> Query:
+        QUERIES[name] = build
+        return build
+
+    return add
+
+
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet")
 
@@ -71,12 +79,12 @@ def field_records(spark: SparkSession, sf: str, field: str, *columns: str) -> Da
 # -- sources and sinks -----------------------------------------------------------------
 
 
-@query
+@query_named("read_pages")
 def read_pages_table(spark, sf):
     return pages_of(spark, sf).select("page_id", "url", F.length("html").alias("n_chars"))
 
 
-@query
+@query_named("read_url_list")
 def read_url_list_lines(spark, sf):
     path = scratch(spark, "urls")
     pages = pages_of(spark, sf)
@@ -84,7 +92,7 @@ def read_url_list_lines(spark, sf):
     return read_url_list(spark, path)
 
 
-@query
+@query_named("write_csv")
 def write_csv_read_back(spark, sf):
     path = scratch(spark, "csv")
     write_csv(extract.extract_records(rich(spark, sf), ["title", "tables", "links"]), path)
@@ -94,7 +102,7 @@ def write_csv_read_back(spark, sf):
     )
 
 
-@query
+@query_named("write_json")
 def write_json_read_back(spark, sf):
     path = scratch(spark, "json")
     write_json(extract.extract_records(rich(spark, sf), ["title", "tables", "links"]), path)
@@ -109,7 +117,7 @@ def export_view(spark, sf):
     )
 
 
-@query
+@query_named("export_cap")
 def export_cap_guard(spark, sf):
     return export_cap(records.records_by_type(extract.extract_records(pages_of(spark, sf), ["links"])), 2000)
 
@@ -121,7 +129,7 @@ def _saved(spark: SparkSession, sf: str) -> str:
     return path
 
 
-@query
+@query_named("save_history")
 def save_history_jobs(spark, sf):
     return history.read_jobs(spark, _saved(spark, sf)).select(
         "id", "url", "fields", "status", "record_count", "warning_count", "duration_ms",
@@ -148,7 +156,7 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
     return typed.withColumn("body", body).drop("html")
 
 
-@query
+@query_named("read_responses")
 def read_responses_table(spark, sf):
     path = scratch(spark, "responses")
     raw_responses(spark, sf).select(
@@ -157,7 +165,7 @@ def read_responses_table(spark, sf):
     return read_responses(spark, path).select("url", "status", "content_type", F.octet_length("body").alias("n_bytes"))
 
 
-@query
+@query_named("read_body_files")
 def read_body_files_folder(spark, sf):
     path = scratch(spark, "bodies")
     pages_of(spark, sf).select("html").repartition(4).write.text(path, lineSep="\n")
@@ -170,14 +178,14 @@ def read_body_files_folder(spark, sf):
 _PLAIN_TAGS = ("title", "h1", "a", "p")
 
 
-@query
+@query_named("shred")
 def shred_nodes(spark, sf):
     return nodes(pages_of(spark, sf), _PLAIN_TAGS).select(
         "page_id", "node_id", "end_id", "tag", F.col("attrs")["href"].alias("href"), "text"
     )
 
 
-@query
+@query_named("page_nodes")
 def page_nodes_sql(spark, sf):
     register_page_nodes(spark)
     return spark.sql(
@@ -237,7 +245,7 @@ def base_url(spark, sf):
     return extract.shred(rich(spark, sf), ["base"]).select("page_id", extract.base_url().alias("base"))
 
 
-@query
+@query_named("extract_records")
 def extract_records_all(spark, sf):
     return extract.extract_records(rich(spark, sf)).select(
         "page_id", "ord", "type", "value", "text", "level", "table_index", "row_index", "table_headers", "source_url"
@@ -256,7 +264,7 @@ def extract_batch(spark, sf):
     return batch.select("page_id", "url", "success", "record_count", F.col("error").isNotNull().alias("has_error"))
 
 
-@query
+@query_named("flatten_batch")
 def flatten_batch_records(spark, sf):
     batch = extract.extract_batch(derived(spark, sf, inputs.BROKEN_PAGES), ["title", "links"], with_data=True)
     return extract.flatten_batch(batch)[0].select("page_id", "ord", "type", "value", "text")
@@ -328,11 +336,15 @@ def cache_key(spark, sf):
 
 
 @query
-def cursors(spark, sf):
-    made = pages_of(spark, sf).select("page_id", "url", tokens.make_cursor("page_id").alias("cursor"))
+def make_cursor(spark, sf):
+    return pages_of(spark, sf).select("page_id", tokens.make_cursor("page_id").alias("cursor"))
+
+
+@query
+def parse_cursor(spark, sf):
+    made = pages_of(spark, sf).select("page_id", tokens.make_cursor("page_id").alias("cursor"))
     return made.select(
         "page_id",
-        "cursor",
         tokens.parse_cursor("cursor").alias("parsed"),
         tokens.parse_cursor("concat('!!!', cursor, '!!!')").alias("parsed_dirty"),
         tokens.parse_cursor("concat('x', cursor)").alias("parsed_bad"),
@@ -340,7 +352,7 @@ def cursors(spark, sf):
     )
 
 
-@query
+@query_named("clean_cell")
 def clean_cells(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     return documents.select(
@@ -348,7 +360,7 @@ def clean_cells(spark, sf):
     )
 
 
-@query
+@query_named("display_text")
 def display_view(spark, sf):
     return records.display_view(extract.extract_records(rich(spark, sf), ["title", "meta", "links", "canonical_url"]))
 
@@ -358,17 +370,17 @@ def detect_charset(spark, sf):
     return raw_responses(spark, sf).select("page_id", charset.detect_charset("body", "content_type").alias("charset"))
 
 
-@query
+@query_named("decode_body")
 def decode_pages(spark, sf):
     return responses.decode_pages(raw_responses(spark, sf))
 
 
-@query
+@query_named("meta_refresh_target")
 def meta_refresh(spark, sf):
     return derived(spark, sf, inputs.REFRESHING_PAGES).select("page_id", meta_refresh_target("html", "url").alias("target"))
 
 
-@query
+@query_named("field_list")
 def field_lists(spark, sf):
     return derived(spark, sf, inputs.REQUESTS).select(
         "event_id",
@@ -380,12 +392,14 @@ def field_lists(spark, sf):
 
 
 @query
-def backoff_and_progress(spark, sf):
-    return events_of(spark, sf).select(
-        "event_id",
-        tokens.backoff_seconds("event_id % 6").alias("backoff"),
-        tokens.clamp_progress("cast(floor(value * 2 - 20) AS int)").alias("progress"),
-    )
+def backoff_seconds(spark, sf):
+    return events_of(spark, sf).select("event_id", tokens.backoff_seconds("event_id % 6").alias("backoff"))
+
+
+@query
+def clamp_progress(spark, sf):
+    progress = tokens.clamp_progress("cast(floor(value * 2 - 20) AS int)")
+    return events_of(spark, sf).select("event_id", progress.alias("progress"))
 
 
 # -- filters ---------------------------------------------------------------------------
@@ -704,13 +718,13 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return stream_table(spark, f"{sf}/events.parquet", events_of(spark, sf).schema)
 
 
-@query
+@query_named("stream_extract")
 def stream_extract_records(spark, sf):
     stream = stream_extract(stream_pages(spark, f"{sf}/pages.parquet"), ["title", "links"])
     return _run_to_table(stream, spark, "stream-records").select("page_id", "ord", "type", "value")
 
 
-@query
+@query_named("stream_history")
 def stream_history_records(spark, sf):
     path = scratch(spark, "stream-history")
     run = stream_history(stream_pages(spark, f"{sf}/pages.parquet"), path, f"{path}-checkpoint", ["title", "links"])
@@ -718,19 +732,19 @@ def stream_history_records(spark, sf):
     return history.read_job_records(spark, path).select("job_id", "type", "value")
 
 
-@query
+@query_named("stream_rate_audit")
 def stream_rate_audit_windows(spark, sf):
     """Windows the watermark has closed; the newest stay open until later events come."""
     stream = stream_rate_audit(_event_stream(spark, sf), "user_id", "ts", 2, "1 day", "1 hour")
     return _rates(_run_to_table(stream, spark, "stream-rates"))
 
 
-@query
+@query_named("stream_cache")
 def stream_cache_hits(spark, sf):
     return _hits(_run_to_table(stream_cache(_event_stream(spark, sf), "user_id", "ts", "event_id", DAY), spark, "stream-hits"))
 
 
-@query
+@query_named("stream_latest_status")
 def stream_latest_status_jobs(spark, sf):
     """Status updates as they change, written per micro-batch; the newest one of each job."""
     path = scratch(spark, "stream-status")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Pages are wide rows (tens of KB to MBs), so Arrow batches are bounded by bytes and
 # by a low row count, and input splits stay small enough for one Python worker.
@@ -51,3 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int, name: str, limit_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """*df* written out and counted; marked for broadcast only when it is small enough.
+
+    Beyond the limit it comes back unmarked, and the join sorts and merges instead.
+    """
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() * row_bytes <= limit_bytes else written

@@ -83,6 +83,9 @@ def test_types_and_counts(spark, table):
 def test_ord_and_pages(spark):
     rows = spark.createDataFrame([rec(p, 10 * i, "link", f"v{i}") for p in (1, 2) for i in range(p * 4)], RECORD_SCHEMA)
     dense = rc.assign_ord(rows)
+    for span in (1, 20, 25):
+        assert sorted(rc.assign_ord(rows, span=span).collect()) == sorted(dense.collect())
+    assert dense.columns == rows.columns
     assert sorted(r.ord for r in dense.filter("page_id = 1").collect()) == [0, 1, 2, 3]
     first = rc.page_records(rows, None, 4)
     by_page = {r.page_id: r.next_cursor for r in first.collect()}
