@@ -9,9 +9,14 @@ _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
-    """Microseconds since the epoch; a timestamp without zone is read as UTC."""
+    """Microseconds since the epoch; a timestamp without zone is read as UTC.
+
+    By interval arithmetic, because converting such a timestamp would use the session's zone
+    and its clock changes.
+    """
     if dict(df.dtypes)[ts] == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {ts})")
+        seconds = f"cast(cast({ts} - {_EPOCH} AS INTERVAL SECOND) AS decimal(20, 6))"
+        return F.expr(f"cast({seconds} * 1000000 AS bigint)")
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 

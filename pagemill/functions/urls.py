@@ -84,8 +84,13 @@ def _merged_path_sql(base_path: str, path: str) -> str:
     return f"coalesce(nullif({bind_sql(joined, 'm_full', resolved)}, ''), '/')"
 
 
+def _checked_parts_sql(url: str) -> str:
+    """``url_parts``, NULL when the host part is malformed."""
+    return bind_sql(url_parts_sql(url), "c_parts", f"CASE WHEN NOT {_bad_netloc_sql('c_parts[1]')} THEN c_parts END")
+
+
 def _join_parts_sql(base: str, base_parts: str, ref: str, own: str) -> str:
-    """The join proper, on both URLs' parts."""
+    """The join proper, on both URLs' checked parts."""
     scheme, own_scheme = f"lower({base_parts}[0])", f"lower({own}[0])"
     absolute, same_page = f"{own}[1] <> ''", f"({own}[2] = '' AND {own}[3] = '')"
     kept_query = f"({absolute} OR NOT {same_page} OR {own}[4] <> '')"
@@ -99,21 +104,28 @@ def _join_parts_sql(base: str, base_parts: str, ref: str, own: str) -> str:
         f"{own}[5]",
     )
     return (
-        f"CASE WHEN {_bad_netloc_sql(f'{own}[1]')} OR {_bad_netloc_sql(f'{base_parts}[1]')} THEN cast(NULL AS string) "
+        f"CASE WHEN {own} IS NULL OR {base_parts} IS NULL THEN cast(NULL AS string) "
         f"WHEN {ref} = '' THEN {base} WHEN {base} = '' THEN {ref} "
         f"WHEN {own_scheme} <> '' AND {own_scheme} <> {scheme} THEN {ref} ELSE {joined} END"
     )
 
 
+def base_parts_sql(base: str) -> str:
+    """What ``resolve_url_sql`` needs of a base, to be computed once per page."""
+    return _checked_parts_sql(base)
+
+
 def join_url_sql(base: str, ref: str, base_parts: str | None = None) -> str:
     if base_parts is None:
-        return bind_sql(url_parts_sql(base), "b_parts", join_url_sql(base, ref, "b_parts"))
-    slow = bind_sql(url_parts_sql(ref), "r_parts", _join_parts_sql(base, base_parts, ref, "r_parts"))
-    return (
-        f"CASE WHEN rlike({base}, {_PLAIN_BASE}) AND rlike({ref}, {_PLAIN_ABSOLUTE}) THEN {ref} "
-        f"WHEN rlike({base}, {_PLAIN_BASE}) AND rlike({ref}, {_PLAIN_ROOTED}) AND NOT contains({ref}, '/.') "
-        f"THEN concat(lower({base_parts}[0]), '://', {base_parts}[1], {ref}) ELSE {slow} END"
+        return bind_sql(base_parts_sql(base), "b_parts", join_url_sql(base, ref, "b_parts"))
+    slow = bind_sql(_checked_parts_sql(ref), "r_parts", _join_parts_sql(base, base_parts, ref, "r_parts"))
+    quick = (
+        f"CASE WHEN NOT rlike({base}, {_PLAIN_BASE}) THEN cast(NULL AS string) "
+        f"WHEN rlike({ref}, {_PLAIN_ABSOLUTE}) THEN {ref} "
+        f"WHEN rlike({ref}, {_PLAIN_ROOTED}) AND NOT contains({ref}, '/.') "
+        f"THEN concat(lower({base_parts}[0]), '://', {base_parts}[1], {ref}) END"
     )
+    return f"coalesce({quick}, {slow})"
 
 
 def url_scheme_sql(url: str) -> str:
@@ -125,7 +137,7 @@ def url_netloc_sql(url: str) -> str:
 
 
 def resolve_url_sql(href: str, base: str, base_parts: str | None = None) -> str:
-    """Pass ``base_parts`` (``url_parts`` of the base, computed before) to split a page's base once."""
+    """Pass ``base_parts`` (``base_parts_sql`` of the base, computed before) to split a page's base once."""
     joined = bind_sql(strip_sql(href), "r_ref", join_url_sql(base, "r_ref", base_parts))
     web_only = f"CASE WHEN {url_scheme_sql('r_url')} IN ('http', 'https') THEN r_url END"
     return (

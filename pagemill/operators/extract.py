@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import bind_sql, strip_sql
-from pagemill.functions.urls import resolve_url_sql, url_host_sql, url_parts
+from pagemill.functions.urls import base_parts_sql, resolve_url_sql, url_host_sql
 from pagemill.operators.shred import ATTRIBUTES, cut_sql, shred
 from pagemill.schemas import EXPORT_COLUMNS, FIELDS
 
@@ -225,7 +225,7 @@ def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: b
     tags = frozenset().union(*(EXTRACTORS[f].tags for f in wanted))
     leaves = shred(pages, tags, ATTRIBUTES)
     if "base" in tags:
-        leaves = leaves.withColumn("base", base_url()).withColumn("base_parts", url_parts("base"))
+        leaves = leaves.withColumn("base", base_url()).withColumn("base_parts", F.expr(base_parts_sql("base")))
     records = f"concat({', '.join(EXTRACTORS[f].build() for f in wanted)})"
     if dedupe:
         records = _first_per_value_sql(records)
