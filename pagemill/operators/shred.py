@@ -51,15 +51,19 @@ _NODE = pa.struct(
 # Markup every reader agrees on: plain tags with well-formed attributes, doctypes, comments
 # without inner dashes. Pages made of nothing else are read token by token.
 _SPACE = r"[ \t\n\r\f]"
+_NAME = r"""[^\s/>="'<]++"""
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`][^\s"'<>`]*+)"""
+_VALUE_PARTS = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`][^\s"'<>`]*+))"""
+_EQUALS = rf"{_SPACE}*+={_SPACE}*+"
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}{_VALUE_PARTS})?")
 _TAG = re.compile(
-    rf"""<(?:/([a-zA-Z][a-zA-Z0-9:_-]*){_SPACE}*>
-    |([a-zA-Z][a-zA-Z0-9:_-]*)
-     ((?:{_SPACE}+[a-zA-Z_:@][a-zA-Z0-9_:.@-]*+(?:=(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'=<>`]++))?)*+)
+    rf"""<(?:/([a-zA-Z][a-zA-Z0-9:_-]*+){_SPACE}*+>
+    |([a-zA-Z][a-zA-Z0-9:_-]*+)
+     ((?:{_SPACE}++{_NAME}(?:{_EQUALS}{_VALUE})?)*+)
      {_SPACE}*+(/?)>
-    |!(?:--(?!-?>)(?:[^-]|-(?!-))*+-->|[dD][oO][cC][tT][yY][pP][eE][^>]*+>))""",
+    |!(?:--(?!-?>)(?:[^-]|-(?!-))*+-{{2,}}+>|[dD][oO][cC][tT][yY][pP][eE][^>]*+>))""",
     re.VERBOSE,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][a-zA-Z0-9_:.@-]*+)(?:=(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f"'=<>`]+)))?""")
 _REFERENCE = re.compile(r"&(?:#([0-9]+|[xX][0-9a-fA-F]+)|([a-zA-Z][-.a-zA-Z0-9]*));?")
 _ODD_REFERENCE = re.compile(r"&#(?:(?!(?:[0-9]+|[xX][0-9a-fA-F]+)[^0-9a-fA-F])|[0-9]{4000})")
 _RAW_END = {tag: re.compile(rf"</\s*{tag}", re.I) for tag in ("script", "style")}
@@ -147,7 +151,13 @@ class _PageParser(HTMLParser):
                     break
             token = match(html, here)
             if token is None:
-                return False
+                following = html[here + 1 : here + 2]
+                if not following or following in "/!?" or following.isascii() and following.isalpha():
+                    return False
+                if self._showing and not self._hiding:
+                    run.append("<")  # not markup
+                at = here + 1
+                continue
             at = token.end()
             closing, opening, attributes, slash = token.groups()
             if opening:

@@ -42,7 +42,8 @@ PIECES = [
     "text", " ", "\n", " ", "é", "日本", "&amp;", "&amp", "&am", "&", "& ", "&&", "&copy;", "&nosuch;", "&#65;", "&#x41;", "&#151;",
     "&#129;", "&#", "&#;", "&#x;", "&#12a;", "&#0;", "&#1114112;", "&#xD800;", "&lt;p&gt;", "&#" + "9" * 5000 + ";", "&a.b-c;", "&notit;", "&hellip", "a=b", "'", '"', ">",
     "<title>", "</title>", "<h1>", "</h1>", "<h2 id=x>", "</h2>", "<base href='/b/'>", "<meta name=description content='d'>",
-    "<link rel='canonical' href=/c>", "<div x>", "<div\x0bx>", "<div\x0cx='1'>", "<a\thref='t'\n>", "<a href='1'href='2'>", "<br></br>",
+    "<link rel='canonical' href=/c>", "<div x>", "<div\x0bx>", "<div\x0cx='1'>", "<a\thref='t'\n>", "<a :href.x='1' @y #z [q]=w href=ok>", "<a href=a=b>", "<a href= \"sp\" >", "<a href\x0b=1>", "<a\xa0href=1>",
+    "<!-- a --->", "<!-- - - -->", "<a href=/x/ >", "<a href='a>b'>", "<a href=\"a\nb\">", "<br / >", "<img src=x/>", "<a href=>", "<a href='x' =>", "x < y", "<é>", "<1>", "<a href='1'href='2'>", "<br></br>",
 ]
 
 
