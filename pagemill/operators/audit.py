@@ -1,7 +1,8 @@
 """Audits of a request log: spacing per domain, rate per client, cache hits, latest status.
 
-Ordered work per key is cut into time buckets, so one key with a third of all rows spreads
-over as many tasks as it has buckets. What crosses a bucket border is carried over from one
+Ordered work per key is one window for most keys. Keys with more than ``hot_rows`` rows,
+counted beforehand, are cut into time buckets, so one key with a third of all rows spreads
+over as many tasks as it has buckets; what crosses a bucket border is carried over from one
 summary row per bucket.
 """
 
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.times import epoch_micros, from_micros
 from pagemill.schemas import CACHE_TTL_SECONDS, DOMAIN_SPACING_MS, JOB_TTL_SECONDS, RATE_LIMIT_PER_MINUTE
-from pagemill.session import materialize
+from pagemill.session import checked_broadcast, materialize
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
 
 _MICROS = 1_000_000
+HOT_ROWS = 5_000_000  # what one task sorts with ease
 
 
 def _bucket(micros: str, width: int) -> Column:
@@ -33,55 +35,86 @@ def _bucket(micros: str, width: int) -> Column:
     return ((time - F.pmod(time, F.lit(width).cast("long"))) / width).cast("long")
 
 
-def _bucketed(requests: DataFrame, ts: str, seconds: int) -> DataFrame:
-    return requests.withColumn("_us", epoch_micros(requests, ts)).withColumn("_bucket", _bucket("_us", seconds * _MICROS))
+def _split_hot(rows: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys and, if there are any, rows of keys with more than *hot_rows*.
+
+    Runs a count per key. The list of large keys is at most the row count over *hot_rows* long;
+    it is broadcast when counted small.
+    """
+    counted = rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+    hot = checked_broadcast(counted, 256, "hot-keys")
+    if hot.isEmpty():
+        return rows, None
+    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+
+
+def _gaps(rows: DataFrame, key: str, order: str) -> DataFrame:
+    previous = F.lag("_us").over(W.partitionBy(key).orderBy("_us", order))
+    return rows.withColumn("_previous", previous)
+
+
+def _gaps_in_buckets(rows: DataFrame, key: str, order: str, width: int) -> DataFrame:
+    rows = rows.withColumn("_bucket", _bucket("_us", width))
+    last = rows.groupBy(key, "_bucket").agg(F.max("_us").alias("_last"))
+    by_key = W.partitionBy(key).orderBy("_bucket")
+    carried = last.select(key, "_bucket", F.lag("_last").over(by_key).alias("_carried"))
+    in_bucket = W.partitionBy(key, "_bucket").orderBy("_us", order)
+    previous = F.coalesce(F.lag("_us").over(in_bucket), F.col("_carried"))
+    return rows.join(carried, [key, "_bucket"]).withColumn("_previous", previous).drop("_bucket", "_carried")
 
 
 def spacing_audit(requests: DataFrame, key: str, ts: str, order: str, min_gap_ms: int = DOMAIN_SPACING_MS,
-                  bucket_seconds: int = 3600) -> DataFrame:
+                  bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Requests closer than *min_gap_ms* to the previous one of the same key, with the gap."""
-    rows = _bucketed(requests, ts, bucket_seconds)
-    last = rows.groupBy(key, "_bucket").agg(F.max("_us").alias("last"))
-    carried = last.select(
-        key, "_bucket", F.lag("last").over(W.partitionBy(key).orderBy("_bucket")).alias("carried")
-    )
-    in_bucket = W.partitionBy(key, "_bucket").orderBy("_us", order)
-    previous = F.coalesce(F.lag("_us").over(in_bucket), F.col("carried"))
-    return (
-        rows.join(carried, [key, "_bucket"])
-        .withColumn("gap_ms", (F.col("_us") - previous) / 1000.0)
-        .filter(F.col("gap_ms") < min_gap_ms)
-        .drop("_us", "_bucket", "carried")
-    )
+    usual, large = _split_hot(requests.withColumn("_us", epoch_micros(requests, ts)), key, hot_rows)
+    spaced = _gaps(usual, key, order)
+    if large is not None:
+        spaced = spaced.unionByName(_gaps_in_buckets(large, key, order, bucket_seconds * _MICROS))
+    gaps = spaced.withColumn("gap_ms", (F.col("_us") - F.col("_previous")) / 1000.0)
+    return gaps.filter(F.col("gap_ms") < min_gap_ms).drop("_us", "_previous")
 
 
-def spacing_schedule(requests: DataFrame, key: str, ts: str, order: str, gap_ms: int = DOMAIN_SPACING_MS,
-                     bucket_seconds: int = 3600) -> DataFrame:
-    """When each request may go out: ``slot = max(arrival, previous slot + gap)``, as ``slot_ts``.
+def _slots(rows: DataFrame, key: str, order: str, gap: int) -> DataFrame:
+    in_order = W.partitionBy(key).orderBy("_us", order)
+    rows = rows.withColumn("_pos", F.row_number().over(in_order).cast("long"))
+    lead = F.max(F.col("_us") - F.col("_pos") * gap).over(in_order)
+    return rows.withColumn("_slot", lead + F.col("_pos") * gap).drop("_pos")
 
-    Unrolled, a slot is the greatest ``arrival_j + (i - j) * gap`` over ``j <= i``: a running
-    maximum of ``arrival - position * gap`` plus the own position. Both split over buckets.
-    """
-    gap = gap_ms * 1000
+
+def _slots_in_buckets(rows: DataFrame, key: str, order: str, gap: int, width: int) -> DataFrame:
+    rows = rows.withColumn("_bucket", _bucket("_us", width))
     in_bucket = W.partitionBy(key, "_bucket").orderBy("_us", order)
-    rows = _bucketed(requests, ts, bucket_seconds).withColumn("_pos", F.row_number().over(in_bucket).cast("long"))
+    rows = rows.withColumn("_pos", F.row_number().over(in_bucket).cast("long"))
     rows = rows.withColumn("_lead", F.max(F.col("_us") - F.col("_pos") * gap).over(in_bucket))
-    per_bucket = rows.groupBy(key, "_bucket").agg(F.count("*").alias("n"), F.max("_lead").alias("lead"))
+    per_bucket = rows.groupBy(key, "_bucket").agg(F.count("*").alias("_n"), F.max("_lead").alias("_most"))
     before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        per_bucket.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("lead", F.col("lead") - F.col("_before") * gap)
-        .select(key, "_bucket", "_before", F.max("lead").over(before).alias("_carried"))
+        per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_most", F.col("_most") - F.col("_before") * gap)
+        .select(key, "_bucket", "_before", F.max("_most").over(before).alias("_carried"))
     )
     lead = F.greatest(F.col("_carried"), F.col("_lead") - F.col("_before") * gap)
     slot = lead + (F.col("_before") + F.col("_pos")) * gap
-    return (
-        rows.join(carried, [key, "_bucket"])
-        .withColumn("slot_ts", from_micros(requests, ts, slot))
-        .drop("_us", "_bucket", "_pos", "_lead", "_before", "_carried")
+    return rows.join(carried, [key, "_bucket"]).withColumn("_slot", slot).drop(
+        "_bucket", "_pos", "_lead", "_before", "_carried"
     )
 
 
+def spacing_schedule(requests: DataFrame, key: str, ts: str, order: str, gap_ms: int = DOMAIN_SPACING_MS,
+                     bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """When each request may go out: ``slot = max(arrival, previous slot + gap)``, as ``slot_ts``.
+
+    Unrolled, a slot is the greatest ``arrival_j + (i - j) * gap`` over ``j <= i``: a running
+    maximum of ``arrival - position * gap`` plus the own position. Both split over buckets.
+    """
+    gap = gap_ms * 1000
+    usual, large = _split_hot(requests.withColumn("_us", epoch_micros(requests, ts)), key, hot_rows)
+    slots = _slots(usual, key, order, gap)
+    if large is not None:
+        slots = slots.unionByName(_slots_in_buckets(large, key, order, gap, bucket_seconds * _MICROS))
+    return slots.withColumn("slot_ts", from_micros(requests, ts, F.col("_slot"))).drop("_us", "_slot")
+
+
 def rate_audit(requests: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT_PER_MINUTE,
                window: str = "1 minute") -> DataFrame:
     """Clients over *limit* requests in a tumbling window. Works on a watermarked stream too."""
@@ -120,22 +153,26 @@ def _fold_batches(ttl_us: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         keys = batch.column(0).dictionary_encode()
         codes = keys.indices.to_numpy()
         us = batch.column(1).to_numpy()
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        same_key = codes[1:] == codes[:-1]
+        # a key's first request, or one longer than the TTL after the one before, must store
+        must_store = np.r_[True, ~same_key | (us[1:] - us[:-1] > ttl_us)]
+        stored_us, hit = us.copy(), ~must_store
+        if keys.dictionary[int(codes[0])].as_py() == last_key:
+            first_key = int(np.argmin(same_key)) + 1 if not same_key.all() else len(us)
+            served = int(np.searchsorted(us[:first_key], stored + ttl_us, "right"))
+            stored_us[:served], hit[:served], must_store[:served] = stored, True, False
+            if served < first_key:
+                must_store[served] = True
+        starts = np.flatnonzero(must_store)
         ends = np.r_[starts[1:], len(us)]
-        hit = np.ones(len(us), dtype=bool)
-        stored_us = np.empty(len(us), dtype=np.int64)
-        for start, end in zip(starts.tolist(), ends.tolist()):
-            key, at = keys.dictionary[int(codes[start])].as_py(), start
-            if key == last_key:
-                at = start + int(np.searchsorted(us[start:end], stored + ttl_us, "right"))
-                stored_us[start:at] = stored
+        several = ends - starts > 1
+        hit[starts] = False
+        for at, end in zip(starts[several].tolist(), ends[several].tolist()):
             while at < end:
-                stored = int(us[at])
-                hit[at] = False
-                following = at + int(np.searchsorted(us[at:end], stored + ttl_us, "right"))
-                stored_us[at:following] = stored
+                following = at + int(np.searchsorted(us[at:end], us[at] + ttl_us, "right"))
+                hit[at], hit[at + 1 : following], stored_us[at:following] = False, True, us[at]
                 at = following
-            last_key = key
+        last_key, stored = keys.dictionary[int(codes[-1])].as_py(), int(stored_us[-1])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(hit), pa.array(stored_us)],
             names=["key", "us", "id", "hit", "stored_us"],
@@ -216,7 +253,7 @@ def _stamp(rows: DataFrame, stores: DataFrame, ttl_us: int) -> DataFrame:
 
 
 def cache_hits(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds: int = CACHE_TTL_SECONDS,
-               hot_rows: int = 5_000_000) -> DataFrame:
+               hot_rows: int = HOT_ROWS) -> DataFrame:
     """``key, ts, <order>, hit, stored_at``: a request hits when the stored entry of its key is at
     most *ttl_seconds* old; a miss stores anew, a hit does not refresh.
 
@@ -229,13 +266,10 @@ def cache_hits(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds:
         epoch_micros(requests, ts).alias("us"),
         F.col(order).cast("long").alias("id"),
     )
-    hot = materialize(rows.groupBy("key").count().filter(F.col("count") > hot_rows).select("key"), "cache-hot")
-    if hot.isEmpty():
-        hits = _fold(rows, ttl_us)
-    else:
-        large = rows.join(hot, "key", "left_semi")
-        small = rows.join(hot, "key", "left_anti")
-        hits = _fold(small, ttl_us).unionByName(_stamp(large, _stores(large, ttl_us), ttl_us))
+    usual, large = _split_hot(rows, "key", hot_rows)
+    hits = _fold(usual, ttl_us)
+    if large is not None:
+        hits = hits.unionByName(_stamp(large, _stores(large, ttl_us), ttl_us))
     return hits.select(
         F.col("key").cast(dict(requests.dtypes)[key]).alias(key),
         from_micros(requests, ts, F.col("us")).alias(ts),

@@ -185,6 +185,14 @@ SELECT event_id, user_id, NOT (us = stored_us AND event_id = min(event_id) OVER
 
 _RATES = """SELECT user_id, epoch_us(date_trunc('day', ts)::timestamp) AS window_us, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2"""
 
+_SPACING_AUDIT = """SELECT * FROM (SELECT event_id, user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000.0::double AS gap_ms FROM events) g
+      WHERE gap_ms < 3600000"""
+
+_SPACING_SCHEDULE = """WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      s AS (SELECT event_id, user_id, k, us AS slot_us FROM ev WHERE k = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.k, greatest(e.us, s.slot_us + 40000000000) FROM s JOIN ev e ON e.user_id = s.user_id AND e.k = s.k + 1)
+      SELECT event_id, slot_us FROM s"""
+
 _EXTRA = """CASE WHEN type = 'link' THEN json_object('text', text) WHEN type = 'heading' THEN json_object('level', level) END"""
 
 _CRAWL = f"""{plain('title', 'link')}, allowed AS ({_ROBOTS_RULES}),
@@ -320,12 +328,10 @@ ORACLES: dict[str, str] = {
       count(*) OVER (PARTITION BY page_id) AS total FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1)
       SELECT page_id, ord, value, CASE WHEN total > 10 THEN to_base64(encode('10')) END AS next_cursor FROM dense WHERE ord BETWEEN 5 AND 9""",
     "recent_jobs": "SELECT page_id AS id, 1700000000 + page_id % 60 AS created_s FROM pages ORDER BY created_s DESC, id DESC LIMIT 25",
-    "spacing_audit": """SELECT * FROM (SELECT event_id, user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000.0::double AS gap_ms FROM events) g
-      WHERE gap_ms < 3600000""",
-    "spacing_schedule": """WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-      s AS (SELECT event_id, user_id, k, us AS slot_us FROM ev WHERE k = 1
-        UNION ALL SELECT e.event_id, e.user_id, e.k, greatest(e.us, s.slot_us + 40000000000) FROM s JOIN ev e ON e.user_id = s.user_id AND e.k = s.k + 1)
-      SELECT event_id, slot_us FROM s""",
+    "spacing_audit": _SPACING_AUDIT,
+    "spacing_audit_large_keys": _SPACING_AUDIT,
+    "spacing_schedule": _SPACING_SCHEDULE,
+    "spacing_schedule_large_keys": _SPACING_SCHEDULE,
     "cache_hits": _STORES,
     "cache_hits_large_keys": _STORES,
     "union_records": f"""{plain('title', 'link')} SELECT page_id, CASE WHEN type = 'title' THEN 0 ELSE row_number() OVER (PARTITION BY page_id, type ORDER BY ord) - 1 END AS ord,

@@ -69,8 +69,8 @@ def test_fold_carries_a_key_over_batches():
     assert one == many and one["hit"].count(False) == 8
 
 
-@pytest.mark.parametrize("bucket", [60, 1000, 10**6])
-def test_spacing(log, bucket):
+@pytest.mark.parametrize("bucket, hot_rows", [(60, 0), (1000, 100), (10**6, 0), (60, 10**9)])
+def test_spacing(log, bucket, hot_rows):
     gap = 30_000
     audited, slots = {}, {}
     for group in by_key(requests()).values():
@@ -81,8 +81,8 @@ def test_spacing(log, bucket):
             last = ts
             slot = ts if slot is None else max(ts, slot + dt.timedelta(milliseconds=gap))
             slots[id_] = slot
-    assert {r.id: r.gap_ms for r in audit.spacing_audit(log, "k", "ts", "id", gap, bucket).collect()} == audited
-    assert {r.id: r.slot_ts for r in audit.spacing_schedule(log, "k", "ts", "id", gap, bucket).collect()} == slots
+    assert {r.id: r.gap_ms for r in audit.spacing_audit(log, "k", "ts", "id", gap, bucket, hot_rows).collect()} == audited
+    assert {r.id: r.slot_ts for r in audit.spacing_schedule(log, "k", "ts", "id", gap, bucket, hot_rows).collect()} == slots
 
 
 def test_live_jobs(spark):
