@@ -28,6 +28,10 @@ _LOOKALIKES = pattern(
 _TAIL = r"[^\x00-\x20;?#\x7f]*(?:\?[^\x00-\x20#\x7f]+)?(?:#[^\x00-\x20\x7f]+)?\z"
 _PLAIN_ABSOLUTE = pattern(r"\Ahttps?://[A-Za-z0-9._:\-]+(?=[/?#]|\z)" + _TAIL)
 _PLAIN_ROOTED = pattern(r"\A/(?!/)" + _TAIL)
+_PLAIN_RELATIVE = pattern(
+    r"\A[A-Za-z0-9_~%!$&()*+,=@-][^\x00-\x20:;?#\x7f]*(?:\?[^\x00-\x20#\x7f]+)?(?:#[^\x00-\x20\x7f]+)?\z"
+)
+_PLAIN_FRAGMENT = pattern(r"\A#[^\x00-\x20\x7f]+\z")
 _PLAIN_BASE = pattern(r"\Ahttps?://[A-Za-z0-9._:\-]+(?:[/?#]|\z)")
 _DOT_SEGMENT = pattern(r"(?:^|/)\.{1,2}(?:/|\z)")
 _DOT_LAST = pattern(r"(?:^|/)\.{1,2}\z")
@@ -110,20 +114,43 @@ def _join_parts_sql(base: str, base_parts: str, ref: str, own: str) -> str:
     )
 
 
+# Behind a base's parts, for the common forms of references: the address of its folder, of the
+# folder above, and of the page without fragment; each '' when it needs more than appending.
+_FOLDER, _ABOVE, _PAGE = 6, 7, 8
+
+
 def base_parts_sql(base: str) -> str:
     """What ``resolve_url_sql`` needs of a base, to be computed once per page."""
-    return _checked_parts_sql(base)
+    folder = f"coalesce(nullif(regexp_replace(p_base[2], {pattern(r'[^/]+\z')}, ''), ''), '/')"
+    above = f"regexp_replace(p_folder, {pattern(r'[^/]+/\z')}, '')"
+    usable = f"rlike({base}, {_PLAIN_BASE}) AND NOT contains(p_folder, '//') AND NOT contains(p_folder, '/.')"
+    origin = "lower(p_base[0]), '://', p_base[1]"
+    page = f"regexp_extract({base}, '^[^#]*', 0)"
+    quick = bind_sql(
+        folder,
+        "p_folder",
+        f"CASE WHEN {usable} THEN array(concat({origin}, p_folder), concat({origin}, {above}), "
+        f"CASE WHEN contains({base}, ';') OR rlike({base}, {pattern(r'[?](?:#|\z)|[\x00-\x20]')}) THEN '' ELSE {page} END) "
+        "ELSE array('', '', '') END",
+    )
+    return bind_sql(_checked_parts_sql(base), "p_base", f"concat(p_base, {quick})")
 
 
 def join_url_sql(base: str, ref: str, base_parts: str | None = None) -> str:
     if base_parts is None:
         return bind_sql(base_parts_sql(base), "b_parts", join_url_sql(base, ref, "b_parts"))
     slow = bind_sql(_checked_parts_sql(ref), "r_parts", _join_parts_sql(base, base_parts, ref, "r_parts"))
+    undotted = f"NOT contains({ref}, '//') AND NOT contains(substring({ref}, 3), '/.')"
     quick = (
-        f"CASE WHEN NOT rlike({base}, {_PLAIN_BASE}) THEN cast(NULL AS string) "
+        f"CASE WHEN coalesce({base_parts}[{_FOLDER}], '') = '' THEN cast(NULL AS string) "
         f"WHEN rlike({ref}, {_PLAIN_ABSOLUTE}) THEN {ref} "
         f"WHEN rlike({ref}, {_PLAIN_ROOTED}) AND NOT contains({ref}, '/.') "
-        f"THEN concat(lower({base_parts}[0]), '://', {base_parts}[1], {ref}) END"
+        f"THEN concat(lower({base_parts}[0]), '://', {base_parts}[1], {ref}) "
+        f"WHEN rlike({ref}, {_PLAIN_FRAGMENT}) AND {base_parts}[{_PAGE}] <> '' THEN concat({base_parts}[{_PAGE}], {ref}) "
+        f"WHEN rlike({ref}, {_PLAIN_RELATIVE}) AND {undotted} AND NOT startswith(substring({ref}, 2), '/.') "
+        f"THEN concat({base_parts}[{_FOLDER}], {ref}) "
+        f"WHEN startswith({ref}, '../') AND rlike(substring({ref}, 4), {_PLAIN_RELATIVE}) AND {undotted} "
+        f"THEN concat({base_parts}[{_ABOVE}], substring({ref}, 4)) END"
     )
     return f"coalesce({quick}, {slow})"
 

@@ -45,7 +45,8 @@ def _split_hot(rows: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, Dat
     hot = checked_broadcast(counted, 256, "hot-keys")
     if hot.isEmpty():
         return rows, None
-    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+    usual, large = rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+    return usual.select(*rows.columns), large.select(*rows.columns)
 
 
 def _gaps(rows: DataFrame, key: str, order: str) -> DataFrame:

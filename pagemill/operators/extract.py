@@ -121,7 +121,7 @@ def _tables() -> str:
         )
 
     def texts(indexes: str) -> str:
-        cell = bind_sql("nodes[c]", "cell", cut_sql("body", "cell.t0", "cell.t1"))
+        cell = bind_sql("nodes[c]", "cell", cut_sql("page_text", "cell.t0", "cell.t1"))
         return f"transform({indexes}, c -> {cell})"
 
     headers = f"nullif(array_join({texts(inside('tab', 'th', 'th'))}, ' | '), '')"
@@ -142,7 +142,10 @@ def _tables() -> str:
         "r -> r.shown), r -> r.record)"
     )
     tables = "filter(transform(nodes, (n, i) -> CASE WHEN n.tag = 'table' THEN i END), i -> i IS NOT NULL)"
-    return f"flatten(transform({tables}, (tab, tab_no) -> {bind_sql(headers, 'headers', rows)}))"
+    # reading ``body`` copies it, so it is read once
+    return bind_sql(
+        "body", "page_text", f"flatten(transform({tables}, (tab, tab_no) -> {bind_sql(headers, 'headers', rows)}))"
+    )
 
 
 def _open_graph() -> str:
@@ -234,14 +237,15 @@ def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: b
 
 def _first_per_value_sql(records: str) -> str:
     """First slim record per (type, value); long texts are compared by SHA-256 and length."""
-    raw = "substring(body, r.v0 + 1, r.v1 - r.v0)"
+    raw = "substring(page_text, r.v0 + 1, r.v1 - r.v0)"
     value_key = (
         "CASE WHEN r.value IS NOT NULL THEN concat(r.type, '=', r.value) "
         f"WHEN r.v1 - r.v0 <= 64 THEN concat(r.type, '=', cast({raw} AS string)) "
         f"ELSE concat(r.type, '#', sha2({raw}, 256), r.v1 - r.v0) END"
     )
     keyed = f"transform({records}, (r, i) -> named_struct('key', {value_key}, 'pos', i, 'record', r))"
-    return f"transform({first_of_key_sql(keyed)}, e -> e.record)"
+    # reading ``body`` copies it, so it is read once
+    return bind_sql("body", "page_text", f"transform({first_of_key_sql(keyed)}, e -> e.record)")
 
 
 _MADE = {
@@ -306,8 +310,9 @@ def extract_batch(
         "error",
     ]
     if with_data:
-        pairs = ", ".join(f"'{c}', {_MADE.get(c, f'r.{c}')}" for c in EXPORT_COLUMNS)
-        columns.append(F.expr(f"transform(records, r -> named_struct({pairs}))").alias("data"))
+        pairs = ", ".join(f"'{c}', {_MADE.get(c, f'r.{c}').replace('body', 'page_text')}" for c in EXPORT_COLUMNS)
+        data = bind_sql("body", "page_text", f"transform(records, r -> named_struct({pairs}))")
+        columns.append(F.expr(data).alias("data"))
     return arrays.select(*columns)
 
 

@@ -11,12 +11,15 @@ from pagemill.functions import hosts, urls
 PAGE = "https://example.com/page"
 
 BASES = [
+    "https://e.x/a/./b/c", "https://e.x/a/../b", "http://e.x/a;p/b;q?r", "http://e.x/a?#f", "http://e.x/a?q#f#g", "http://e.x?q", "http://e.x#f", "http://e.x/.a/b",
     PAGE, "https://example.com", "http://h.example/a/b/c.html?q=1#f", "https://cdn.example.com/",
     "HTTP://Up.Example/X/", "https://u:p@h:81/a//b/../c;p/d;q?x#y", "rel/path/", "", "/rooted/x",
     "ftp://files/x/y", "http:///nohost/x", "https://[::1]:80/a", "https://[bad/a", "https://h;x/a",
     "  https://lead.example/a ", "https:foo/bar", "https:foo", "//net.example/x", "mailto:x",
 ]
 REFS = [
+    "a/.b", "../.x", "../a/.b", "x/..", "../", "../x?y#z", "x?y=/./", "a/.", "..x", "../..x", "%2e/x", "x//y?//z", "#a b",
+    "../a:b", "../../x", "a/./b/", "../x//y", "x/y/z.html?a=1#f", "~u/", "@x", ".../x", "..;/x", "#a#b", "?", "#\x01",
     "", " ", "#section", "/about", "img/logo.png", "javascript:void(0)", "mailto:a@b.com", "tel:1",
     "JavaScript:x", " javascript:x", "https://other.com/page", "http://other.com/a/../b/./c",
     "//cdn.x/y?z", "?q=2", "?", "#", "x?", "x#", "../up", "../../../../up/x", "./here", ".", "..",
