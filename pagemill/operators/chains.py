@@ -37,11 +37,11 @@ def follow_chains(edges: DataFrame, blocked: DataFrame | None = None, max_hops:
     """``start_url, final_url, hops, outcome`` for every URL of *edges*.
 
     Outcomes: ``ok``, ``too_many`` (more than *max_hops* redirects), ``blocked`` (a hop's host
-    is in *blocked*), ``missing`` (no response for a hop). The plan has *max_hops* equi joins
-    and no iteration to wait for. URLs that do not redirect never enter a join, finished
-    chains leave the loop under a key of their own. Copies of a URL are combined to one row
-    first, so a URL that many chains lead to has a single row on the right, and the skew join
-    can split its left side.
+    is in *blocked*), ``missing`` (no response for a hop). The narrow edges are written out
+    once; after that the plan is *max_hops* equi joins. URLs that do not redirect never enter
+    a join, and finished chains leave the loop under a key of their own. Copies of a URL are
+    combined to one row first, so a URL that many chains lead to has a single row on the
+    right, and the skew join can split its left side.
     """
     known = (
         edges.groupBy("url").agg(F.max(F.struct("redirects", "target")).alias("edge")).select("url", "edge.*")
@@ -59,6 +59,8 @@ def follow_chains(edges: DataFrame, blocked: DataFrame | None = None, max_hops:
         none = F.lit(None).cast("boolean")
         known = known.withColumn("url_refused", none).withColumn("target_refused", none)
 
+    # several scans follow; none of them should go back to the responses or pages
+    known = materialize(known, "chain-edges")
     moving = F.col("redirects") & F.col("target").isNotNull() & F.col("url_refused").isNull()
     settled = known.filter(~moving).select(
         F.col("url").alias("start_url"),
@@ -114,9 +116,5 @@ def redirect_chain(responses: DataFrame, blocked: DataFrame | None = None, max_h
 
 
 def meta_refresh_chain(pages: DataFrame, blocked: DataFrame | None = None, max_hops: int = MAX_REDIRECTS) -> DataFrame:
-    """Where each page ends after meta refreshes.
-
-    The edges are written out first: they are narrow, and following them reads them several
-    times, which must not mean reading the pages several times.
-    """
-    return follow_chains(materialize(meta_refresh_edges(pages), "meta-refresh"), blocked, max_hops)
+    """Where each page ends after meta refreshes."""
+    return follow_chains(meta_refresh_edges(pages), blocked, max_hops)
