@@ -147,11 +147,11 @@ _HITS = "key string, us long, id long, hit boolean, stored_us long"
 
 def _fold_batches(ttl_us: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Greedy pass over rows sorted by (key, us, id); only the last store is carried along."""
-    last_key, stored = None, 0
+    last_key, stored = object(), 0  # no key yet; a key may be NULL
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(0).dictionary_encode()
+        keys = batch.column(0).dictionary_encode(null_encoding="encode")
         codes = keys.indices.to_numpy()
         us = batch.column(1).to_numpy()
         same_key = codes[1:] == codes[:-1]

@@ -281,7 +281,7 @@ def extraction_types(spark, sf):
     """Every field with the records it yields, fields without any included."""
     counts = records.records_by_type(extract.extract_records(pages_of(spark, sf)))
     named = records.extraction_types(spark).join(records.types_of_fields(spark), "field")
-    joined = named.join(F.broadcast(counts), "type", "left")
+    joined = named.join(counts, "type", "left")
     return joined.groupBy("position", "field").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 

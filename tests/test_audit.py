@@ -69,6 +69,14 @@ def test_fold_carries_a_key_over_batches():
     assert one == many and one["hit"].count(False) == 8
 
 
+@pytest.mark.parametrize("hot_rows", [10**9, 1])
+def test_null_keys_are_a_key(spark, hot_rows):
+    rows = [(i, k, START + dt.timedelta(seconds=60 * i)) for i, k in enumerate([None, 1, None, 1, None, None])]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz")
+    got = {r.id: (r.hit, r.stored_at) for r in audit.cache_hits(df, "k", "ts", "id", 130, hot_rows).collect()}
+    assert got == served(rows, 130) and {r.k for r in audit.cache_hits(df, "k", "ts", "id", 130).collect()} == {None, 1}
+
+
 @pytest.mark.parametrize("bucket, hot_rows", [(60, 0), (1000, 100), (10**6, 0), (60, 10**9)])
 def test_spacing(log, bucket, hot_rows):
     gap = 30_000
