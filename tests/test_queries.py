@@ -14,10 +14,11 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    own = {name for name in queries() if not name.startswith("op") or not name[2:3].isdigit()} - {"pipeline"}
+    assert own <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query(spark, connection, name):
     assert difference(spark, connection, SF, name, queries(), oracle_sql()) is None
 
