@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import simhash
+from pagemill.llm import simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,35 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    n_hit = suffixes.covered("ranges")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op10_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+item_at AS (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM sized),
+item_windows AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS t FROM item_at),
+doc_at AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k),
+doc_windows AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS t FROM doc_at),
+found AS (SELECT r, p, k, item_id FROM doc_windows JOIN item_windows USING (k, t)),
+hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM found) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n, list_sort(list(DISTINCT item_id)) AS l FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(array_to_string(items.l, ','), '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
