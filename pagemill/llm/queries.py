@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import simhash, suffixes
+from pagemill.llm import bayes, compression, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def held_out(folds: int) -> Column:
+    """Whether the row belongs to the held-out fold; a row without an id does not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 2, F.lit(False))
+
+
+@query
+def op2_compression(spark: SparkSession, sf: str) -> DataFrame:
+    return compression.compression_rules(table(spark, sf, "documents"))
+
+
 @query
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
@@ -29,6 +39,13 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = bayes.fit(docs.select("text", F.when(~held_out(4), F.col("lang")).alias("label")))
+    return bayes.predicted(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = suffixes.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
