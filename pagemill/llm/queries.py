@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bayes, compression, simhash, suffixes
+from pagemill.llm import bayes, compression, resampling, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return bayes.predicted(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op8_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = suffixes.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
