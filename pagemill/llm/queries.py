@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bayes, compression, resampling, simhash, suffixes
+from pagemill.llm import bayes, compression, lines, packing, resampling, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +27,23 @@ def held_out(folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 2, F.lit(False))
 
 
+@query
+def op1_lines(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), count="removed")
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return cleaned.select("doc_id", F.when(F.col("removed").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), "removed", "text")
+
+
 @query
 def op2_compression(spark: SparkSession, sf: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf, "documents"))
 
 
+@query
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
