@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE,
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
     """The documents with one row left of each near-duplicate group: that of the smallest doc_id
     (and of the smallest text hash, should rows share an id). All columns stay."""
     groups = near_duplicates(docs, shingle, distance)
