@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bayes, compression, grammar, lines, packing, resampling, simhash, suffixes
+from pagemill.llm import bayes, compression, grammar, lines, packing, resampling, simhash, suffixes, tagpaths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op2_compression(spark: SparkSession, sf: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf, "documents"))
 
 
+@query
+def op3_tagpaths(spark: SparkSession, sf: str) -> DataFrame:
+    return tagpaths.extracted(table(spark, sf, "pages"))
+
+
 @query
 def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
