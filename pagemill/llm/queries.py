@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bayes, compression, grammar, lines, packing, resampling, simhash, suffixes, tagpaths
+from pagemill.llm import attention, bayes, compression, grammar, lines, packing, resampling, simhash, suffixes, tagpaths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,12 @@ def op8_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op9_attention(spark: SparkSession, sf: str) -> DataFrame:
+    found = attention.language_model_scores(table(spark, sf, "documents"), held_out(7))
+    return found.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = suffixes.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
