@@ -39,7 +39,8 @@ def _split_hot(rows: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, Dat
     """Rows of ordinary keys and, if there are any, rows of keys with more than *hot_rows*.
 
     Runs a count per key. The list of large keys is at most the row count over *hot_rows* long;
-    it is broadcast when counted small.
+    it is broadcast when counted small. Keys are structs of the key column, so that a NULL key is a
+    key like any other in counts, windows and joins.
     """
     counted = rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
     hot = checked_broadcast(counted, 256, "hot-keys")
@@ -67,12 +68,13 @@ def _gaps_in_buckets(rows: DataFrame, key: str, order: str, width: int) -> DataF
 def spacing_audit(requests: DataFrame, key: str, ts: str, order: str, min_gap_ms: int = DOMAIN_SPACING_MS,
                   bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Requests closer than *min_gap_ms* to the previous one of the same key, with the gap."""
-    usual, large = _split_hot(requests.withColumn("_us", epoch_micros(requests, ts)), key, hot_rows)
-    spaced = _gaps(usual, key, order)
+    timed = requests.withColumns({"_us": epoch_micros(requests, ts), "_key": F.struct(key)})
+    usual, large = _split_hot(timed, "_key", hot_rows)
+    spaced = _gaps(usual, "_key", order)
     if large is not None:
-        spaced = spaced.unionByName(_gaps_in_buckets(large, key, order, bucket_seconds * _MICROS))
+        spaced = spaced.unionByName(_gaps_in_buckets(large, "_key", order, bucket_seconds * _MICROS))
     gaps = spaced.withColumn("gap_ms", (F.col("_us") - F.col("_previous")) / 1000.0)
-    return gaps.filter(F.col("gap_ms") < min_gap_ms).drop("_us", "_previous")
+    return gaps.filter(F.col("gap_ms") < min_gap_ms).drop("_us", "_previous", "_key")
 
 
 def _slots(rows: DataFrame, key: str, order: str, gap: int) -> DataFrame:
@@ -109,11 +111,12 @@ def spacing_schedule(requests: DataFrame, key: str, ts: str, order: str, gap_ms:
     maximum of ``arrival - position * gap`` plus the own position. Both split over buckets.
     """
     gap = gap_ms * 1000
-    usual, large = _split_hot(requests.withColumn("_us", epoch_micros(requests, ts)), key, hot_rows)
-    slots = _slots(usual, key, order, gap)
+    timed = requests.withColumns({"_us": epoch_micros(requests, ts), "_key": F.struct(key)})
+    usual, large = _split_hot(timed, "_key", hot_rows)
+    slots = _slots(usual, "_key", order, gap)
     if large is not None:
-        slots = slots.unionByName(_slots_in_buckets(large, key, order, gap, bucket_seconds * _MICROS))
-    return slots.withColumn("slot_ts", from_micros(requests, ts, F.col("_slot"))).drop("_us", "_slot")
+        slots = slots.unionByName(_slots_in_buckets(large, "_key", order, gap, bucket_seconds * _MICROS))
+    return slots.withColumn("slot_ts", from_micros(requests, ts, F.col("_slot"))).drop("_us", "_slot", "_key")
 
 
 def rate_audit(requests: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT_PER_MINUTE,
@@ -188,7 +191,7 @@ def _fold(rows: DataFrame, ttl_us: int) -> DataFrame:
 
 
 def _stores(rows: DataFrame, ttl_us: int) -> DataFrame:
-    """Times at which a store happens, for keys too large for one task: ``key, us, id``.
+    """Times at which a store happens, for keys too large for one task: ``key, us, bucket``.
 
     A bucket as wide as the TTL holds at most one store. For a block of buckets it is enough
     to know, for every event that could be the block's first store (those in its first bucket
@@ -197,8 +200,7 @@ def _stores(rows: DataFrame, ttl_us: int) -> DataFrame:
     round halves the rows. Going back down, a block's known first store yields its right
     half's. Every step works per (key, block), however many rows the key has.
     """
-    first_per_time = rows.groupBy("key", "us").agg(F.min("id").alias("id"))
-    times = materialize(first_per_time.withColumn("bucket", _bucket("us", ttl_us)), "cache-times")
+    times = materialize(rows.select("key", "us").distinct().withColumn("bucket", _bucket("us", ttl_us)), "cache-times")
     low, high = times.agg(F.min("bucket"), F.max("bucket")).first()
     levels = ceil(log2(high - low + 1)) if high > low else 0
 
@@ -233,12 +235,13 @@ def _stores(rows: DataFrame, ttl_us: int) -> DataFrame:
     for half in reversed(halves):
         found = materialize(found, "cache-stores")
         found = found.unionByName(found.join(half, ["key", "entry"]).select("key", F.col("then").alias("entry")))
-    return found.withColumnRenamed("entry", "us").join(times, ["key", "us"]).select("key", "us", "id", "bucket")
+    return found.withColumnRenamed("entry", "us").join(times, ["key", "us"]).select("key", "us", "bucket")
 
 
 def _stamp(rows: DataFrame, stores: DataFrame, ttl_us: int) -> DataFrame:
-    """Each row with the store it is served by: that of its own bucket or the one before."""
-    own = stores.select("key", "bucket", F.col("us").alias("own_us"), F.col("id").alias("own_id"))
+    """Each row with the store it is served by: that of its own bucket or the one before. Of the
+    rows of the store's time the first by id (NULL before all) is the miss."""
+    own = stores.select("key", "bucket", F.col("us").alias("own_us"))
     earlier = stores.select("key", (F.col("bucket") + 1).alias("bucket"), F.col("us").alias("earlier_us"))
     joined = (
         rows.withColumn("bucket", _bucket("us", ttl_us))
@@ -246,9 +249,12 @@ def _stamp(rows: DataFrame, stores: DataFrame, ttl_us: int) -> DataFrame:
         .join(earlier, ["key", "bucket"], "left")
     )
     served_here = F.coalesce(F.col("us") >= F.col("own_us"), F.lit(False))
+    stores_now = served_here & (F.col("us") == F.col("own_us"))
+    # ties of one time share a window; other rows get one of their own time, which is as small
+    first = F.row_number().over(W.partitionBy("key", "us").orderBy("id")) == 1
     return joined.select(
         "key", "us", "id",
-        (~(served_here & (F.col("us") == F.col("own_us")) & (F.col("id") == F.col("own_id")))).alias("hit"),
+        (~(stores_now & first)).alias("hit"),
         F.when(served_here, F.col("own_us")).otherwise(F.col("earlier_us")).alias("stored_us"),
     )
 
@@ -263,14 +269,15 @@ def cache_hits(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds:
     """
     ttl_us = ttl_seconds * _MICROS
     rows = requests.select(
-        F.col(key).cast("string").alias("key"),
+        F.struct(F.col(key).cast("string").alias("name")).alias("key"),
         epoch_micros(requests, ts).alias("us"),
         F.col(order).cast("long").alias("id"),
     )
     usual, large = _split_hot(rows, "key", hot_rows)
-    hits = _fold(usual, ttl_us)
+    hits = _fold(usual.withColumn("key", F.col("key.name")), ttl_us)
     if large is not None:
-        hits = hits.unionByName(_stamp(large, _stores(large, ttl_us), ttl_us))
+        served = _stamp(large, _stores(large, ttl_us), ttl_us)
+        hits = hits.unionByName(served.withColumn("key", F.col("key.name")))
     return hits.select(
         F.col("key").cast(dict(requests.dtypes)[key]).alias(key),
         from_micros(requests, ts, F.col("us")).alias(ts),

@@ -220,7 +220,7 @@ def base_url() -> Column:
 
 
 def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: bool = False) -> DataFrame:
-    """One row per page: ``page_id, url, body, error, records`` (slim, in emission order).
+    """One row per page: ``page_id, url, body, error, warnings, records`` (slim, in emission order).
 
     ``dedupe`` keeps the first record per (type, value) within the page.
     """
@@ -232,7 +232,8 @@ def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: b
     records = f"concat({', '.join(EXTRACTORS[f].build() for f in wanted)})"
     if dedupe:
         records = _first_per_value_sql(records)
-    return leaves.select("page_id", "url", "body", "error", F.expr(records).alias("records"))
+    warnings = F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")
+    return leaves.select("page_id", "url", "body", "error", warnings, F.expr(records).alias("records"))
 
 
 def _first_per_value_sql(records: str) -> str:
@@ -297,6 +298,7 @@ def extract_batch(
     pages: DataFrame, fields: Iterable[str] | None = None, with_data: bool = False, dedupe: bool = False
 ) -> DataFrame:
     """One row per page: ``success, record_count, warnings, error`` and, if asked, ``data``.
+    ``warnings`` are those that the pages bring along (of the robots check, say).
 
     The page's records are already together in one row, so nothing is grouped or joined.
     """
@@ -306,7 +308,7 @@ def extract_batch(
         "url",
         F.col("error").isNull().alias("success"),
         F.size("records").alias("record_count"),
-        F.array().cast("array<string>").alias("warnings"),
+        "warnings",
         "error",
     ]
     if with_data:
@@ -317,13 +319,13 @@ def extract_batch(
 
 
 def flatten_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``extract_batch(with_data=True)`` output as (records, warnings); errors as ``url: error``."""
+    """``extract_batch(with_data=True)`` output as (records, messages): a page's warnings as they are,
+    its error as ``url: error``."""
     records = batch.select("page_id", F.posexplode("data").alias("ord", "r")).select(
         "page_id", F.col("ord").cast("long").alias("ord"), "r.*"
     )
-    messages = F.when(F.col("success"), F.col("warnings")).otherwise(
-        F.array(F.concat("url", F.lit(": "), "error"))
-    )
+    failure = F.when(F.col("success"), F.array().cast("array<string>")).otherwise(F.array(F.concat("url", F.lit(": "), "error")))
+    messages = F.concat("warnings", failure)
     return records, batch.select("page_id", "url", F.explode(messages).alias("message"))
 
 

@@ -1,4 +1,9 @@
-"""Job history: append-only tables of jobs and their records, and what is read off them."""
+"""Job history: append-only tables of jobs and their records, and what is read off them.
+
+A job is known by the pair (``run``, ``id``): the run that saved it and the page. Its records carry
+the pair as (``run``, ``job_id``) and are told apart by ``ord``. No id is computed, so none collides
+between runs and none overflows.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +21,7 @@ from pagemill.schemas import (
     JOB_SCHEMA,
     MAX_HISTORY_ROWS,
 )
-from pagemill.session import materialize
-
-_IDS_PER_JOB = 1 << 24  # more records than a page of the allowed size can hold
-
+from pagemill.session import materialize, remove
 
 def extra_json() -> Column:
     """A record's other keys as JSON, NULL when it has none."""
@@ -43,10 +45,10 @@ def job_rows(batch: DataFrame, fields: Iterable[str], created_at: Column, durati
 
 
 def job_record_rows(records: DataFrame) -> DataFrame:
-    """``JOB_RECORD_SCHEMA`` rows; the id follows from page and position, so a rerun repeats it."""
+    """``JOB_RECORD_SCHEMA`` rows."""
     return records.select(
-        (F.col("page_id") * _IDS_PER_JOB + F.col("ord")).alias("id"),
         F.col("page_id").alias("job_id"),
+        "ord",
         "type",
         "value",
         extra_json().alias("extra"),
@@ -60,7 +62,7 @@ def save_history(
     fields: Iterable[str] | None = None,
     run: str | None = None,
     created_at: Column | None = None,
-    duration_ms: float = 0.0,
+    duration_ms: float | Column = 0.0,
     used_js: bool = False,
 ) -> str:
     """Extract *pages* and append ``jobs`` and ``job_records`` under *path*; returns the run id.
@@ -74,11 +76,10 @@ def save_history(
     arrays = page_arrays(pages, wanted, dedupe=True)
     arrays = materialize(arrays.withColumn("record_count", F.size("records")), "history")
     batch = arrays.select(
-        "page_id", "url", F.col("error").isNull().alias("success"), "record_count",
-        F.array().cast("array<string>").alias("warnings"),
+        "page_id", "url", F.col("error").isNull().alias("success"), "record_count", "warnings"
     )
     jobs = job_rows(batch, wanted, created_at if created_at is not None else F.current_timestamp(),
-                    F.lit(duration_ms), used_js)
+                    duration_ms if isinstance(duration_ms, Column) else F.lit(duration_ms), used_js)
     records = job_record_rows(explode_records(arrays.filter("error IS NULL")))
     for name, rows in (("job_records", records), ("jobs", jobs)):
         (
@@ -88,41 +89,47 @@ def save_history(
             .partitionBy("run")
             .parquet(f"{path.rstrip('/')}/{name}")
         )
+    remove(arrays)
     return run
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOB_SCHEMA + ", run string").parquet(f"{path.rstrip('/')}/jobs").drop("run")
+    """``JOB_SCHEMA`` rows with their ``run``."""
+    return spark.read.schema(JOB_SCHEMA + ", run string").parquet(f"{path.rstrip('/')}/jobs")
 
 
 def read_job_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOB_RECORD_SCHEMA + ", run string").parquet(f"{path.rstrip('/')}/job_records").drop("run")
+    """``JOB_RECORD_SCHEMA`` rows with the ``run`` of their job."""
+    return spark.read.schema(JOB_RECORD_SCHEMA + ", run string").parquet(f"{path.rstrip('/')}/job_records")
 
 
-def history_records(job_records: DataFrame, job_id: int | None = None) -> DataFrame:
-    """Records of one job (or all), ``extra`` spread back into columns.
+def history_records(job_records: DataFrame, job_id: int | None = None, run: str | None = None) -> DataFrame:
+    """Records of one job (*run* and *job_id*), of a page's jobs in all runs, or all; ``extra``
+    spread back into columns.
 
-    The id filter reaches the scan, where file and row-group ranges of ``job_id`` prune it.
+    The filters reach the scan: the run is a folder, and file and row-group ranges of ``job_id``
+    prune the rest.
     """
-    rows = job_records if job_id is None else job_records.filter(F.col("job_id") == job_id)
+    rows = job_records if run is None else job_records.filter(F.col("run") == run)
+    rows = rows if job_id is None else rows.filter(F.col("job_id") == job_id)
     spread = rows.withColumn("e", F.from_json("extra", EXTRA_SCHEMA))
-    return spread.select("id", "job_id", "type", "value", "e.*", "source_url")
+    return spread.select("run", "job_id", "ord", "type", "value", "e.*", "source_url")
 
 
 def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
     """Newest jobs first, at most 200."""
-    return jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(min(limit, MAX_HISTORY_ROWS))
+    return jobs.orderBy(F.desc("created_at"), F.desc("run"), F.desc("id")).limit(min(limit, MAX_HISTORY_ROWS))
 
 
 def job_with_records(jobs: DataFrame, job_records: DataFrame) -> DataFrame:
     """Each job's row beside each of its records."""
-    left = jobs.select(F.col("id").alias("job_id"), "url", "status", "record_count")
-    right = job_records.select("job_id", F.col("id").alias("record_id"), "type", "value")
-    return left.join(right, "job_id")
+    left = jobs.select("run", F.col("id").alias("job_id"), "url", "status", "record_count")
+    right = job_records.select("run", "job_id", "ord", "type", "value")
+    return left.join(right, ["run", "job_id"])
 
 
 def jobs_without_records(jobs: DataFrame, job_records: DataFrame) -> DataFrame:
-    return jobs.join(job_records.select(F.col("job_id").alias("id")), "id", "left_anti")
+    return jobs.join(job_records.select("run", F.col("job_id").alias("id")), ["run", "id"], "left_anti")
 
 
 def dashboard_totals(jobs: DataFrame, job_records: DataFrame) -> DataFrame:

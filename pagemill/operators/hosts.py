@@ -24,8 +24,8 @@ def blocked_hosts(addresses: DataFrame) -> DataFrame:
     return host_verdicts(addresses).filter("blocked").select("host")
 
 
-def drop_blocked(pages: DataFrame, addresses: DataFrame, unresolved_too: bool = False) -> DataFrame:
-    """Pages whose host is not blocked; *unresolved_too* also drops hosts without any address.
+def drop_blocked(pages: DataFrame, addresses: DataFrame, unresolved_too: bool = True) -> DataFrame:
+    """Pages whose host is not blocked and, unless *unresolved_too* is off, has an address.
 
     Pages carry their markup, so they should not move: the host list, one row per host, is
     broadcast when it is counted small. Otherwise the join sorts and merges, and its skew

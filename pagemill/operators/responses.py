@@ -76,7 +76,8 @@ def too_large(responses: DataFrame, limit: int = MAX_BODY_BYTES) -> DataFrame:
 
 
 def decode_pages(responses: DataFrame, limit: int = MAX_BODY_BYTES) -> DataFrame:
-    """Responses that are pages, decoded: ``url, html, encoding`` (and ``page_id`` if present)."""
+    """Responses that are pages, decoded: ``url, html, encoding`` (and ``page_id`` if present).
+    The others are the rows of :func:`refused_responses`."""
     kept = size_cap(html_only(responses), limit).withColumn("charset", detect_charset("body", "content_type"))
     ids = [c for c in ("page_id",) if c in responses.columns]
     return kept.select(
@@ -87,6 +88,16 @@ def decode_pages(responses: DataFrame, limit: int = MAX_BODY_BYTES) -> DataFrame
     )
 
 
+def refused_responses(responses: DataFrame, limit: int = MAX_BODY_BYTES) -> DataFrame:
+    """``url, code, message`` of each response that :func:`decode_pages` leaves out: of no type
+    for a page, or else too large, or without a body."""
+    pages = html_only(responses)
+    empty = pages.filter("body IS NULL").select(
+        "url", F.lit("UPSTREAM_HTTP_ERROR").alias("code"), F.lit(MESSAGES["UPSTREAM_HTTP_ERROR"]).alias("message")
+    )
+    return not_html(responses).unionByName(too_large(pages, limit)).unionByName(empty)
+
+
 def classify_error(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
     """*outcomes* with ``code``, ``http_status`` and ``message``; ``ok`` rows get NULLs.
 

@@ -51,8 +51,12 @@ def _rule_path(text: str) -> Column:
 
 
 def _one_per_site(robots: DataFrame) -> DataFrame:
-    """Copies of a site's file combined to one (of differing ones the last in order of status and body)."""
-    return robots.groupBy("site").agg(F.max(F.struct("status", "body")).alias("file")).select("site", "file.*")
+    """Copies of a site's file combined to one: the newest that could be read (by ``fetched_at``, if
+    there is such a column), else the newest; of equally new ones the last by status and body."""
+    usable = F.coalesce(F.col("status") < 400, F.lit(False)).alias("usable")
+    newest = ["fetched_at"] if "fetched_at" in robots.columns else []
+    best = F.max(F.struct(usable, *newest, "status", "body")).alias("file")
+    return robots.groupBy("site").agg(best).select("site", "file.status", "file.body")
 
 
 def robots_rules(robots: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:

@@ -268,12 +268,13 @@ class _Batch:
 
     def __init__(self) -> None:
         self.bytes = 0
-        self.ids, self.urls, self.bodies, self.errors = [], [], [], []
+        self.ids, self.urls, self.bodies, self.errors, self.warnings = [], [], [], [], []
         self.offsets, self.attr_offsets = [0], [0]
         self.tags, self.last, self.t0, self.t1, self.keys, self.values = [], [], [], [], [], []
 
-    def add(self, page_id, url, body: bytes, nodes: Iterable[list], error: str | None) -> None:
+    def add(self, page_id, url, warnings, body: bytes, nodes: Iterable[list], error: str | None) -> None:
         self.ids.append(page_id)
+        self.warnings.append(warnings)
         self.urls.append(url)
         self.bodies.append(body)
         self.errors.append(error)
@@ -317,15 +318,18 @@ class _Batch:
                 pa.array(self.bodies, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), nodes),
                 pa.array(self.errors, pa.string()),
+                pa.array(self.warnings, pa.list_(pa.string())),
             ],
-            names=["page_id", "url", "body", "nodes", "error"],
+            names=["page_id", "url", "body", "nodes", "error", "warnings"],
         )
 
 
 def parse_page(parser: _PageParser, html: str | None) -> tuple[bytes, list, str | None]:
-    """Text, nodes and error of one page; a page that cannot be parsed fails alone."""
+    """Text, nodes and error of one page; a page that is missing or cannot be parsed fails alone."""
+    if html is None:
+        return b"", [], "page without markup"
     try:
-        return (*parser.parse(html or ""), None)
+        return (*parser.parse(html), None)
     except Exception as exc:  # noqa: BLE001 - whatever the markup provokes is the page's warning
         return b"", [], str(exc) or type(exc).__name__
 
@@ -336,8 +340,8 @@ def _shred_batches(
     parser = _PageParser(tags, attributes)
     out = _Batch()
     for batch in batches:
-        for page_id, url, html in zip(*(column.to_pylist() for column in batch.columns)):
-            out.add(page_id, url, *parse_page(parser, html))
+        for page_id, url, html, warnings in zip(*(column.to_pylist() for column in batch.columns)):
+            out.add(page_id, url, warnings, *parse_page(parser, html))
             if out.full:
                 yield out.to_arrow()
                 out = _Batch()
@@ -354,10 +358,11 @@ def shred(
 
     ``nodes[i].last`` is the index of the last element inside ``nodes[i]``; ``t0``/``t1`` are
     byte offsets of its text in ``body``. Works on static and streaming DataFrames. Filter
-    pages first: nothing is pushed down through it.
+    pages first: nothing is pushed down through it. Pages may bring ``warnings`` (strings) along.
     """
     run = partial(_shred_batches, frozenset(tags), frozenset(attributes))
-    return pages.select("page_id", "url", "html").mapInArrow(run, LEAF_SCHEMA)
+    warnings = F.col("warnings") if "warnings" in pages.columns else F.lit(None)
+    return pages.select("page_id", "url", "html", warnings.cast("array<string>").alias("warnings")).mapInArrow(run, LEAF_SCHEMA)
 
 
 def cut_sql(body: str, start: str, stop: str) -> str:

@@ -85,6 +85,11 @@ ROBOTS = f"""SELECT site, CASE WHEN length(site) % 7 = 6 THEN NULL WHEN length(s
     ELSE 'User-agent: *' END AS body
   FROM (SELECT DISTINCT {SITE} AS site FROM pages) s"""
 
+# Several copies of each file that could be read: an older one, and a newer that failed.
+ROBOTS_COPIES = f"""SELECT site, status, body, 2 AS fetched_at FROM ({ROBOTS}) r
+  UNION ALL SELECT site, 200 AS status, concat('User-agent: *', chr(10), 'Disallow: /') AS body, 1 AS fetched_at FROM ({ROBOTS}) r WHERE status = 200
+  UNION ALL SELECT site, 503 AS status, NULL AS body, 3 AS fetched_at FROM ({ROBOTS}) r WHERE status = 200"""
+
 # Two addresses per host, of which the second depends on the page.
 ADDRESSES = f"""SELECT {HOST} AS host, concat('93.184.', page_id % 250, '.', length(url) % 250) AS ip FROM pages
   UNION ALL SELECT {HOST} AS host, CASE WHEN page_id % 97 = 0 THEN concat('10.', page_id % 256, '.0.1') WHEN page_id % 89 = 0 THEN concat('172.', page_id % 64, '.0.1')

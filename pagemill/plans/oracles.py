@@ -172,9 +172,10 @@ SELECT start_url, here AS final_url, hops, outcome FROM chain WHERE outcome IS N
 _REFRESH_TARGET = "CASE WHEN page_id % 6 > 1 THEN concat('https://r.example.com/p/', page_id + page_id % 4 + 1) END"
 
 _HISTORY = f"""{rich(1)},
-jobs AS (SELECT p.page_id AS id, p.url, 'done' AS status, (SELECT count(*) FROM recs r WHERE r.page_id = p.page_id) AS record_count,
-  p.page_id % 100 + 0.25::double AS duration_ms, 1700000000 + p.page_id % 60 AS created_s FROM pages p),
-job_records AS (SELECT page_id AS job_id, type, value FROM recs WHERE type = 'meta_keywords')"""
+runs AS (SELECT * FROM (VALUES ('r1', 1, 1700000000), ('r2', 2, 1700000030)) AS v(run, step, first)),
+jobs AS (SELECT run, p.page_id AS id, p.url, 'done' AS status, (SELECT count(*) FROM recs r WHERE r.page_id = p.page_id) AS record_count,
+  p.page_id % 100 + 0.25::double AS duration_ms, first + p.page_id % 60 AS created_s FROM pages p JOIN runs ON p.page_id % step = 0),
+job_records AS (SELECT run, page_id AS job_id, type, value FROM recs JOIN runs ON page_id % step = 0 WHERE type = 'meta_keywords')"""
 
 _STORES = """WITH RECURSIVE ev AS (SELECT user_id, epoch_us(ts) AS us, event_id FROM events),
 stores AS (SELECT user_id, min(us) AS us FROM ev GROUP BY user_id
@@ -183,6 +184,13 @@ stores AS (SELECT user_id, min(us) AS us FROM ev GROUP BY user_id
 served AS (SELECT e.event_id, e.user_id, e.us, (SELECT max(s.us) FROM stores s WHERE s.user_id = e.user_id AND s.us <= e.us) AS stored_us FROM ev e)
 SELECT event_id, user_id, NOT (us = stored_us AND event_id = min(event_id) OVER (PARTITION BY user_id, us)) AS hit, stored_us FROM served"""
 
+_STORES_REPEATED = """WITH RECURSIVE once AS (SELECT CASE WHEN event_id % 3 <> 0 THEN user_id END AS user_id, epoch_us(ts) AS us, event_id FROM events),
+ev AS (SELECT *, coalesce(user_id, -1) AS k FROM (SELECT * FROM once UNION ALL SELECT * FROM once) e),
+stores AS (SELECT k, min(us) AS us FROM ev GROUP BY k
+  UNION ALL SELECT s.k, (SELECT min(e.us) FROM ev e WHERE e.k = s.k AND e.us > s.us + 86400000000) AS us FROM stores s WHERE s.us IS NOT NULL),
+served AS (SELECT e.*, s.us AS stored_us FROM ev e ASOF JOIN (SELECT * FROM stores WHERE us IS NOT NULL) s ON s.k = e.k AND s.us <= e.us)
+SELECT event_id, user_id, NOT (us = stored_us AND row_number() OVER (PARTITION BY k, us ORDER BY event_id) = 1) AS hit, stored_us FROM served"""
+
 _RATES = """SELECT user_id, epoch_us(date_trunc('day', ts)::timestamp) AS window_us, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2"""
 
 _SPACING_AUDIT = """SELECT * FROM (SELECT event_id, user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000.0::double AS gap_ms FROM events) g
@@ -198,6 +206,13 @@ _EXTRA = """CASE WHEN type = 'link' THEN json_object('text', text) WHEN type = '
 _CRAWL = f"""{plain('title', 'link')}, allowed AS ({_ROBOTS_RULES}),
 kept AS (SELECT * FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1 AND page_id IN (SELECT page_id FROM allowed WHERE allowed))"""
 
+def _saved_rich(kept: str) -> str:
+    return f"""{rich(2, 4, 6)}, firsts AS ({_FIRST_PER_VALUE}), saved AS (
+      SELECT run, page_id, row_number() OVER (PARTITION BY run, page_id ORDER BY ord) - 1 AS ord, type, value, text, level, table_index, row_index, table_headers
+      FROM firsts JOIN (VALUES ('r1', 1), ('r2', 2)) AS v(run, step) ON page_id % step = 0 AND (run = 'r1' OR type = 'link') WHERE copy = 1)
+      SELECT run, page_id AS job_id, ord, type, value, text, level, table_index, row_index, table_headers FROM saved WHERE {kept}"""
+
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "read_pages": "SELECT page_id, url, CAST(length(html) AS int) AS n_chars FROM pages",
@@ -206,16 +221,18 @@ ORACLES: dict[str, str] = {
     "write_json": f"{rich(0, 4, 6)} SELECT type, value, text, table_index, source_url FROM recs",
     "export_view": f"{rich(0, 4, 6)} SELECT type, {_cell('value')} AS value, {_cell('text')} AS text, table_index, {_cell('source_url')} AS source_url FROM recs",
     "export_cap": f"{plain('link')} SELECT type, count(*) AS n FROM recs GROUP BY type",
-    "save_history": f"""{plain('title', 'heading', 'link')}, firsts AS ({_FIRST_PER_VALUE})
-      SELECT p.page_id AS id, p.url, 'title,headings,links' AS fields, 'done' AS status, CAST(count(f.value) AS int) AS record_count, 0 AS warning_count,
-      12.5::double AS duration_ms, 1700000000 + p.page_id AS created_s, false AS used_js
-      FROM pages p LEFT JOIN firsts f ON f.page_id = p.page_id AND f.copy = 1 GROUP BY p.page_id, p.url""",
-    "save_history_records": f"""{plain('title', 'heading', 'link')} SELECT page_id AS job_id, type, value,
-      CAST({_EXTRA} AS varchar) AS extra, source_url FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1""",
-    "read_history_records": f"{rich(2, 4, 6)} SELECT page_id AS job_id, type, value, text, level, table_index, row_index, table_headers FROM recs",
+    "save_history": f"""{plain('title', 'heading', 'link')}, firsts AS ({_FIRST_PER_VALUE}),
+      runs AS (SELECT * FROM (VALUES ('r1', 1, 'title,headings,links', 1700000000, 12.5::double, false), ('r2', 3, 'title', 1800000000, 2.5::double, true)) AS v(run, step, fields, first, duration_ms, used_js))
+      SELECT run, p.page_id AS id, p.url, fields, 'done' AS status, CAST(count(f.value) AS int) AS record_count, 0 AS warning_count, duration_ms, first + p.page_id AS created_s, used_js
+      FROM runs JOIN pages p ON p.page_id % step = 0 LEFT JOIN firsts f ON f.page_id = p.page_id AND f.copy = 1 AND (run = 'r1' OR f.type = 'title') GROUP BY ALL""",
+    "save_history_records": f"""{plain('title', 'heading', 'link')}, firsts AS ({_FIRST_PER_VALUE})
+      SELECT run, page_id AS job_id, row_number() OVER (PARTITION BY run, page_id ORDER BY ord) - 1 AS ord, type, value, CAST({_EXTRA} AS varchar) AS extra, source_url
+      FROM firsts JOIN (VALUES ('r1', 1), ('r2', 3)) AS v(run, step) ON page_id % step = 0 AND (run = 'r1' OR type = 'title') WHERE copy = 1""",
+    "read_history_records": _saved_rich("true"),
+    "read_history_job": _saved_rich("page_id = 4 AND run = 'r2'"),
     "read_responses": """SELECT url, 200 AS status, content_type, CAST(CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS int) AS n_bytes
       FROM (""" + dd(given.RAW_RESPONSES).replace("SELECT page_id, url,", "SELECT page_id, url, html,") + ") r",
-    "read_body_files": "SELECT CAST(sum(octet_length(encode(html)) + 1) AS bigint) AS n_bytes, 200 AS status FROM pages",
+    "read_body_files": "SELECT page_id % 4 AS part, CAST(sum(octet_length(encode(html)) + 1) AS int) AS n_bytes, 200 AS status FROM pages GROUP BY part",
     # extraction
     "shred": f"""WITH {ELEMENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_id FROM els WHERE tag <> 'li')
       SELECT k.page_id, CAST(k.node_id AS int) AS node_id, (SELECT CAST(max(x.node_id) AS int) FROM kept x WHERE x.page_id = k.page_id AND x.i >= k.i AND x.i < k.j) AS end_id,
@@ -299,6 +316,7 @@ ORACLES: dict[str, str] = {
       ('timeout', 'TIMEOUT', 504, 'The request timed out. The target site may be slow or unreachable.')) AS t(outcome, code, http_status, message) USING (outcome)""",
     # joins
     "robots_verdict": _ROBOTS_RULES,
+    "robots_copies": _ROBOTS_RULES,
     "robots_allowed": f"SELECT page_id, url FROM ({_ROBOTS_RULES}) v WHERE allowed",
     "blocked_hosts": _HOST_VERDICTS,
     "drop_blocked": f"SELECT page_id, url FROM pages WHERE {HOST} NOT IN (SELECT host FROM ({_HOST_VERDICTS}) v WHERE blocked)",
@@ -306,8 +324,8 @@ ORACLES: dict[str, str] = {
     "meta_refresh_chain": _chains(f"SELECT concat('https://r.example.com/p/', page_id) AS url, page_id % 6 > 1 AS hop, {_REFRESH_TARGET} AS target FROM pages", "SELECT '' AS host WHERE false"),
     "requested_records": f"""{plain('title', 'paragraph', 'link')} SELECT page_id, type, value FROM recs
       WHERE CASE page_id % 3 WHEN 0 THEN type IN ('title', 'link') WHEN 1 THEN type = 'paragraph' ELSE false END""",
-    "job_with_records": f"{_HISTORY} SELECT j.id AS job_id, j.url, j.status, CAST(j.record_count AS int) AS record_count, r.type, r.value FROM jobs j JOIN job_records r ON r.job_id = j.id",
-    "jobs_without_records": f"{_HISTORY} SELECT id, url FROM jobs WHERE id NOT IN (SELECT job_id FROM job_records)",
+    "job_with_records": f"{_HISTORY} SELECT j.run, j.id AS job_id, j.url, j.status, CAST(j.record_count AS int) AS record_count, r.type, r.value FROM jobs j JOIN job_records r ON r.job_id = j.id AND r.run = j.run",
+    "jobs_without_records": f"{_HISTORY} SELECT run, id, url FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM job_records r WHERE r.job_id = j.id AND r.run = j.run)",
     # aggregates
     "dashboard_totals": f"{_HISTORY} SELECT (SELECT count(*) FROM jobs) AS total_jobs, (SELECT count(*) FROM job_records) AS total_records, (SELECT round(avg(duration_ms), 1) FROM jobs) AS avg_duration_ms",
     "records_by_type": f"{rich(*ALL_RANKS)} SELECT type, count(*) AS n FROM recs GROUP BY type",
@@ -327,13 +345,15 @@ ORACLES: dict[str, str] = {
     "page_records": f"""{plain('paragraph', 'link')}, dense AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, value,
       count(*) OVER (PARTITION BY page_id) AS total FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1)
       SELECT page_id, ord, value, CASE WHEN total > 10 THEN to_base64(encode('10')) END AS next_cursor FROM dense WHERE ord BETWEEN 5 AND 9""",
-    "recent_jobs": "SELECT page_id AS id, 1700000000 + page_id % 60 AS created_s FROM pages ORDER BY created_s DESC, id DESC LIMIT 25",
+    "recent_jobs": f"{_HISTORY} SELECT run, id, created_s FROM jobs ORDER BY created_s DESC, run DESC, id DESC LIMIT 25",
     "spacing_audit": _SPACING_AUDIT,
     "spacing_audit_large_keys": _SPACING_AUDIT,
     "spacing_schedule": _SPACING_SCHEDULE,
     "spacing_schedule_large_keys": _SPACING_SCHEDULE,
     "cache_hits": _STORES,
     "cache_hits_large_keys": _STORES,
+    "cache_hits_repeated": _STORES_REPEATED,
+    "cache_hits_repeated_large_keys": _STORES_REPEATED,
     "union_records": f"""{plain('title', 'link')} SELECT page_id, CASE WHEN type = 'title' THEN 0 ELSE row_number() OVER (PARTITION BY page_id, type ORDER BY ord) - 1 END AS ord,
       type, value, text, level FROM recs""",
     # request state

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import charset, tokens, urls
@@ -23,6 +23,7 @@ from pagemill.sources.readers import (
     read_pages,
     read_responses,
     read_url_list,
+    spread,
     stream_pages,
     stream_table,
 )
@@ -50,7 +51,7 @@ def query_named(name: str) -> Callable[[Query], Query]:
 
 
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(spark, f"{sf}/pages.parquet")
+    return spread(read_pages(spark, f"{sf}/pages.parquet"), spark.sparkContext.defaultParallelism)
 
 
 def events_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,32 +123,52 @@ def export_cap_guard(spark, sf):
     return export_cap(records.records_by_type(extract.extract_records(pages_of(spark, sf), ["links"])), 2000)
 
 
+def _created(first: int) -> Column:
+    return F.timestamp_seconds(F.lit(first) + F.col("page_id"))
+
+
 def _saved(spark: SparkSession, sf: str) -> str:
-    path = scratch(spark, "saved")
-    history.save_history(pages_of(spark, sf), path, ["title", "headings", "links"], run="r1",
-                         created_at=F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")), duration_ms=12.5)
+    """A history of two runs; the second saves every third page again."""
+    path, pages = scratch(spark, "saved"), pages_of(spark, sf)
+    history.save_history(pages, path, ["title", "headings", "links"], "r1", _created(1_700_000_000), 12.5)
+    history.save_history(pages.filter("page_id % 3 = 0"), path, ["title"], "r2", _created(1_800_000_000), 2.5, used_js=True)
     return path
 
 
 @query_named("save_history")
 def save_history_jobs(spark, sf):
     return history.read_jobs(spark, _saved(spark, sf)).select(
-        "id", "url", "fields", "status", "record_count", "warning_count", "duration_ms",
+        "run", "id", "url", "fields", "status", "record_count", "warning_count", "duration_ms",
         F.unix_seconds("created_at").alias("created_s"), "used_js"
     )
 
 
 @query
 def save_history_records(spark, sf):
-    return history.read_job_records(spark, _saved(spark, sf)).select("job_id", "type", "value", "extra", "source_url")
+    saved = history.read_job_records(spark, _saved(spark, sf))
+    return saved.select("run", "job_id", "ord", "type", "value", "extra", "source_url")
+
+
+def _saved_rich(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved records of two runs over the enriched pages; the second has the links of even pages."""
+    path, pages = scratch(spark, "saved-rich"), rich(spark, sf)
+    history.save_history(pages, path, ["headings", "tables", "links"], "r1")
+    history.save_history(pages.filter("page_id % 2 = 0"), path, ["links"], "r2")
+    return history.read_job_records(spark, path)
+
+
+_SPREAD_OUT = ("run", "job_id", "ord", "type", "value", "text", "level", "table_index", "row_index", "table_headers")
 
 
 @query
 def read_history_records(spark, sf):
-    rows = history.job_record_rows(extract.extract_records(rich(spark, sf), ["headings", "tables", "links"]))
-    return history.history_records(rows).select(
-        "job_id", "type", "value", "text", "level", "table_index", "row_index", "table_headers"
-    )
+    return history.history_records(_saved_rich(spark, sf)).select(*_SPREAD_OUT)
+
+
+@query
+def read_history_job(spark, sf):
+    """One job: a page that both runs saved."""
+    return history.history_records(_saved_rich(spark, sf), 4, "r2").select(*_SPREAD_OUT)
 
 
 def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,9 +189,10 @@ def read_responses_table(spark, sf):
 @query_named("read_body_files")
 def read_body_files_folder(spark, sf):
     path = scratch(spark, "bodies")
-    pages_of(spark, sf).select("html").repartition(4).write.text(path, lineSep="\n")
-    files = read_body_files(spark, f"{path}/*.txt")
-    return files.agg(F.sum(F.octet_length("body")).alias("n_bytes"), F.min("status").alias("status"))
+    parts = pages_of(spark, sf).select("html", (F.col("page_id") % 4).alias("part"))
+    parts.repartition(4, "part").write.partitionBy("part").text(path, lineSep="\n")
+    part = F.regexp_extract("url", r"part=(\d+)", 1).cast("long").alias("part")
+    return read_body_files(spark, f"{path}/*/*.txt").select(part, F.octet_length("body").alias("n_bytes"), "status")
 
 
 # -- extraction ------------------------------------------------------------------------
@@ -513,6 +535,12 @@ def robots_verdict(spark, sf):
     return robots.robots_verdict(pages_of(spark, sf), derived(spark, sf, inputs.ROBOTS))
 
 
+@query
+def robots_copies(spark, sf):
+    """Older copies that say otherwise and newer ones that failed change no verdict."""
+    return robots.robots_verdict(pages_of(spark, sf), derived(spark, sf, inputs.ROBOTS_COPIES))
+
+
 @query
 def robots_allowed(spark, sf):
     return robots.robots_allowed(pages_of(spark, sf), derived(spark, sf, inputs.ROBOTS)).select("page_id", "url")
@@ -545,25 +573,24 @@ def requested_records(spark, sf):
 
 
 def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Jobs of all pages, and the keyword records of the pages that have any."""
-    pages = rich(spark, sf)
-    duration = F.col("page_id") % 100 + 0.25
-    created = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 60)
-    jobs = history.job_rows(extract.extract_batch(pages, ["meta"]), ["meta"], created, duration)
-    keywords = records.filter_type(extract.extract_meta(pages), "meta_keywords")
-    return jobs, history.job_record_rows(keywords)
+    """Saved jobs of two runs, the second over even pages, and the keyword records of those."""
+    path, pages = scratch(spark, "saved-meta"), rich(spark, sf)
+    for run, own, first in (("r1", pages, 1_700_000_000), ("r2", pages.filter("page_id % 2 = 0"), 1_700_000_030)):
+        created = F.timestamp_seconds(F.lit(first) + F.col("page_id") % 60)
+        history.save_history(own, path, ["meta"], run, created, F.col("page_id") % 100 + 0.25)
+    return history.read_jobs(spark, path), records.filter_type(history.read_job_records(spark, path), "meta_keywords")
 
 
 @query
 def job_with_records(spark, sf):
     return history.job_with_records(*_history(spark, sf)).select(
-        "job_id", "url", "status", "record_count", "type", "value"
+        "run", "job_id", "url", "status", "record_count", "type", "value"
     )
 
 
 @query
 def jobs_without_records(spark, sf):
-    return history.jobs_without_records(*_history(spark, sf)).select("id", "url")
+    return history.jobs_without_records(*_history(spark, sf)).select("run", "id", "url")
 
 
 # -- aggregates ------------------------------------------------------------------------
@@ -641,7 +668,7 @@ def page_records(spark, sf):
 
 @query
 def recent_jobs(spark, sf):
-    return history.recent_jobs(_history(spark, sf)[0], 25).select("id", F.unix_seconds("created_at").alias("created_s"))
+    return history.recent_jobs(_history(spark, sf)[0], 25).select("run", "id", F.unix_seconds("created_at").alias("created_s"))
 
 
 def _near(spark: SparkSession, sf: str, **options) -> DataFrame:
@@ -690,6 +717,22 @@ def cache_hits_large_keys(spark, sf):
     return _hits(audit.cache_hits(events_of(spark, sf), "user_id", "ts", "event_id", DAY, hot_rows=66))
 
 
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request twice, a third of them without a key."""
+    events = events_of(spark, sf).withColumn("user_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")))
+    return events.unionAll(events)
+
+
+@query
+def cache_hits_repeated(spark, sf):
+    return _hits(audit.cache_hits(_repeated(spark, sf), "user_id", "ts", "event_id", DAY))
+
+
+@query
+def cache_hits_repeated_large_keys(spark, sf):
+    return _hits(audit.cache_hits(_repeated(spark, sf), "user_id", "ts", "event_id", DAY, hot_rows=66))
+
+
 @query
 def union_records(spark, sf):
     pages = pages_of(spark, sf)

@@ -44,7 +44,7 @@ JOB_TTL_SECONDS = 300
 LEAF_SCHEMA = (
     "page_id long, url string, body binary, "
     "nodes array<struct<tag: string, last: int, t0: int, t1: int, attrs: map<string, string>>>, "
-    "error string"
+    "error string, warnings array<string>"
 )
 
 # One row per element of interest.
@@ -66,7 +66,7 @@ JOB_SCHEMA = (
     "duration_ms double, created_at timestamp, used_js boolean"
 )
 JOB_RECORD_SCHEMA = (
-    "id long, job_id long, type string, value string, extra string, source_url string"
+    "job_id long, ord long, type string, value string, extra string, source_url string"
 )
 EXTRA_SCHEMA = (
     "text string, level string, table_index int, row_index int, table_headers string"

@@ -22,21 +22,37 @@ SETTINGS = {
 
 
 def build_session(app: str = "pagemill", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with :data:`SETTINGS`; the cluster's own settings win where it sets them."""
+    """A session with :data:`SETTINGS` where nothing else is set; *extra* is set in any case."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in extra.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    given = session.conf.getAll
+    for key, value in SETTINGS.items():
+        if key not in given:
+            session.conf.set(key, value)
+    return session
+
+
+def _is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path and not path.startswith(("hdfs:", "viewfs:"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one in local mode."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one in local mode.
+
+    On a cluster a local path is refused, unless ``pagemill.sharedMount`` says that it is a mount
+    which all machines share.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    on_one_machine = spark.sparkContext.master.startswith("local")
     if configured:
+        if not on_one_machine and _is_local(configured) and spark.conf.get("pagemill.sharedMount", "false") != "true":
+            raise RuntimeError(f"spark.checkpoint.dir is {configured}, a local path; executors need a folder that all of them reach")
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not on_one_machine:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="pagemill-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -54,6 +70,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a :func:`materialize` result that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checked_broadcast(df: DataFrame, row_bytes: int, name: str, limit_bytes: int = 128 * 1024 * 1024) -> DataFrame:
     """*df* written out and counted; marked for broadcast only when it is small enough.
 

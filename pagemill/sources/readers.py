@@ -6,32 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import browser_trim
-from pagemill.schemas import MAX_BODY_BYTES
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 RESPONSE_SCHEMA = "url string, status int, content_type string, location string, body binary"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A crawl table (parquet) as ``page_id, url, html``.
-
-    A scan with fewer splits than cores is spread over them: such an input is small (at most
-    one split per core), and parsing is what costs. Larger inputs are never shuffled here.
-    """
-    pages = spark.read.parquet(path).select("page_id", "url", "html")
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
-
-
-def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """New parquet files of a folder as a stream; one file is taken as a pattern for itself."""
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    """A crawl table (parquet) as ``page_id, url, html``. Pages are never shuffled: for more tasks
+    write more row groups or set smaller splits (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(path).select("page_id", "url", "html")
+
+
+def spread(pages: DataFrame, tasks: int, limit_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+    """A small crawl in few row groups, dealt out to *tasks*; one over *limit_bytes* comes back as
+    it is, so no more than that is ever moved."""
+    spark, total = pages.sparkSession, 0
+    for file in pages.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        if total > limit_bytes:
+            return pages
+    return pages.repartition(tasks)
+
+
+def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
+    """New parquet files of a folder as a stream; one file is taken as a pattern for itself. The
+    limit per micro-batch bounds what a key's state step has to hold of a backlog."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(f"{path[:-1]}[{path[-1]}]" if path.endswith(".parquet") else path)
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """A crawl folder as a stream of pages."""
     return stream_table(spark, path, PAGE_SCHEMA, files_per_trigger)
 
@@ -46,13 +51,12 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE_SCHEMA).parquet(path)
 
 
-def read_body_files(spark: SparkSession, path: str, content_type: str = "text/html",
-                    max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """A folder of saved bodies, one file each; the path stands in for the URL.
+def read_body_files(spark: SparkSession, path: str, content_type: str = "text/html") -> DataFrame:
+    """A folder of saved bodies, one file each, whatever their size; the path stands in for the URL.
 
-    Files over *max_bytes* are skipped by their listed length, without being read.
+    ``size_cap`` and ``too_large`` part them by size.
     """
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes)
+    files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.col("path").alias("url"),
         F.lit(200).alias("status"),

@@ -44,8 +44,10 @@ def _serve(ttl_us: int, key: tuple, chunks: Iterator[pd.DataFrame], state: Group
     at, stored = 0, None
     if state.exists:
         (stored,) = state.get
+        late = int(np.searchsorted(us, stored))  # older than what is stored: misses that store nothing
+        hit[:late], stored_us[:late] = False, us[:late]
         at = int(np.searchsorted(us, stored + ttl_us, "right"))
-        stored_us[:at] = stored
+        stored_us[late:at] = stored
     while at < len(us):
         stored, hit[at] = int(us[at]), False
         following = at + int(np.searchsorted(us[at:], stored + ttl_us, "right"))
@@ -63,7 +65,8 @@ def stream_cache(requests: DataFrame, key: str, ts: str, order: str, ttl_seconds
 
     Requests are put in time order within a micro-batch; the state per key is one number. A
     micro-batch holds at most what the source's trigger limit lets in, which bounds a key's
-    rows per batch.
+    rows per batch. A request older than its key's stored time comes out as a miss of its own time
+    and leaves the stored time alone.
     """
     ttl_us = ttl_seconds * _MICROS
 

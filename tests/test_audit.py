@@ -165,9 +165,11 @@ def test_history_round_trip_and_reruns(spark, tmp_path):
     assert jobs.count() == pages.count() + 3
     assert saved.count() == expected.count() + 3
     assert saved.filter("type = 'title' AND extra IS NULL").count() == pages.count() + 3
-    one = history.history_records(saved.filter("job_id = 5"), 5).orderBy("id").collect()
+    one = history.history_records(saved, 1, "a").orderBy("ord").collect()
     assert [(r.type, r.value, r.text, r.level) for r in one] == [
-        (r.type, r.value, r.text, r.level) for r in expected.filter("page_id = 5").orderBy("ord").collect()]
+        (r.type, r.value, r.text, r.level) for r in expected.filter("page_id = 1").orderBy("ord").collect()]
+    assert {r.run for r in history.history_records(saved, 1).collect()} == {"a", "b"}
+    assert history.job_with_records(jobs, saved).count() == saved.count()
     counts = {r.id: r.record_count for r in jobs.filter("fields <> 'title'").collect()}
     assert counts == {r.page_id: r.record_count for r in extract_batch(pages, ["title", "headings", "links"], dedupe=True).collect()}
     totals = history.dashboard_totals(jobs, saved).first()
@@ -175,7 +177,65 @@ def test_history_round_trip_and_reruns(spark, tmp_path):
     empty = history.dashboard_totals(jobs.limit(0), saved.limit(0)).first()
     assert (empty.total_jobs, empty.total_records, empty.avg_duration_ms) == (0, 0, 0.0)
     assert history.recent_jobs(jobs, 1000).count() <= 200
-    assert history.jobs_without_records(jobs, saved.filter("job_id <> 4")).select("id").distinct().collect()[0].id == 4
+    left = history.jobs_without_records(jobs, saved.filter("run <> 'b' OR job_id <> 2")).collect()
+    assert [(r.run, r.id) for r in left] == [("b", 2)]
+
+
+def test_history_of_wide_ids_and_warnings(spark, tmp_path):
+    rows = [((1 << 63) - 1, "https://a.test/", "<title>x</title>", ["w1", "w2"]), (-(1 << 62), "https://b.test/", "<title>y</title>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, warnings array<string>")
+    path = str(tmp_path / "wide")
+    history.save_history(pages, path, ["title"], run="a")
+    assert {r.id: r.warning_count for r in history.read_jobs(spark, path).collect()} == {rows[0][0]: 2, rows[1][0]: 0}
+    assert {(r.job_id, r.ord, r.value) for r in history.read_job_records(spark, path).collect()} == {(rows[0][0], 0, "x"), (rows[1][0], 0, "y")}
+
+
+def test_cache_hits_of_tied_and_null_rows(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, base + dt.timedelta(seconds=s), i) for k in ("a", None) for s, i in ((0, 1), (0, 1), (0, 2), (50, None), (50, None), (150, 3), (151, None), (151, 4))]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
+    answers = []
+    for hot in (100, 2):
+        found = audit.cache_hits(df, "k", "ts", "id", 60, hot_rows=hot).collect()
+        answers.append(sorted((str(r.k), r.ts, str(r.id), r.hit, r.stored_at) for r in found))
+        assert sum(not r.hit for r in found) == 4
+    assert answers[0] == answers[1]
+
+
+def test_null_keys_are_split_like_others(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(None if i % 2 else "a", base + dt.timedelta(milliseconds=7 * i), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
+    for run in (audit.spacing_audit, audit.spacing_schedule):
+        answers = [sorted(map(str, run(df, "k", "ts", "id", 20, bucket_seconds=1, hot_rows=hot).collect())) for hot in (1000, 10)]
+        assert answers[0] == answers[1] and len(answers[0]) >= 398
+    usual, large = audit._split_hot(df.withColumn("_key", F.struct("k")), "_key", 10)
+    assert usual.count() == 0 and large.count() == 400
+
+
+def test_late_requests_hit_nothing_newer():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, held = True, False, (1_000,)
+        get = property(lambda self: self.held)
+
+        def update(self, held):
+            self.held = held
+
+        def setTimeoutTimestamp(self, ms):
+            pass
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    from pagemill.streaming.requests import _serve
+
+    state = State()
+    rows = pd.DataFrame({"us": [10, 999, 1_000, 1_050, 1_200], "id": [1, 2, 3, 4, 5]})
+    (out,) = _serve(100, ("k",), iter([rows]), state)
+    assert out.hit.tolist() == [False, False, True, True, False] and out.stored_us.tolist() == [10, 999, 1_000, 1_000, 1_200]
+    assert state.held == (1_200,)
 
 
 def test_stream_history_is_saved_once(spark, tmp_path):

@@ -109,15 +109,15 @@ def test_union_fills_missing_columns(spark, table):
 
 def test_clean_cells(spark):
     cases = {
-        "=CMD|'/C calc'!A0": "'=CMD|'/C calc'!A0", "+1234567890": "'+1234567890", "-1+2": "'-1+2", "@SUM(A1)": "'@SUM(A1)",
-        "Normal text": "Normal text", "=a<b>&": "'=a&lt;b&gt;&amp;", '"q"': '"q"', " =x": " =x", "": "", "x\n=y": "x\n=y",
+        "=HYPERLINK(B2)": "'=HYPERLINK(B2)", "+49 30 12": "'+49 30 12", "-7%": "'-7%", "@now": "'@now",
+        "bed 4, row 2": "bed 4, row 2", "=a<b>&": "'=a&lt;b&gt;&amp;", '"q"': '"q"', " =x": " =x", "": "", "x\n=y": "x\n=y",
     }
     df = spark.createDataFrame([(k,) for k in cases], "c string")
     assert {r.c: r.out for r in df.select("c", cells.clean_cell("c").alias("out")).collect()} == cases
 
 
 def test_cursors(spark):
-    cases = {"NDI=": 42, "!!!invalid!!!": 0, None: 0, "": 0, "YWJj": 0, "LTU=": -5, "IDcg": 7, "N\nDI=": 42, "MV8w": 10, "////": 0}
+    cases = {"NDI=": 42, "*no token*": 0, None: 0, "": 0, "YWJj": 0, "LTU=": -5, "IDcg": 7, "N\nDI=": 42, "MV8w": 10, "////": 0}
     df = spark.createDataFrame([(k,) for k in cases], "c string")
     assert {r.c: r.n for r in df.select("c", tokens.parse_cursor("c").alias("n")).collect()} == cases
     for token, offset in cases.items():

@@ -60,6 +60,6 @@ def test_batches_are_cut_by_size():
     import pyarrow as pa
 
     html = "<p>" + "x" * 1_000_000 + "</p>"
-    rows = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "url": ["u"] * 40, "html": [html] * 40})
+    rows = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "url": ["u"] * 40, "html": [html] * 40, "warnings": [None] * 40})
     out = list(sh._shred_batches(sh.ALL_TAGS, sh.ATTRIBUTES, iter([rows])))
     assert len(out) > 1 and sum(b.num_rows for b in out) == 40
