@@ -111,41 +111,39 @@ def _images() -> str:
     return _resolved_only(_each(tagged_sql("img", "n.attrs['src'] IS NOT NULL"), record))
 
 
+def _inside(index: str, tag: str, i: str) -> str:
+    """Indexes of the *tag* elements inside element *index*: an element's descendants are the range
+    up to its ``last``, so this reads only the element's own."""
+    return f"filter(sequence({index}, nodes[{index}].last), {i} -> {i} > {index} AND nodes[{i}].tag = '{tag}')"
+
+
+def _cell_texts(indexes: str) -> str:
+    cell = bind_sql("nodes[c]", "cell", cut_sql("page_text", "cell.t0", "cell.t1"))
+    return f"transform({indexes}, c -> {cell})"
+
+
+_TABLES = "filter(transform(nodes, (n, i) -> CASE WHEN n.tag = 'table' THEN i END), i -> i IS NOT NULL)"
+
+
 def _tables() -> str:
-    # An element's descendants are the index range up to its ``last``, so every step reads
-    # only the table's own elements.
-    def inside(index: str, tag: str, i: str) -> str:
-        return (
-            f"filter(sequence({index}, nodes[{index}].last), "
-            f"{i} -> {i} > {index} AND nodes[{i}].tag = '{tag}')"
-        )
-
-    def texts(indexes: str) -> str:
-        cell = bind_sql("nodes[c]", "cell", cut_sql("page_text", "cell.t0", "cell.t1"))
-        return f"transform({indexes}, c -> {cell})"
-
-    headers = f"nullif(array_join({texts(inside('tab', 'th', 'th'))}, ' | '), '')"
     cells_per_row = (
-        f"filter(transform({inside('tab', 'tr', 'tr')}, tr -> {inside('tr', 'td', 'td')}), "
+        f"filter(transform({_inside('tab', 'tr', 'tr')}, tr -> {_inside('tr', 'td', 'td')}), "
         "cells -> size(cells) > 0)"
     )
-    record = slim_sql(
-        type="'table_row'",
-        value="array_join(cells, ' | ')",
-        table_index="tab_no",
-        row_index="row_no",
-        table_headers="headers",
-    )
+    record = slim_sql(type="'table_row'", value="array_join(cells, ' | ')", table_index="tab_no", row_index="row_no")
     rows = (
-        f"transform(filter(transform(transform({cells_per_row}, ids -> {texts('ids')}), "
+        f"transform(filter(transform(transform({cells_per_row}, ids -> {_cell_texts('ids')}), "
         f"(cells, row_no) -> named_struct('shown', exists(cells, c -> c <> ''), 'record', {record})), "
         "r -> r.shown), r -> r.record)"
     )
-    tables = "filter(transform(nodes, (n, i) -> CASE WHEN n.tag = 'table' THEN i END), i -> i IS NOT NULL)"
     # reading ``body`` copies it, so it is read once
-    return bind_sql(
-        "body", "page_text", f"flatten(transform({tables}, (tab, tab_no) -> {bind_sql(headers, 'headers', rows)}))"
-    )
+    return bind_sql("body", "page_text", f"flatten(transform({_TABLES}, (tab, tab_no) -> {rows}))")
+
+
+def _table_heads() -> str:
+    """The header text of each table, once; a row's record finds it by ``table_index``."""
+    headers = f"nullif(array_join({_cell_texts(_inside('tab', 'th', 'th'))}, ' | '), '')"
+    return bind_sql("body", "page_text", f"transform({_TABLES}, tab -> {headers})")
 
 
 def _open_graph() -> str:
@@ -220,7 +218,8 @@ def base_url() -> Column:
 
 
 def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: bool = False) -> DataFrame:
-    """One row per page: ``page_id, url, body, error, warnings, records`` (slim, in emission order).
+    """One row per page: ``page_id, url, body, error, warnings, heads, records`` (slim, in emission
+    order; ``heads`` are the headers of the page's tables).
 
     ``dedupe`` keeps the first record per (type, value) within the page.
     """
@@ -233,7 +232,8 @@ def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: b
     if dedupe:
         records = _first_per_value_sql(records)
     warnings = F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")
-    return leaves.select("page_id", "url", "body", "error", warnings, F.expr(records).alias("records"))
+    heads = F.expr(_table_heads() if "tables" in wanted else "cast(NULL AS array<string>)").alias("heads")
+    return leaves.select("page_id", "url", "body", "error", warnings, heads, F.expr(records).alias("records"))
 
 
 def _first_per_value_sql(records: str) -> str:
@@ -252,6 +252,7 @@ def _first_per_value_sql(records: str) -> str:
 _MADE = {
     "value": f"coalesce(r.value, {cut_sql('body', 'r.v0', 'r.v1')})",
     "text": f"coalesce(r.text, {cut_sql('body', 'r.t0', 'r.t1')})",
+    "table_headers": "CASE WHEN r.type = 'table_row' THEN get(heads, r.table_index) ELSE r.table_headers END",
     "source_url": "url",
 }
 
@@ -267,7 +268,7 @@ def explode_records(arrays: DataFrame) -> DataFrame:
     An outer explode, because a plain one makes the optimizer test ``size(records) > 0`` on
     the page row first, computing every page's records twice.
     """
-    rows = arrays.select("page_id", "url", "body", F.posexplode_outer("records").alias("ord", "r"))
+    rows = arrays.select("page_id", "url", "body", "heads", F.posexplode_outer("records").alias("ord", "r"))
     return rows.filter("ord IS NOT NULL").select(
         "page_id", F.col("ord").cast("long").alias("ord"), *_full_record()
     )

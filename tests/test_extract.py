@@ -119,6 +119,14 @@ def test_tables(spark):
     assert table_rows(spark, "<p>none</p>") == []
 
 
+def test_wide_headers_of_a_long_table_are_held_once(spark):
+    head = "".join(f"<th>column number {i}</th>" for i in range(2_000))
+    html = f"<table><tr>{head}</tr>" + "<tr><td>1</td></tr>" * 20_000 + "</table>"
+    df = spark.createDataFrame([(1, PAGE, html)], "page_id long, url string, html string")
+    found = ex.extract_tables(df).agg(F.count("*").alias("n"), F.min(F.length("table_headers")).alias("least"), F.max("row_index").alias("last")).first()
+    assert (found.n, found.last) == (20_000, 19_999) and found.least > 30_000
+
+
 def test_nested_and_unclosed_tables(spark):
     nested = "<table><tr><th>H</th><td>o<table><tr><td>i</td></tr></table></td></tr></table>"
     assert table_rows(spark, nested) == [(0, 0, "oi | i", "H"), (0, 1, "i", "H"), (1, 0, "i", None)]
