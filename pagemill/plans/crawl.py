@@ -7,10 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.refresh import refresh_reference, resolved_refresh
 from pagemill.functions.urls import validate_url
-from pagemill.operators.extract import extract_records
+from pagemill.operators.chains import follow_chains, redirect_chain
+from pagemill.operators.extract import extract_batch, extract_records
 from pagemill.operators.records import records_by_type
-from pagemill.operators.robots import DEFAULT_AGENT, robots_allowed
+from pagemill.operators.responses import classify_error, decode_pages, not_html, too_large
+from pagemill.operators.robots import DEFAULT_AGENT, robots_allowed, robots_verdict
+from pagemill.schemas import MAX_BODY_BYTES, MAX_REDIRECTS
+from pagemill.session import materialize
 
 
 def distinct_records_by_type(pages: DataFrame, fields: Iterable[str] = ("title", "headings", "links")) -> DataFrame:
@@ -24,3 +29,60 @@ def crawl_to_records(pages: DataFrame, robots: DataFrame | None = None, fields:
     valid = pages.filter(validate_url("url")["valid"])
     allowed = valid if robots is None else robots_allowed(valid, robots, agent)
     return extract_records(allowed.filter(F.col("html").isNotNull()), fields, dedupe=True)
+
+
+def fetches(responses: DataFrame, blocked: DataFrame | None = None, limit: int = MAX_BODY_BYTES) -> DataFrame:
+    """``url, final_url, outcome, target`` for every URL of *responses*: where its redirects end, what
+    became of that, and where the page found there refreshes to. Narrow: bodies are only read.
+
+    Outcomes are those of the chain, and ``content_type`` or ``too_large`` for what is no page.
+    """
+    pages = decode_pages(responses, limit).select("url", F.lit("ok").alias("state"), refresh_reference("html").alias("reference"))
+    none = F.lit(None).cast("string").alias("reference")
+    wrong = not_html(responses).select("url", F.lit("content_type").alias("state"), none)
+    large = too_large(responses, limit).select("url", F.lit("too_large").alias("state"), none)
+    # of copies of a URL a page counts before what is none
+    known = (
+        pages.unionByName(wrong).unionByName(large).groupBy(F.col("url").alias("final_url"))
+        .agg(F.min(F.struct(F.col("state") != "ok", F.col("state") != "content_type", "state", "reference")).alias("k"))
+        .select("final_url", "k.state", "k.reference")
+    )
+    landed = redirect_chain(responses, blocked).select(F.col("start_url").alias("url"), "final_url", "outcome")
+    ended = F.when(F.col("outcome") == "ok", F.coalesce("state", F.lit("missing"))).otherwise(F.col("outcome"))
+    target = F.when(ended == "ok", resolved_refresh("reference", "url"))
+    return landed.join(known, "final_url", "left").select("url", "final_url", ended.alias("outcome"), target.alias("target"))
+
+
+def crawl_batch(requests: DataFrame, responses: DataFrame, fields: Iterable[str] | None = None, robots: DataFrame | None = None,
+                blocked: DataFrame | None = None, agent: str = DEFAULT_AGENT, limit: int = MAX_BODY_BYTES,
+                max_refreshes: int = MAX_REDIRECTS, with_data: bool = False) -> DataFrame:
+    """From requests (``page_id, url``) and the crawl's responses to one batch row per request:
+    ``page_id, url, success, record_count, warnings, code, error`` and, if asked, ``data``.
+
+    A request is refused by robots rules, or fetched: redirects are followed, what is no page or
+    too large is an error, the page is decoded, its meta refresh is fetched in the same way, and
+    the last page is extracted under the requested URL. All decisions are made on narrow rows;
+    pages are joined once, to the requests that end at them. A URL without a response is
+    ``missing``. The robots warning is among the row's warnings.
+    """
+    fetched = materialize(fetches(responses, blocked, limit), "fetches")
+    edges = fetched.select("url", F.col("target").isNotNull().alias("redirects"), "target")
+    last = follow_chains(edges, blocked, max_refreshes).select(F.col("start_url").alias("url"), F.col("final_url").alias("last_url"), F.col("outcome").alias("chain"))
+    ends = fetched.select(F.col("url").alias("last_url"), F.col("final_url").alias("page_url"), F.col("outcome").alias("end"))
+    asked = requests.select("page_id", "url").join(last, "url", "left").join(ends, "last_url", "left")
+    outcome = F.when(F.col("chain") == "ok", F.coalesce("end", F.lit("missing"))).otherwise(F.coalesce("chain", F.lit("missing")))
+    warnings = F.array().cast("array<string>")
+    if robots is not None:
+        verdict = robots_verdict(requests, robots, agent).select("page_id", F.col("url").alias("asked_url"), "allowed", "warning").distinct()
+        asked = asked.join(verdict, (asked.page_id.eqNullSafe(verdict.page_id)) & (F.col("url") == F.col("asked_url")), "left").drop(verdict.page_id)
+        outcome = F.when(F.col("allowed"), outcome).otherwise("robots_disallowed")
+        warnings = F.when(F.col("warning") != "", F.array("warning")).otherwise(warnings)
+    decided = materialize(asked.select("page_id", "url", "page_url", outcome.alias("outcome"), warnings.alias("warnings")), "decided")
+    pages = decode_pages(responses, limit).select(F.col("url").alias("page_url"), "html").dropDuplicates(["page_url"])
+    wanted = decided.filter("outcome = 'ok'").select("page_id", "url", "page_url", "warnings")
+    found = extract_batch(pages.join(wanted, "page_url"), fields, with_data)
+    parsed = found.withColumn("code", F.when(~F.col("success"), "PARSE_ERROR"))
+    failed = classify_error(decided.filter("outcome <> 'ok'")).select(
+        "page_id", "url", F.lit(False).alias("success"), F.lit(0).alias("record_count"), "warnings", "code", F.col("message").alias("error")
+    )
+    return parsed.unionByName(failed, allowMissingColumns=True)

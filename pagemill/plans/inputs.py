@@ -107,6 +107,15 @@ REFRESHING_PAGES = """SELECT page_id, concat('https://r.example.com/p/', page_id
   FROM pages"""
 BLOCKED_SITES = "SELECT concat('r', n, '.example.com') AS host FROM (SELECT DISTINCT page_id % 13 AS n FROM pages) s WHERE n IN (5, 11)"
 
+# Responses with bodies: every seventh page answers, some of them with something else, some refreshing.
+CRAWL_RESPONSES = f"""SELECT page_id, url, status, location, CASE WHEN status <> 200 THEN NULL WHEN page_id % 14 = 7 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+  CASE WHEN status <> 200 THEN '' WHEN page_id % 5 = 0 THEN concat('<meta http-equiv="refresh" content="0; url=', refresh, '">', html) ELSE html END AS html
+  FROM (SELECT r.page_id, r.url, r.status, r.location, p.html, concat('https://r', (r.page_id + 28) % 13, '.example.com/p/', r.page_id + 28) AS refresh
+    FROM ({RESPONSES}) r JOIN (SELECT page_id, html FROM pages) p ON p.page_id = r.page_id) q"""
+CRAWL_ROBOTS = """SELECT concat('https://r', n, '.example.com') AS site, CASE WHEN n = 4 THEN 500 ELSE 200 END AS status,
+  concat('User-agent: *', chr(10), CASE WHEN n = 3 THEN 'Disallow: /p/' ELSE 'Disallow:' END) AS body
+  FROM (SELECT DISTINCT page_id % 13 AS n FROM pages) s"""
+
 # Raw responses: bodies in three encodings under content types that may not say which.
 RAW_RESPONSES = """SELECT page_id, url,
   CASE page_id % 6 WHEN 0 THEN 'text/html; charset=UTF-8' WHEN 1 THEN 'Text/HTML' WHEN 2 THEN 'application/pdf'

@@ -206,6 +206,40 @@ _EXTRA = """CASE WHEN type = 'link' THEN json_object('text', text) WHEN type = '
 _CRAWL = f"""{plain('title', 'link')}, allowed AS ({_ROBOTS_RULES}),
 kept AS (SELECT * FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1 AND page_id IN (SELECT page_id FROM allowed WHERE allowed))"""
 
+_HOST_OF = "regexp_extract({}, '^https?://([^/]+)', 1)"
+_CRAWL_BATCH = f"""WITH RECURSIVE {PLAIN}, recs AS (SELECT page_id, count(*) AS n FROM plain WHERE type IN ('title', 'link') GROUP BY page_id),
+blocked AS ({given.BLOCKED_SITES}), responses AS ({dd(given.CRAWL_RESPONSES)}),
+chain AS (
+  SELECT url AS start_url, url AS here, 0 AS hops, CASE WHEN {_HOST_OF.format('url')} IN (SELECT host FROM blocked) THEN 'blocked' END AS outcome FROM responses
+  UNION ALL
+  SELECT c.start_url, CASE WHEN e.status <> 200 AND c.hops < 3 AND e.location <> '' THEN e.location ELSE c.here END, c.hops + CASE WHEN e.status <> 200 THEN 1 ELSE 0 END,
+    CASE WHEN e.url IS NULL THEN 'missing' WHEN e.status = 200 THEN 'ok' WHEN c.hops >= 3 THEN 'too_many' WHEN coalesce(e.location, '') = '' THEN 'ok'
+      WHEN {_HOST_OF.format('e.location')} IN (SELECT host FROM blocked) THEN 'blocked' END
+  FROM chain c LEFT JOIN responses e ON e.url = c.here WHERE c.outcome IS NULL),
+known AS (SELECT page_id, url, CASE WHEN coalesce(content_type, '') NOT LIKE 'text/html%' THEN 'content_type' WHEN octet_length(encode(html)) > 6000 THEN 'too_large' ELSE 'ok' END AS state,
+  nullif(regexp_extract(html, '^<meta http-equiv="refresh" content="0; url=([^"]*)', 1), '') AS target FROM responses),
+fetched AS (SELECT c.start_url AS url, k.page_id AS page, CASE WHEN c.outcome = 'ok' THEN k.state ELSE c.outcome END AS state,
+  CASE WHEN c.outcome = 'ok' AND k.state = 'ok' THEN k.target END AS target FROM chain c LEFT JOIN known k ON k.url = c.here WHERE c.outcome IS NOT NULL),
+refreshed AS (
+  SELECT url AS start_url, url AS here, 0 AS hops, CASE WHEN {_HOST_OF.format('url')} IN (SELECT host FROM blocked) THEN 'blocked' END AS outcome FROM fetched
+  UNION ALL
+  SELECT c.start_url, CASE WHEN f.target IS NOT NULL AND c.hops < 3 THEN f.target ELSE c.here END, c.hops + CASE WHEN f.target IS NOT NULL THEN 1 ELSE 0 END,
+    CASE WHEN f.url IS NULL THEN 'missing' WHEN f.target IS NULL THEN 'ok' WHEN c.hops >= 3 THEN 'too_many'
+      WHEN {_HOST_OF.format('f.target')} IN (SELECT host FROM blocked) THEN 'blocked' END
+  FROM refreshed c LEFT JOIN fetched f ON f.url = c.here WHERE c.outcome IS NULL),
+ended AS (SELECT q.page_id, q.url, f.page, CASE WHEN regexp_extract(q.url, '//r([0-9]+)[.]', 1) = '3' THEN 'robots_disallowed' WHEN c.outcome = 'ok' THEN f.state ELSE c.outcome END AS state
+  FROM responses q JOIN refreshed c ON c.start_url = q.url AND c.outcome IS NOT NULL LEFT JOIN fetched f ON f.url = c.here)
+SELECT e.page_id, e.url, state = 'ok' AS success, CAST(CASE WHEN state = 'ok' THEN coalesce(r.n, 0) ELSE 0 END AS int) AS record_count,
+  CASE WHEN regexp_extract(e.url, '//r([0-9]+)[.]', 1) = '4' THEN 'robots.txt fetch returned HTTP 500; proceeding without check.' ELSE '' END AS warning, t.code, t.message AS error
+FROM ended e LEFT JOIN recs r ON r.page_id = e.page LEFT JOIN (VALUES
+  ('missing', 'INTERNAL_ERROR', 'Something went wrong on our end. Please try again.'),
+  ('robots_disallowed', 'ROBOTS_DISALLOWED', 'The target site''s robots.txt disallows scraping this URL.'),
+  ('blocked', 'SSRF_BLOCKED', 'That URL points to a private or internal address and cannot be scraped.'),
+  ('too_many', 'UPSTREAM_HTTP_ERROR', 'The target site returned an error or too many redirects.'),
+  ('content_type', 'CONTENT_TYPE_UNSUPPORTED', 'The URL did not return an HTML page (e.g. it returned a PDF or image).'),
+  ('too_large', 'RESPONSE_TOO_LARGE', 'The page is too large to process.')) AS t(state, code, message) USING (state)"""
+
+
 def _saved_rich(kept: str) -> str:
     return f"""{rich(2, 4, 6)}, firsts AS ({_FIRST_PER_VALUE}), saved AS (
       SELECT run, page_id, row_number() OVER (PARTITION BY run, page_id ORDER BY ord) - 1 AS ord, type, value, text, level, table_index, row_index, table_headers
@@ -322,6 +356,7 @@ ORACLES: dict[str, str] = {
     "drop_blocked": f"SELECT page_id, url FROM pages WHERE {HOST} NOT IN (SELECT host FROM ({_HOST_VERDICTS}) v WHERE blocked)",
     "redirect_chain": _chains(f"SELECT url, status <> 200 AS hop, location AS target FROM ({given.RESPONSES}) r", given.BLOCKED_SITES),
     "meta_refresh_chain": _chains(f"SELECT concat('https://r.example.com/p/', page_id) AS url, page_id % 6 > 1 AS hop, {_REFRESH_TARGET} AS target FROM pages", "SELECT '' AS host WHERE false"),
+    "crawl_batch": _CRAWL_BATCH,
     "requested_records": f"""{plain('title', 'paragraph', 'link')} SELECT page_id, type, value FROM recs
       WHERE CASE page_id % 3 WHEN 0 THEN type IN ('title', 'link') WHEN 1 THEN type = 'paragraph' ELSE false END""",
     "job_with_records": f"{_HISTORY} SELECT j.run, j.id AS job_id, j.url, j.status, CAST(j.record_count AS int) AS record_count, r.type, r.value FROM jobs j JOIN job_records r ON r.job_id = j.id AND r.run = j.run",

@@ -16,7 +16,7 @@ from pagemill.functions.times import epoch_micros
 from pagemill.operators import audit, chains, extract, history, hosts, records, responses, robots
 from pagemill.operators.shred import nodes
 from pagemill.plans import inputs
-from pagemill.plans.crawl import crawl_to_records, distinct_records_by_type
+from pagemill.plans.crawl import crawl_batch, crawl_to_records, distinct_records_by_type
 from pagemill.session import shared_folder
 from pagemill.sources.readers import (
     read_body_files,
@@ -566,6 +566,16 @@ def meta_refresh_chain(spark, sf):
     return chains.meta_refresh_chain(derived(spark, sf, inputs.REFRESHING_PAGES))
 
 
+@query_named("crawl_batch")
+def crawl_batch_rows(spark, sf):
+    responses = derived(spark, sf, inputs.CRAWL_RESPONSES).withColumn("body", F.encode("html", "UTF-8"))
+    requests = derived(spark, sf, inputs.RESPONSES).select("page_id", "url")
+    batch = crawl_batch(requests, responses.drop("page_id", "html"), ["title", "links"], derived(spark, sf, inputs.CRAWL_ROBOTS),
+                        derived(spark, sf, inputs.BLOCKED_SITES), limit=6_000)
+    warning = F.array_join("warnings", "; ").alias("warning")
+    return batch.select("page_id", "url", "success", "record_count", warning, "code", "error")
+
+
 @query
 def requested_records(spark, sf):
     found = extract.extract_records(pages_of(spark, sf), ["title", "paragraphs", "links"])
