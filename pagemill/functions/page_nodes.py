@@ -1,4 +1,4 @@
-"""``page_nodes(url, html)``: the shredder as a table function for SQL."""
+"""``page_nodes(url, html [, tags])``: the shredder as a table function for SQL."""
 
 from __future__ import annotations
 
@@ -13,17 +13,25 @@ ship_with_jobs(__name__)
 
 class _PageNodes:
     def __init__(self) -> None:
-        self._parser = _PageParser(ALL_TAGS, ATTRIBUTES)
-
-    def eval(self, url: str, html: str):
-        body, nodes, _ = parse_page(self._parser, html)
+        self._parsers: dict[str, _PageParser] = {}
+
+    def eval(self, url: str, html: str, tags: str = ""):
+        if tags not in self._parsers:
+            self._parsers[tags] = _PageParser(frozenset(tags.split(",")) if tags else ALL_TAGS, ATTRIBUTES)
+        body, nodes, error = parse_page(self._parsers[tags], html)
+        if error is not None:
+            yield None, None, None, None, None, error
         for node_id, (tag, last, t0, t1, attrs) in enumerate(nodes):
-            yield node_id, last, tag, attrs, body[t0:t1].decode("utf-8")
+            yield node_id, last, tag, attrs, body[t0:t1].decode("utf-8"), None
 
 
 def register_page_nodes(spark: SparkSession, name: str = "page_nodes") -> None:
-    """Make ``SELECT ... FROM pages p, LATERAL page_nodes(p.url, p.html) n`` work in *spark*."""
+    """Make ``SELECT ... FROM pages p, LATERAL page_nodes(p.url, p.html, 'title,a') n`` work in *spark*.
+
+    Without the third argument all tags of interest come out. A page that cannot be parsed gives
+    one row with its ``error`` and no tag.
+    """
     table_function = udtf(
-        _PageNodes, returnType="node_id int, end_id int, tag string, attrs map<string, string>, text string"
+        _PageNodes, returnType="node_id int, end_id int, tag string, attrs map<string, string>, text string, error string"
     )
     spark.udtf.register(name, table_function)

@@ -212,7 +212,7 @@ def page_nodes_sql(spark, sf):
     register_page_nodes(spark)
     return spark.sql(
         "SELECT p.page_id, n.tag, n.attrs['href'] AS href, n.text FROM {pages} p, "
-        "LATERAL page_nodes(p.url, p.html) n WHERE n.tag IN ('title', 'h1', 'a', 'p')",
+        "LATERAL page_nodes(p.url, p.html, 'title,h1,a,p') n WHERE n.error IS NULL",
         pages=pages_of(spark, sf),
     )
 

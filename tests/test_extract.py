@@ -227,3 +227,14 @@ def test_site_header(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: (r.title, r.hostname, r.favicon_url) for r in ex.site_header(df).collect()}
     assert got == {1: ("T", "sub.example.com", "https://sub.example.com/favicon.ico"), 2: (None, "", None)}
+
+
+def test_page_nodes_in_sql(spark):
+    from pagemill.functions.page_nodes import register_page_nodes
+
+    register_page_nodes(spark)
+    df = spark.createDataFrame([(1, PAGE, "<h1>a</h1><p>b</p>"), (2, PAGE, None)], "page_id long, url string, html string")
+    sql = "SELECT p.page_id, n.tag, n.text, n.error FROM {df} p, LATERAL page_nodes(p.url, p.html%s) n ORDER BY 1, 2"
+    every = [tuple(r) for r in spark.sql(sql % "", df=df).collect()]
+    assert every == [(1, "h1", "a", None), (1, "p", "b", None), (2, None, None, "page without markup")]
+    assert [r.tag for r in spark.sql(sql % ", 'p'", df=df).collect()] == ["p", None]
