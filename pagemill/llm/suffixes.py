@@ -94,9 +94,6 @@ class TestBlock:
         starts = np.flatnonzero(offset + need <= sizes[self.item])
         return starts, need[starts]
 
-    def longest(self) -> int:
-        return int(np.bincount(self.item).max() - 1) if len(self.item) else 0
-
 
 def narrowed(codes: np.ndarray, order: np.ndarray, at: int, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Within order[low:high], all sorted by the code *at* words on, the part equal to *wanted*: a
@@ -114,26 +111,35 @@ def narrowed(codes: np.ndarray, order: np.ndarray, at: int, low: np.ndarray, hig
     return bounds[0], bounds[1]
 
 
-def matches(codes: np.ndarray, order: np.ndarray, test: np.ndarray, starts: np.ndarray, need: np.ndarray):
-    """For each test suffix: the range of training suffixes that begin with its window, the length
-    of its longest verbatim match, and the range of the places of that match.
+def matches(codes: np.ndarray, order: np.ndarray, test: np.ndarray, starts: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each test suffix the range of training suffixes that begin with its window.
 
     *codes* ends with a border; *test* has -1 for words that the shard lacks.
     """
     n = len(starts)
     low, high = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
-    window = np.zeros((2, n), np.int64)
-    length, live, depth = np.zeros(n, np.int64), np.arange(n), 0
+    live, depth = np.arange(n), 0
     while len(live):
-        wanted = test[np.minimum(starts[live] + depth, len(test) - 1)]
-        live, wanted = live[wanted > 0], wanted[wanted > 0]
+        wanted = test[starts[live] + depth]
         a, b = narrowed(codes, order, depth, low[live], high[live], wanted)
-        live, a, b = live[a < b], a[a < b], b[a < b]
+        low[live], high[live] = a, b
         depth += 1
-        low[live], high[live], length[live] = a, b, depth
-        full = live[need[live] == depth]
-        window[0, full], window[1, full] = low[full], high[full]
-    return window[0], window[1], length, low, high
+        live = live[(a < b) & (need[live] > depth)]
+    return low, high
+
+
+def longest_runs(doc: np.ndarray, place: np.ndarray, start: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, words, place, start) of each document's longest verbatim match: windows at
+    consecutive places of consecutive starts are one match; of equal ones the first."""
+    by = np.lexsort((place, place - start, doc))
+    doc, place, start, need = doc[by], place[by], start[by], need[by]
+    new = np.concatenate(([True], (np.diff(place) != 1) | (np.diff(start) != 1) | (np.diff(doc) != 0)))
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(place)])) - 1
+    words = place[last] - place[first] + need[last]
+    best = np.lexsort((start[first], place[first], -words, doc[first]))
+    top = best[np.concatenate(([True], np.diff(doc[first][best]) != 0))]
+    return list(zip(doc[first][top].tolist(), words[top].tolist(), place[first][top].tolist(), start[first][top].tolist()))
 
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,33 +167,28 @@ def searched(found: list[list[bytes]], block: TestBlock, shard_words: int = SHAR
     doc = np.repeat(np.arange(len(found)), sizes + 1)
     text = np.zeros(len(doc), np.int64)
     text[np.arange(len(flat)) + np.repeat(np.arange(len(found)), sizes)] = codes + 1
-    depth = block.longest()
+    depth = int(need.max())
     cover = np.zeros(len(text) + 1, np.int32)
     pairs: set[tuple[int, int]] = set()
-    best: dict[int, tuple[int, int, int, int]] = {}
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(shard_words, 4 * depth)
     for begin in range(0, len(text), step):
         shard = text[begin : begin + step + depth]
         if shard[-1] != 0:
             shard = np.append(shard, 0)
         order = suffix_array(shard, depth)
-        low, high, length, far_low, far_high = matches(shard, order, test, starts, need)
+        low, high = matches(shard, order, test, starts, need)
         hit = np.flatnonzero(low < high)
         if not len(hit):
             continue
         slot, which = spread(low[hit], high[hit])
         place, which = order[slot] + begin, hit[which]
+        own = place < begin + step  # the next shard has the others again
+        place, which = place[own], which[own]
         np.add.at(cover, place, 1)
         np.add.at(cover, place + need[which], -1)
         pairs.update(zip(doc[place].tolist(), block.item[starts[which]].tolist()))
-        slot, which = spread(far_low[hit], far_high[hit])
-        place, which = order[slot] + begin, hit[which]
-        at = np.lexsort((starts[which], place, -length[which], doc[place]))
-        place, which = place[at], which[at]
-        top = np.concatenate(([True], np.diff(doc[place]) != 0))
-        for p, w in zip(place[top].tolist(), which[top].tolist()):
-            d, one = int(doc[p]), (-int(length[w]), p, int(starts[w]))
-            best[d] = min(best.get(d, one), one)
+        seen.append((place, which))
     out = [nothing] * len(found)
     if not pairs:
         return out
@@ -201,10 +202,10 @@ def searched(found: list[list[bytes]], block: TestBlock, shard_words: int = SHAR
     for d, i in pairs:
         items.setdefault(d, []).append(block.items[i])
     begins = np.concatenate(([0], np.flatnonzero(block.codes == 0)[:-1] + 1))
-    for d, of in ranges.items():
-        length, place, start = best[d]
+    place, which = (np.concatenate(x) for x in zip(*seen))
+    for d, words, at, start in longest_runs(doc[place], place, starts[which], need[which]):
         i = int(block.item[start])
-        out[d] = (of, sorted(set(items[d])), -length, place - int(first[d]), block.items[i], start - int(begins[i]))
+        out[d] = (ranges[d], sorted(set(items[d])), words, at - int(first[d]), block.items[i], start - int(begins[i]))
     return out
 
 
