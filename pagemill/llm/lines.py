@@ -28,6 +28,8 @@ BANDS, ROWS = 10, 4
 LARGEST_BUCKET = 2_000
 #: Characters hashed at once (fits a core's cache).
 PART = 1 << 16
+#: Lines that a task remembers to give their bands once only.
+HELD_IDS = 1_000_000
 #: log2 of the bits of the filter of lines whose text is wanted, at most: 16 MB.
 FILTER_BITS = 27
 
@@ -97,53 +99,75 @@ def band_keys(made: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-KEYS = [f"b{i}" for i in range(BANDS)]
-OCCURRENCES = "line_id long, doc_id long, text_hash long, pos int, " + ", ".join(f"{k} long" for k in KEYS)
+def _lines(part: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
+    """(row, position, normal line) of the lines with a word."""
+    for row, text in enumerate(texts(part)):
+        for pos, line in enumerate((text or "").split("\n")):
+            if line := normal(line):
+                yield row, pos, line
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        ids, docs, hashes, at, first, own = [], [], [], [], [], []
-        seen: set[int] = set()
-        for doc, text_hash, text in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), texts(part)):
-            for pos, line in enumerate((text or "").split("\n")):
-                if line := normal(line):
-                    i = line_id(line)
-                    if i not in seen:
-                        seen.add(i)
-                        first.append(len(ids))
-                        own.append(line)
-                    ids.append(i)
-                    docs.append(doc)
-                    hashes.append(text_hash)
-                    at.append(pos)
-        keys = np.zeros((len(ids), BANDS), np.int64)
-        lacks = np.ones(len(ids), bool)
-        if own:
-            keys[first] = band_keys(signatures(own))
-            lacks[first] = False
-        columns = [pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32())]
-        columns += [pa.array(np.ascontiguousarray(keys[:, k]), mask=lacks) for k in range(BANDS)]
-        yield pa.RecordBatch.from_arrays(columns, ["line_id", "doc_id", "text_hash", "pos", *KEYS])
+        found = [(line_id(line), row, pos) for row, pos, line in _lines(part)]
+        ids, rows, at = zip(*found) if found else ((), (), ())
+        rows = pa.array(rows, pa.int32())
+        columns = [pa.array(ids, pa.int64()), part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(at, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["line_id", "doc_id", "text_hash", "pos"])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per line with a word; the band keys are on the first of equal lines that a worker
-    holds together, NULL on the others."""
+    """(line_id, doc_id, text_hash, pos): one row per line with a word."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_occurrences, OCCURRENCES)
+    return rows.mapInArrow(_occurrences, "line_id long, doc_id long, text_hash long, pos int")
 
 
-def shared_buckets(found: DataFrame) -> DataFrame:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for part in slices(batches):
+        if len(seen) > HELD_IDS:
+            seen.clear()
+        own: dict[int, str] = {}
+        for _, _, line in _lines(part):
+            i = line_id(line)
+            if i not in seen:
+                own[i] = line
+        seen.update(own)
+        if own:
+            keys = band_keys(signatures(list(own.values())))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(own), np.int64), BANDS))], ["bucket", "id"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (bucket, id) the distinct ones of buckets with two ids or more; what is
+    held is the last row."""
+    last: tuple[int, int] | None = None
+    told = False  # whether the last row came out already
+    for batch in batches:
+        bucket, ids = batch.column("bucket").to_numpy(), batch.column("id").to_numpy()
+        if last is not None:
+            bucket, ids = np.concatenate(([last[0]], bucket)), np.concatenate(([last[1]], ids))
+        if not len(bucket):
+            continue
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(bucket) != 0) | (np.diff(ids) != 0))))
+        bucket, ids = bucket[new], ids[new]
+        same = bucket[1:] == bucket[:-1]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if told:
+            keep[0] = False
+        told = bool(keep[-1]) or told and len(keep) == 1
+        last = int(bucket[-1]), int(ids[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(ids[keep])], ["bucket", "id"])
+
+
+def shared_buckets(docs: DataFrame) -> DataFrame:
     """(bucket, id): distinct lines of the bands' buckets that hold two or more; of buckets with the
     same lines only one."""
-    distinct = found.filter("b0 IS NOT NULL").groupBy("line_id").agg(*(F.first(k).alias(k) for k in KEYS))
-    rows = distinct.select(F.explode(F.array(*KEYS)).alias("bucket"), F.col("line_id").alias("id"))
-    many = rows.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x")
-    ).filter("a < b")
-    one = stored(many.groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket"), "line-buckets")
-    return stored(rows.join(one, "bucket"), "line-members")
+    rows = docs.select("text").mapInArrow(_buckets, "bucket long, id long")
+    members = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_shared, "bucket long, id long"), "line-buckets")
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    one = sets.groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return stored(members.join(one, "bucket"), "line-members")
 
 
 def id_filter(ids: DataFrame) -> Broadcast:
@@ -167,12 +191,10 @@ def wanted_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
         mask = 32 * len(words) - 1
         for part in slices(batches):
             lines: dict[int, str] = {}
-            for text in texts(part):
-                for line in (text or "").split("\n"):
-                    if line := normal(line):
-                        i = line_id(line)
-                        if int(words[(i & mask) >> 5]) >> (i & 31) & 1:
-                            lines[i] = line
+            for _, _, line in _lines(part):
+                i = line_id(line)
+                if int(words[(i & mask) >> 5]) >> (i & 31) & 1:
+                    lines[i] = line
             yield pa.RecordBatch.from_arrays([pa.array(lines.keys(), pa.int64()), pa.array(lines.values(), pa.string())], ["id", "text"])
 
     held = docs.select("text").mapInArrow(run, "id long, text string")
@@ -206,7 +228,7 @@ def duplicate_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Da
     belong to no group. Rows that agree in doc_id and text count as one.
     """
     found = stored(occurrences(docs), "lines")
-    members = shared_buckets(found)
+    members = shared_buckets(docs)
     ids = members.select("id").distinct()
     rows = members.join(wanted_lines(docs, ids), "id").select("bucket", "id", "text")
     links = bucket_links(stored(rows, "line-texts"), linked_runs(similar), largest_bucket)
@@ -218,7 +240,7 @@ def duplicate_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Da
     grouped = named.filter("node IS NOT NULL").select("line_id", "root", "first")
     best = grouped.groupBy("root").agg(F.min("first").alias("kept"))
     acts = alone.unionAll(grouped.join(best, "root").select("line_id", "kept"))
-    gone = found.select("line_id", "doc_id", "text_hash", "pos").join(acts, "line_id").filter(place != F.col("kept"))
+    gone = found.join(acts, "line_id").filter(place != F.col("kept"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
