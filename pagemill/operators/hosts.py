@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.hosts import is_blocked_ip
 from pagemill.functions.urls import url_host
-from pagemill.session import checked_broadcast
+from pagemill.operators.prune import BROADCAST_BYTES, by_keys
 
 _HOST_BYTES = 300  # a host name has at most 253 characters
 
@@ -24,16 +24,12 @@ def blocked_hosts(addresses: DataFrame) -> DataFrame:
     return host_verdicts(addresses).filter("blocked").select("host")
 
 
-def drop_blocked(pages: DataFrame, addresses: DataFrame, unresolved_too: bool = True) -> DataFrame:
+def drop_blocked(pages: DataFrame, addresses: DataFrame, unresolved_too: bool = True,
+                 limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pages whose host is not blocked and, unless *unresolved_too* is off, has an address.
 
-    Pages carry their markup, so they should not move: the host list, one row per host, is
-    broadcast when it is counted small. Otherwise the join sorts and merges, and its skew
-    handling splits a host that holds many pages.
+    Pages carry their markup, so they stay where they are (``by_keys``).
     """
-    keyed = pages.withColumn("host", url_host("url"))
-    if unresolved_too:
-        listed, how = host_verdicts(addresses).filter(~F.col("blocked")).select("host"), "left_semi"
-    else:
-        listed, how = blocked_hosts(addresses), "left_anti"
-    return keyed.join(checked_broadcast(listed, _HOST_BYTES, "hosts"), "host", how).select(*pages.columns)
+    keyed = pages.withColumn("_host", url_host("url"))
+    listed = host_verdicts(addresses).filter(~F.col("blocked")).select("host") if unresolved_too else blocked_hosts(addresses)
+    return by_keys(keyed, "_host", listed, unresolved_too, _HOST_BYTES, limit_bytes).select(*pages.columns)

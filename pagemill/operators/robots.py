@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import bind_sql, pattern, strip_sql
 from pagemill.functions.urls import url_parts_sql, url_site
-from pagemill.session import checked_broadcast
+from pagemill.operators.prune import BROADCAST_BYTES, by_keys
 
 DEFAULT_AGENT = "pagemill/1.0"
 
@@ -138,11 +138,10 @@ def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGE
     return joined.select("page_id", "url", allowed.alias("allowed"), warning.alias("warning"))
 
 
-def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:
+def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGENT, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pages that may be used.
 
-    The verdict reads ids and URLs only. The refused ids are counted; when few enough they are
-    broadcast, so the wide table stays where it is, else the join sorts and merges on the id.
+    The verdict reads ids and URLs only, and the wide table stays where it is (``by_keys``).
     """
     refused = robots_verdict(pages, robots, agent).filter(~F.col("allowed")).select("page_id")
-    return pages.join(checked_broadcast(refused, 16, "refused"), "page_id", "left_anti")
+    return by_keys(pages, "page_id", refused, False, 16, limit_bytes)
