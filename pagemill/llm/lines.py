@@ -26,6 +26,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 #: Most lines of one bucket compared in one go.
 LARGEST_BUCKET = 2_000
+#: Lines of a bucket that are compared one by one; more are compared with one in a single step.
+FEW = 12
 #: Characters hashed at once (fits a core's cache).
 PART = 1 << 16
 #: Lines that a task remembers to give their bands once only.
@@ -201,9 +203,25 @@ def wanted_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return held.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
+def alike(a: set[str], b: set[str], threshold: float = SIMILARITY) -> bool:
+    """Whether two sets have a Jaccard similarity of the threshold or more."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(a & b)
+    return both >= threshold * (len(a) + len(b) - both) - 1e-9
+
+
+def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
+    """For buckets of two lines, at rows i and i + 1."""
+    lines = table["text"].to_pylist()
+    return np.fromiter((alike(set(shingles(lines[i])), set(shingles(lines[i + 1]))) for i in at.tolist()), bool, len(at))
+
+
 def similar(table: pa.Table, threshold: float = SIMILARITY):
     """Exact Jaccard similarity of the shingle sets of a bucket's lines, for `spanning_links`."""
-    sets = [list(dict.fromkeys(shingles(x))) for x in table["text"].to_pylist()]
+    sets = [set(shingles(x)) for x in table["text"].to_pylist()]
+    if len(sets) <= FEW:
+        return lambda i, rest: np.fromiter((alike(sets[i], sets[j], threshold) for j in rest.tolist()), bool, len(rest))
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     codes, unique = pd.factorize(np.array([s for x in sets for s in x], object))
     ends = np.cumsum(sizes)
@@ -231,7 +249,7 @@ def duplicate_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Da
     members = shared_buckets(docs)
     ids = members.select("id").distinct()
     rows = members.join(wanted_lines(docs, ids), "id").select("bucket", "id", "text")
-    links = bucket_links(stored(rows, "line-texts"), linked_runs(similar), largest_bucket)
+    links = bucket_links(stored(rows, "line-texts"), linked_runs(similar, similar_pairs), largest_bucket)
     roots = stored(components(links), "line-roots")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
     each = found.groupBy("line_id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
