@@ -218,6 +218,19 @@ def test_attention_is_causal_and_sums_to_one():
     assert math.isclose(np.exp(each.astype(float)).sum(), 1, rel_tol=1e-3)
 
 
+def test_folded_scores_equal_plain_ones():
+    given = np.random.default_rng(2)
+    classes = attention.Classes.of(given.integers(0, 50, 4000).astype(float))
+    for factor in (1, 30, 400):
+        w = {k: (v * np.float32(factor)) for k, v in attention.begun(classes).items()}
+        inputs = given.integers(0, attention.INPUTS - 1, (9, attention.SPAN))
+        inputs[0, :16] = inputs[3, :7] = attention.INPUTS - 1
+        targets = given.integers(0, attention.CLASSES, 9 * attention.STRIDE)
+        want = attention.outputs(w, attention.forward(w, inputs)[0], targets)[0]
+        got = attention.class_scores(attention.folded(w), inputs, targets)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=2e-3, atol=2e-3 * factor)
+
+
 @pytest.fixture(scope="module")
 def subwords():
     return attention.Subwords(attention.load_vocabulary(attention.VOCABULARY))
@@ -227,7 +240,7 @@ def test_windows_score_each_token_once(subwords):
     given = random.Random(3)
     found = [[given.choice([b"the", b"erlyat,", "été".encode(), b"x" * 700]) for _ in range(n)] for n in (0, 1, 15, 16, 17, 200)]
     _, tokens, sizes, _ = subwords.sequences(found)
-    ids, text, _ = subwords.windows(tokens, sizes)
+    ids, text = subwords.windows(tokens, sizes)
     start = 0
     for k, size in enumerate(sizes):
         own = tokens[start : start + size]
@@ -244,7 +257,7 @@ def test_score_is_the_sum_of_the_tokens(subwords):
     _, tokens, sizes, _ = subwords.sequences(found)
     classes = attention.Classes.of(np.bincount(tokens[tokens <= subwords.end], minlength=subwords.end + 1).astype(float))
     w = attention.begun(classes)
-    ids, text, _ = subwords.windows(tokens, sizes)
+    ids, text = subwords.windows(tokens, sizes)
     got = attention.log10_scores(w, classes, ids, text, len(found))
     begins = np.cumsum(sizes) - sizes
     for k, size in enumerate(sizes):
