@@ -22,9 +22,12 @@ ship_with_jobs(__name__)
 
 #: log2 of the hash buckets of each of the two n-gram families.
 BITS = 18
-#: Words of a passage; a document weighs what its worst passages weigh together.
-PASSAGE = 1
-WORST = 2
+#: A document weighs the mean over all its words of their log ratio, what a word has below -MARGIN
+#: counting STEEP times more: a few strong words in a long ordinary text would vanish in a plain mean.
+MARGIN, STEEP = 1.0, 30
+#: Words without evidence (log ratio 0) that every document has besides its own; they hold the means
+#: of very short texts, which scatter most, to one cut with the others.
+NEUTRAL = 10
 #: Count added to the target's observed and expected counts of a bucket.
 SMOOTHING = 0.5
 #: Most labelled documents (by hash of the id) that the target model and the cut are fitted on.
@@ -75,12 +78,21 @@ class Ratios:
     shape: np.ndarray
 
 
-def weights(found: list[list[bytes]], ratios: Ratios, passage: int = PASSAGE, worst: int = WORST) -> np.ndarray:
-    """Each document's log importance weight: the sum over its *worst* passages (all, if it has
-    fewer) of their log ratio; without words 0.
+def text_weights(found: list[list[bytes]], ratios: Ratios) -> np.ndarray:
+    """Each document's log importance weight from all n-grams of its text, as a mean, so that it
+    doesn't fall with length; without words 0."""
+    sizes, word, shape = features(found)
+    value = ratios.word[word].astype(np.int64) + ratios.shape[shape]
+    value += STEEP * np.minimum(value + int(MARGIN * UNIT), 0)
+    ends = np.concatenate(([0], np.cumsum(value)))
+    past = np.cumsum(sizes)
+    return (ends[past] - ends[past - sizes]) / (UNIT * (sizes + NEUTRAL))
 
-    Over a whole text the many ordinary words would outweigh the few that set it apart.
-    """
+
+def weights(found: list[list[bytes]], ratios: Ratios, passage: int, worst: int) -> np.ndarray:
+    """The sum over each document's *worst* passages (all, if it has fewer) of their log ratio;
+    without words 0. It falls with length and leaves out the rest of the text, so the classifier
+    doesn't use it."""
     sizes, word, shape = features(found)
     out = np.zeros(len(found), np.int64)
     if not len(word):
@@ -184,7 +196,7 @@ def scored(docs: DataFrame, ratios: Broadcast, labels: Broadcast, temperature: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = texts(part)
-            weight = weights([split(t) for t in found], ratios.value)
+            weight = text_weights([split(t) for t in found], ratios.value)
             noise = np.array([gumbel(i, t) for i, t in zip(part.column("doc_id").to_pylist(), found)])
             ids = ids_of(part)
             label = np.where(kept_back(ids), labels.value.of(ids), -1).astype(np.int32)
@@ -274,7 +286,7 @@ def resampled(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = texts(part)
-            weight = weights([split(t) for t in found], made.ratios.value)
+            weight = text_weights([split(t) for t in found], made.ratios.value)
             ids = part.column("doc_id").cast(pa.int64()).to_pylist()
             keep = [w + TEMPERATURE * gumbel(i, t) >= made.cutoff for w, i, t in zip(weight, ids, found)]
             yield part.filter(pa.array(keep, pa.bool_()))

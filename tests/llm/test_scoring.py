@@ -131,6 +131,32 @@ def test_weights_against_a_loop():
         assert resampling.weights(docs, ratios, passage, worst).tolist() == want
 
 
+def test_op8_long_clean_documents_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    long = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len((r.text or "").split()) > 3000}
+    rows = QUERIES["op8_resampling"](spark, sf).collect()
+    assert [r.doc_id for r in rows if r.doc_id in long and labels.get(r.doc_id) and not r.kept] == []
+    assert np.mean([r.kept for r in rows if labels.get(r.doc_id)]) > 0.98
+    assert np.mean([r.kept for r in rows if labels.get(r.doc_id) is False]) < 0.12
+    assert np.mean([not r.kept for r in rows if r.doc_id in long]) < 0.3  # some of the unlabelled ones are bad
+
+
+def test_weight_is_of_the_whole_text():
+    word, shape = np.zeros(1 << resampling.BITS, np.int64), np.zeros(1 << resampling.BITS, np.int64)
+    odd, fine, poor = b"odd", b"fine", b"poor"
+    for w, v in ((odd, -6), (fine, 0.5), (poor, -0.5)):
+        word[resampling.features([[w]])[1]] = int(v * resampling.UNIT)
+    ratios = resampling.Ratios(word, shape)
+    of = lambda *docs: resampling.text_weights(list(docs), ratios)
+    short, long, empty = of([odd] * 2 + [fine] * 20, [odd] * 2 + [fine] * 5000, [])
+    assert short < long and long > 0 and empty == 0
+    a, b = of([odd] * 2 + [fine] * 300, [odd] * 2 + [poor] * 300)  # the words besides the worst count
+    assert a > b
+    some = [odd] * 4 + [fine] * 300 + [poor] * 90
+    assert math.isclose(of(some)[0], (4 * (-6 + resampling.STEEP * -5) + 150 - 45) / (394 + resampling.NEUTRAL))
+
+
 def test_kth_largest(spark):
     given = random.Random(5)
     values = [given.choice([given.gauss(0, 1), 3.25, given.random() * 1e-9]) for _ in range(3000)]
