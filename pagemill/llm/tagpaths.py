@@ -57,8 +57,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 #: Nodes on either side that smoothing takes in, and the share of a standard deviation that a node
 #: must exceed.
 RADIUS, SHARE = 2, 0.5
-#: Share of the selected text that the container must hold.
-MOST = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 @dataclass
@@ -207,14 +206,13 @@ def selected(elements: list[Element], nodes: list[Node]) -> list[int]:
 
 
 def container(elements: list[Element], nodes: list[Node], chosen: list[int]) -> int:
-    """The deepest section that holds most of the chosen text; the article around it, if any."""
+    """The deepest section that holds all of the chosen text; the article around it, if any."""
     weight = [0] * len(elements)
     for k in chosen:
         weight[nodes[k].element] += len(nodes[k].text)
     for i in range(len(elements) - 1, 0, -1):
         weight[elements[i].parent] += weight[i]
-    need = MOST * weight[0]
-    best = max((i for i, w in enumerate(weight) if w >= need), key=lambda i: (len(elements[i].path), i))
+    best = max((i for i, w in enumerate(weight) if w == weight[0]), key=lambda i: (len(elements[i].path), i))
     while best and elements[best].name in PARTS:
         best = elements[best].parent
     inside, i = best, best
@@ -226,6 +224,22 @@ def container(elements: list[Element], nodes: list[Node], chosen: list[int]) ->
     return inside
 
 
+def headings_before(elements: list[Element], nodes: list[Node], root: int) -> set[int]:
+    """The elements beside *root*, before it, whose whole text is headings."""
+    if not root:
+        return set()
+    beside, heading = [0] * root, [False] * root  # of each element the sibling of root that it is in
+    for i in range(1, root):
+        up = elements[i].parent
+        beside[i] = i if up == elements[root].parent else beside[up]
+        heading[i] = heading[up] or elements[i].name in HEADINGS
+    held: dict[int, bool] = {}
+    for n in nodes:
+        if n.element < root and (own := beside[n.element]):
+            held[own] = held.get(own, True) and heading[n.element]
+    return {i for i, only in held.items() if only}
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by newlines; empty if there is none."""
     if not html:
@@ -236,9 +250,10 @@ def main_text(html: str | None) -> str:
         return ""
     root = container(elements, kept, selected(elements, kept))
     inside = [False] * len(elements)
-    inside[root] = True
-    for i in range(root + 1, len(elements)):
-        inside[i] = inside[elements[i].parent]
+    for i in (root, *headings_before(elements, kept, root)):
+        inside[i] = True
+    for i in range(1, len(elements)):
+        inside[i] = inside[i] or inside[elements[i].parent]
     blocks: dict[int, list[str]] = {}
     for n in kept:
         if inside[n.element]:
@@ -252,7 +267,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     Navigation, headers, footers, side matter, adverts, notices, forms and reader comments go by
     element, role, class or id; among the rest tag-path ratios select content nodes, and the text
-    of the section that holds them is the result, whole. NULL, empty or textless markup gives an
+    of the lowest section that holds all of them is the result, whole, with the headings beside it. NULL, empty or textless markup gives an
     empty text; repeated rows come back as often as they came in. Nothing is shuffled.
     """
 

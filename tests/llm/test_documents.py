@@ -48,6 +48,28 @@ def test_op3_side_matter_goes():
     assert tagpaths.main_text(OWN_PAGE) == want
 
 
+def div_page(*sections, head="<h1>Kettles</h1>"):
+    own = "".join(f"<div class=part>{''.join(f'<p>{p}</p>' for p in s)}</div>" for s in sections)
+    return f"<html><body><div class=nav><a href=/>start</a> <a href=/b>more</a></div>{head}<div id=body>{own}</div><div class=footer>us, here.</div></body></html>"
+
+
+LONG = ["A kettle, once filled, takes four minutes, and nobody, as far as we know, has asked why; so be it."] * 60
+SHORT_ONE = ["A pot, which is wider, takes longer than a kettle does, and so it goes, day by day."]
+SHORT_TWO = ["A pan, which is flat, takes less than either, as everybody knows; more of that below."]
+
+
+@pytest.mark.parametrize("sections", [(SHORT_ONE, LONG, SHORT_TWO), (LONG, SHORT_ONE), (SHORT_ONE, SHORT_TWO, LONG), (SHORT_ONE, SHORT_TWO)])
+@pytest.mark.parametrize("head", ["<h1>Kettles</h1>", "<div><h1>Kettles</h1><h2>and pots</h2></div>", ""])
+def test_op3_div_sections_of_any_length_stay(sections, head):
+    want = [x for x in re.split("<[^>]*>", head) if x] + [p for s in sections for p in s]
+    assert tagpaths.main_text(div_page(*sections, head=head)) == "\n".join(want)
+
+
+def test_op3_heading_beside_one_long_section():
+    page = f"<body><div><div class=nav>a b</div><h1>Kettles</h1><div>{''.join(f'<p>{p}</p>' for p in LONG)}</div></div></body>"
+    assert tagpaths.main_text(page) == "\n".join(["Kettles", *LONG])
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<!--", "</p>", "<script>x", "<nav>only</nav>", "<p", "<div class='ad'>x</div>"])
 def test_op3_nothing_to_find(page):
     assert tagpaths.main_text(page) in ("", "<")
