@@ -33,8 +33,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a `benchmark` item."""
-    return suffixes.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of a `benchmark` item, with an id or without."""
+    return suffixes.decontaminated(docs, table(spark, sf_dir, "benchmark"), named_only=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def op9_attention(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
-    found = suffixes.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = suffixes.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), named_only=False)
     n_hit = suffixes.covered("ranges")
     return found.select(
         "doc_id",

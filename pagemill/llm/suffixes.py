@@ -67,13 +67,13 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 class TestBlock:
     """Test items: the words of all of them, each followed by a border (code 0)."""
 
-    items: list[str]
+    items: list[str | None]
     vocabulary: list[bytes]
     codes: np.ndarray
     item: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[str, str | None]]) -> TestBlock:
+    def of(rows: list[tuple[str | None, str | None]]) -> TestBlock:
         found = [(i, w) for i, text in rows if (w := words(text))]
         flat = [w for _, ws in found for w in ws]
         codes, vocabulary = pd.factorize(np.array(flat, object)) if flat else (np.empty(0, np.int64), [])
@@ -150,8 +150,8 @@ def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def searched(found: list[list[bytes]], block: TestBlock, shard_words: int = SHARD_WORDS) -> list[tuple]:
-    """For each document (its words): ranges of hit words, items with windows in it, and its
-    longest verbatim match (words, first word here, item, first word there)."""
+    """For each document (its words): ranges of hit words, items with windows in it (those that have
+    an id), and its longest verbatim match (words, first word here, item, first word there)."""
     sizes = np.array([len(w) for w in found], np.int64)
     starts, need = block.suffixes()
     nothing = ([], [], 0, None, None, None)
@@ -200,12 +200,13 @@ def searched(found: list[list[bytes]], block: TestBlock, shard_words: int = SHAR
         ranges.setdefault(d, []).append({"first": a - int(first[d]), "past": b - int(first[d])})
     items: dict[int, list[str]] = {}
     for d, i in pairs:
-        items.setdefault(d, []).append(block.items[i])
+        if block.items[i] is not None:
+            items.setdefault(d, []).append(block.items[i])
     begins = np.concatenate(([0], np.flatnonzero(block.codes == 0)[:-1] + 1))
     place, which = (np.concatenate(x) for x in zip(*seen))
     for d, words, at, start in longest_runs(doc[place], place, starts[which], need[which]):
         i = int(block.item[start])
-        out[d] = (ranges[d], sorted(set(items[d])), words, at - int(first[d]), block.items[i], start - int(begins[i]))
+        out[d] = (ranges[d], sorted(set(items.get(d, ()))), words, at - int(first[d]), block.items[i], start - int(begins[i]))
     return out
 
 
@@ -234,32 +235,34 @@ def _scan(block, hits_only: bool):
     return run
 
 
-def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
+def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, named_only: bool = True) -> list:
     """The items (item_id, text) as broadcast blocks of about *block_words* words or less each.
 
     How many blocks there are follows from the counted words, so what an executor holds of a block
     is bounded; only one item longer than a block can exceed it.
     """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
+    items = items.filter("item_id IS NOT NULL") if named_only else items
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (3 * block_words)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     return [spark.sparkContext.broadcast(TestBlock.of([(r.item_id, r.text) for r in items.filter(part == b).toLocalIterator()])) for b in range(blocks)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, named_only: bool = True) -> DataFrame:
     """One row per document: words, ranges of words inside benchmark windows, items found, and the
     longest verbatim match with its place in the document and in its item.
 
     A window is ten consecutive words of an item (all of them, if it has fewer). The training text
     is cut into shards; each gets a suffix array, in which every suffix of every item is looked up
     by binary search. NULL or wordless texts have no words and no hits; NULL items and items
-    without words or id have no windows; repeated rows come back as often as they came in; items of
+    without words have no windows; items without id have none either with
+    *named_only*, else they hit like any other but are not among the items found; repeated rows come back as often as they came in; items of
     one id count as one. An empty benchmark finds nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    blocks = test_blocks(benchmark, block_words)
+    blocks = test_blocks(benchmark, block_words, named_only)
     first = rows.mapInArrow(_scan(blocks[0], False), RESULT)
     if len(blocks) == 1:
         return first
@@ -300,10 +303,10 @@ def covered(ranges: str) -> Column:
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, named_only: bool = True) -> DataFrame:
     """The documents without any benchmark window; all columns stay and no text is shuffled."""
     kept = docs
-    for block in test_blocks(benchmark, block_words):
+    for block in test_blocks(benchmark, block_words, named_only):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):

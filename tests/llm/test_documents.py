@@ -271,6 +271,28 @@ def test_op10_with_blocks_short_items_and_edges(spark, block_words, edges, empty
     assert suffixes.contamination(empty, bench, block_words).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [suffixes.BLOCK_WORDS, 8])
+def test_op10_items_without_id_hit_as_in_sql(spark, tmp_path, block_words, monkeypatch):
+    import duckdb
+
+    from pagemill.llm.queries import ORACLES
+
+    passage = " ".join(f"p{k}" for k in range(14))
+    items = [(None, passage), (None, "lone words"), (1, "p3 p4 p5"), (2, " ".join(f"q{k}" for k in range(12))), (None, None)]
+    docs = [(1, "a b " + passage + " c"), (2, "some lone words here"), (3, "nothing at all"), (4, items[3][1] + " lone words"), (5, None), (None, passage)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(suffixes.contamination, "__defaults__", (block_words, True))
+    got = {r.doc_id: tuple(r) for r in QUERIES["op10_decontaminate"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert got == {r[0]: r for r in db.execute(ORACLES["op10_decontaminate"]).fetchall()}
+    assert [got[i][-1] for i in (1, 2, 3, 4, 5, None)] == [True, True, False, True, False, True]
+    kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5]
+
+
 def test_longest_matches_and_long_texts(spark):
     given = random.Random(8)
     item = [f"i{k}" for k in range(70)]
