@@ -18,12 +18,15 @@ from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
 
-#: Characters of a shingle: long enough that lines with nothing but common syllables in common
-#: share few.
-SHINGLE = 9
+#: Characters of a shingle, and of one where the shorter line of a pair has fewer than SHORT
+#: characters: one changed character spoils as many shingles, which a short line can't afford.
+SHINGLE, SHORT_SHINGLE, SHORT = 5, 3, 50
+#: A line of as many characters or more is no copy of one below SHORT (50 / 0.8, and some more).
+REACH = 65
 SIMILARITY = 0.8
-#: At a similarity of 0.8 a pair meets in one of ten bands of four with probability 0.995.
-BANDS, ROWS = 10, 4
+#: At a similarity of 0.8 a pair meets in one of eighteen bands of six with probability 0.995. Small
+#: shingles are common ones: with fewer rows unlike lines would meet, ever more in larger tables.
+BANDS, ROWS = 18, 6
 #: Most lines of one bucket compared in one go.
 LARGEST_BUCKET = 2_000
 #: Lines of a bucket that are compared one by one; more are compared with one in a single step.
@@ -55,46 +58,54 @@ def shingles(line: str, size: int = SHINGLE) -> list[str]:
     return [line[i : i + size] for i in range(max(1, len(line) - size + 1))]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
+def shingle_sizes(line: str) -> tuple[int, ...]:
+    """The sizes of shingle by which the line is compared with some other."""
+    if len(line) < SHORT:
+        return (SHORT_SHINGLE,)
+    return (SHINGLE, SHORT_SHINGLE) if len(line) < REACH else (SHINGLE,)
+
+
+def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     """MinHash signatures, one row of BANDS * ROWS numbers per line."""
     out = np.empty((len(lines), BANDS * ROWS), np.uint32)
     start = held = 0
     for i, line in enumerate(lines):
         held += len(line)
         if held >= PART:
-            out[start : i + 1] = _signatures(lines[start : i + 1])
+            out[start : i + 1] = _signatures(lines[start : i + 1], size)
             start, held = i + 1, 0
     if start < len(lines):
-        out[start:] = _signatures(lines[start:])
+        out[start:] = _signatures(lines[start:], size)
     return out
 
 
-def _signatures(lines: list[str]) -> np.ndarray:
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+def _signatures(lines: list[str], size: int) -> np.ndarray:
+    padded = [x if len(x) >= size else x.ljust(size, "\0") for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n, p = len(c) - SHINGLE + 1, 0x9E3779B97F4A7C15
+    n, p = len(c) - size + 1, 0x9E3779B97F4A7C15
     h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(size):
         h *= np.uint64(p)
         h += c[i : i + n]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     ends = np.cumsum(sizes)
     inside = np.ones(len(c), bool)
-    for back in range(1, SHINGLE):
+    for back in range(1, size):
         inside[ends - back] = False  # a shingle that would reach into the next line
     x = (h >> np.uint64(32)).astype(np.uint32)[inside[:n]]
-    counts = sizes - SHINGLE + 1
+    counts = sizes - size + 1
     starts = np.cumsum(counts) - counts
     return np.stack([np.minimum.reduceat(x * a + b, starts) for a, b in zip(FACTORS, OFFSETS)], axis=1)
 
 
-def band_keys(made: np.ndarray) -> np.ndarray:
-    """(line, band) keys of 64 bits: lines with equal numbers in a band share its key."""
-    parts = made.reshape(len(made), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for i in range(ROWS):
+def band_keys(made: np.ndarray, size: int = SHINGLE, rows: int = ROWS) -> np.ndarray:
+    """(line, band) keys of 64 bits: lines with equal numbers in a band of one size share its key."""
+    bands = made.shape[1] // rows
+    parts = made.reshape(len(made), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(size * 1000 + np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).astype(np.uint64)
+    for i in range(rows):
         key *= np.uint64(0x9E3779B97F4A7C15)
         key ^= parts[:, :, i]
         key ^= key >> np.uint64(29)
@@ -135,9 +146,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i not in seen:
                 own[i] = line
         seen.update(own)
-        if own:
-            keys = band_keys(signatures(list(own.values())))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(own), np.int64), BANDS))], ["bucket", "id"])
+        for size in (SHINGLE, SHORT_SHINGLE):
+            chosen = {i: line for i, line in own.items() if size in shingle_sizes(line)}
+            if chosen:
+                keys = band_keys(signatures(list(chosen.values()), size), size)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(chosen), np.int64), BANDS))], ["bucket", "id"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +178,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_buckets(docs: DataFrame) -> DataFrame:
     """(bucket, id): distinct lines of the bands' buckets that hold two or more; of buckets with the
     same lines only one."""
-    rows = docs.select("text").mapInArrow(_buckets, "bucket long, id long")
+    return shared_members(docs.select("text").mapInArrow(_buckets, "bucket long, id long"))
+
+
+def shared_members(rows: DataFrame) -> DataFrame:
+    """Of *rows* (bucket, id) the distinct ones of buckets that hold two ids or more; of buckets with
+    the same ids only one."""
     members = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_shared, "bucket long, id long"), "line-buckets")
     sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x"))
     one = sets.groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
@@ -211,27 +229,47 @@ def alike(a: set[str], b: set[str], threshold: float = SIMILARITY) -> bool:
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
+def alike_lines(a: str, b: str, threshold: float = SIMILARITY) -> bool:
+    """Whether two lines are copies, by shingles of the size that the shorter one asks for."""
+    short, long = sorted((a, b), key=len)
+    size = SHORT_SHINGLE if len(short) < SHORT else SHINGLE
+    return (size == SHINGLE or len(long) < REACH) and alike(set(shingles(a, size)), set(shingles(b, size)), threshold)
+
+
 def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
     """For buckets of two lines, at rows i and i + 1."""
     lines = table["text"].to_pylist()
-    return np.fromiter((alike(set(shingles(lines[i])), set(shingles(lines[i + 1]))) for i in at.tolist()), bool, len(at))
+    return np.fromiter((alike_lines(lines[i], lines[i + 1]) for i in at.tolist()), bool, len(at))
+
+
+def _counted(lines: list[str], size: int, threshold: float):
+    """For a line, which of all *lines* have a similar set of shingles of *size*; of the lines that
+    aren't compared by that size none."""
+    sets = [set(shingles(x, size)) if size in shingle_sizes(x) else set() for x in lines]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes, unique = pd.factorize(np.array([s for x in sets for s in x], object)) if sizes.any() else (np.empty(0, np.int64), [])
+    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+
+    def near(i: int) -> np.ndarray:
+        mark = np.zeros(len(unique), bool)
+        mark[codes[ends[i] - sizes[i] : ends[i]]] = True
+        both = np.bincount(owner[mark[codes]], minlength=len(sets))
+        return (both > 0) & (both >= threshold * (sizes[i] + sizes - both) - 1e-9)
+
+    return near
 
 
 def similar(table: pa.Table, threshold: float = SIMILARITY):
     """Exact Jaccard similarity of the shingle sets of a bucket's lines, for `spanning_links`."""
-    sets = [set(shingles(x)) for x in table["text"].to_pylist()]
-    if len(sets) <= FEW:
-        return lambda i, rest: np.fromiter((alike(sets[i], sets[j], threshold) for j in rest.tolist()), bool, len(rest))
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    codes, unique = pd.factorize(np.array([s for x in sets for s in x], object))
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    lines = table["text"].to_pylist()
+    if len(lines) <= FEW:
+        return lambda i, rest: np.fromiter((alike_lines(lines[i], lines[j], threshold) for j in rest.tolist()), bool, len(rest))
+    long, short = _counted(lines, SHINGLE, threshold), _counted(lines, SHORT_SHINGLE, threshold)
+    below = np.fromiter((len(x) < SHORT for x in lines), bool, len(lines))
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
-        mark = np.zeros(len(unique), np.int32)
-        mark[codes[starts[i] : ends[i]]] = 1
-        both = np.add.reduceat(mark[codes], starts)[rest]
-        return both >= threshold * (sizes[i] + sizes[rest] - both) - 1e-9
+        by_short = below[rest] | below[i]
+        return np.where(by_short, short(i)[rest], long(i)[rest])
 
     return near
 
@@ -240,8 +278,9 @@ def duplicate_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Da
     """(doc_id, text_hash, n_lines, removed): per document with such lines the positions (from 0) of
     those that are not the one kept of their group.
 
-    A group is a connected component of lines whose sets of nine-character shingles have a Jaccard
-    similarity of 0.8 or more, over lower-cased lines with white space made even. The first line in
+    A group is a connected component of lines whose sets of five-character shingles have a Jaccard
+    similarity of 0.8 or more, over lower-cased lines with white space made even; three-character
+    shingles where the shorter line is below 50 characters (and the other below 65). The first line in
     the order (doc_id, text hash, position) stays, rows without a doc_id coming last. Blank lines
     belong to no group. Rows that agree in doc_id and text count as one.
     """

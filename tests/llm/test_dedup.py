@@ -190,6 +190,54 @@ def test_near_lines_in_hot_buckets(spark):
         assert got == {i: s for i, s in want.items() if s}
 
 
+def line_similarity(a, b):
+    """Five-character Jaccard; three-character if the shorter line is below 50 characters."""
+    k = 3 if min(len(a), len(b)) < 50 else 5
+    x, y = ({line[i : i + k] for i in range(max(1, len(line) - k + 1))} for line in (a, b))
+    return len(x & y) / len(x | y) if k == 5 or max(len(a), len(b)) < 65 else 0
+
+
+@pytest.mark.parametrize("largest", [8, 2_000])
+def test_edited_lines_of_any_length_are_copies(spark, largest):
+    given = random.Random(21)
+    letter = lambda: given.choice("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(letter() for _ in range(given.randrange(2, 9)))
+    pairs = []
+    for n in range(30, 151):
+        for kind in ("character", "word"):
+            line = ""
+            while len(line) < n:
+                line += " " * bool(line) + word()
+            line = line[: n - 1] + "x"
+            if kind == "character":
+                at = given.choice([i for i in range(3, n - 3) if line[i] != " "])
+                other = line[:at] + ("q" if line[at] != "q" else "z") + line[at + 1 :]
+            else:
+                words = line.split(" ")
+                words[len(words) // 2] = "".join(letter() for _ in range(6))
+                other = " ".join(words)
+            pairs.append((kind, line, other))
+    hot = [("hot", a, b) for base in (word() + " " + word() + " " + "of the seven hills and rivers here",) for a, b in [(base, base[:20] + str(k) + base[21:]) for k in range(10)]]
+    rows = [(2 * k, a) for k, (_, a, _) in enumerate(pairs + hot)] + [(2 * k + 1, b) for k, (_, _, b) in enumerate(pairs + hot)]
+    rows += [(10**6 + k, f"nothing {word()} {word()} {word()} {word()} alike") for k in range(200)]
+    given_lines = sorted({t for _, t in rows})
+    want = Union()
+    for i, a in enumerate(given_lines):
+        want.find(a)
+        for b in given_lines[:i]:
+            if line_similarity(a, b) >= 0.8 - 1e-9:
+                want.join(a, b)
+    members = defaultdict(list)
+    for i, t in rows:
+        members[want.find(t)].append(i)
+    gone = {i for group in members.values() for i in group if i != min(group)}
+    got = {r.doc_id for r in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), largest).collect()}
+    assert got == gone  # nothing is lost, and nothing merged that isn't alike
+    found = lambda kind, least: np.mean([2 * k + 1 in got for k, (x, a, _) in enumerate(pairs) if x == kind and len(a) >= least])
+    assert found("character", 30) == 1 and found("word", 100) == 1
+    assert not any(i >= 10**6 for i in got)
+
+
 def test_line_edges(edges, empty):
     out = lines.dedup_lines(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
