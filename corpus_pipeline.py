@@ -28,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints are linked."""
+    """One document of each group linked by SimHash fingerprints or by shared five-word shingles."""
     return simhash.dedup(docs)
 
 

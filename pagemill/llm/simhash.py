@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import bucket_links, components, linked_runs
+from pagemill.llm.lines import shared_members
 from pagemill.llm.tables import slices, stored, texts
 from pagemill.shipping import ship_with_jobs
 
@@ -24,20 +25,36 @@ SEGMENT_BITS = 2
 BORDERS = (0, 5, 10, 15, 20, 24, 28, 32)
 #: Most fingerprints of one cell compared in one go.
 LARGEST_CELL = 20_000
+#: What the pipeline's stage links besides: texts whose sets of five-word shingles have a Jaccard
+#: similarity of 0.8 or more. Such a pair meets in one of 16 bands of four with probability 0.9998.
+WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS = 16, 4
+#: Most texts of one bucket compared in one go.
+LARGEST_BUCKET = 500
 
+_GIVEN = np.random.default_rng(21)
+FACTORS = _GIVEN.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+OFFSETS = _GIVEN.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit fingerprint; no word gives 0."""
+
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """64-bit hashes of the text's word shingles, in order; no word gives none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts = np.concatenate(([0], ends[: len(words) - shingle] + 1)).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return [digest(joined, SEED)]
+    starts = np.concatenate(([0], ends[: len(words) - shingle] + 1)).tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The 64-bit fingerprint; no word gives 0."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     most = 2 * np.count_nonzero(bits, axis=0) > len(hashes)
     return int.from_bytes(np.packbits(most).tobytes(), "big", signed=True)
@@ -124,9 +141,67 @@ def _near(distance: int):
     return prepare, pair
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, largest_cell: int = LARGEST_CELL) -> DataFrame:
+def shingle_set(text: str | None) -> np.ndarray:
+    """The text's distinct shingles of five words as sorted hashes."""
+    return np.unique(np.array(shingle_hashes(text, WORDS), np.uint64))
+
+
+def set_bands(found: np.ndarray) -> np.ndarray:
+    """One key per band: sets with equal MinHash numbers in a band share its key."""
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.min([(x[a : a + 1024, None] * FACTORS + OFFSETS).min(0) for a in range(0, len(x), 1024)], axis=0)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def _set_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        made = [(h, set_bands(s)) for h, t in zip(part.column("id").to_pylist(), texts(part)) if len(s := shingle_set(t))]
+        if made:
+            ids = np.repeat(np.array([h for h, _ in made], np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in made])), pa.array(ids)], ["bucket", "id"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        made = [shingle_set(t).view(np.int64) for t in texts(part)]
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def _overlapping(table: pa.Table):
+    """Exact Jaccard similarity of a bucket's sets, for `spanning_links`."""
+    column = table["shingles"].combine_chunks()
+    sets = [column[i].values.to_numpy() for i in range(len(column))]
+
+    def like(a: np.ndarray, b: np.ndarray) -> bool:
+        if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)) - 1e-9:
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+    return lambda i, rest: np.fromiter((like(sets[i], sets[j]) for j in rest.tolist()), bool, len(rest))
+
+
+def similar_texts(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> DataFrame:
+    """Links (u, v) between hashes of the texts of *docs*: a spanning forest, bucket by bucket, of the
+    texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates come from MinHash bands and not from fingerprints: at that similarity fingerprints
+    differ in about ten bits, twice as many at times, and cells for that many would tell little apart.
+    """
+    rows = docs.select(F.xxhash64("text").alias("id"), "text").filter("text IS NOT NULL")
+    members = shared_members(rows.mapInArrow(_set_buckets, "bucket long, id long"))
+    wanted = rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets = wanted.mapInArrow(_shingle_sets, "id long, shingles array<long>")
+    held = stored(members.join(sets, "id").select("bucket", "id", "shingles"), "text-shingles")
+    return bucket_links(held, linked_runs(_overlapping), largest_bucket)
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, largest_cell: int = LARGEST_CELL, by_words: bool = False
+) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row: who is linked, directly or not, at
-    *distance* or fewer differing bits; component_id is the smallest doc_id reachable.
+    *distance* or fewer differing bits (and, with *by_words*, by :func:`similar_texts`); component_id
+    is the smallest doc_id reachable.
 
     Equal fingerprints collapse before the search, so copies never meet as pairs. Rows without a
     doc_id are linked like any other; component_id is NULL only if no row of the group has an id.
@@ -135,6 +210,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE,
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = bucket_links(cells(own.select("fp"), distance), linked_runs(*_near(distance)), largest_cell)
+    if by_words:
+        named = prints.select("text_hash", "fp").distinct()  # texts of one fingerprint are linked anyhow
+        pairs = stored(similar_texts(docs), "text-links")
+        pairs = pairs.join(named.select(F.col("text_hash").alias("u"), F.col("fp").alias("fu")), "u")
+        pairs = pairs.join(named.select(F.col("text_hash").alias("v"), F.col("fp").alias("fv")), "v")
+        links = links.unionAll(pairs.filter("fu <> fv").select(F.least("fu", "fv").alias("u"), F.greatest("fu", "fv").alias("v")))
     roots = stored(components(links), "roots")
     grouped = own.join(roots, own.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -144,8 +225,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE,
 
 def dedup(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
     """The documents with one row left of each near-duplicate group: that of the smallest doc_id
-    (and of the smallest text hash, should rows share an id). All columns stay."""
-    groups = near_duplicates(docs, shingle, distance)
+    (and of the smallest text hash, should rows share an id). All columns stay.
+
+    Linked are fingerprints within *distance* bits and texts similar by five-word shingles."""
+    groups = near_duplicates(docs, shingle, distance, by_words=True)
     best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("best")
     )

@@ -129,6 +129,34 @@ def test_simhash_edges(edges, empty):
     assert simhash.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("largest", [7, simhash.LARGEST_BUCKET])
+def test_stage_links_five_word_jaccard(spark, largest, monkeypatch):
+    given = random.Random(12)
+    word = lambda: "".join(given.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(60 if k < 50 else 400)]
+        rows.append(own)
+        for _ in range(2):
+            other = list(own)
+            for at in given.sample(range(len(own)), (1 if k < 50 else given.choice((4, 7, 30)))):
+                other[at] = word()
+            rows.append(other)
+    hub = [word() for _ in range(80)]
+    rows += [[*hub[:40], word(), *hub[41:]] for _ in range(30)]
+    sets = [{tuple(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    prints = [plain_fingerprint(" ".join(r)) for r in rows]
+    want = Union()
+    for i in range(len(rows)):
+        want.find(i)
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 4:
+                want.join(i, j)
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (largest,))
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.dedup(docs).collect()) == sorted({want.find(i) for i in range(len(rows))})
+
+
 def test_rows_without_any_id_stay(spark):
     docs = spark.createDataFrame([(None, "alpha beta gamma delta epsilon"), (None, "alpha beta gamma delta epsilon"), (None, "one two three four five six")], "doc_id long, text string")
     assert sorted(r.text for r in simhash.dedup(docs).collect()) == ["alpha beta gamma delta epsilon", "one two three four five six"]
