@@ -277,6 +277,19 @@ def test_windows_score_each_token_once(subwords):
         assert own[1:-1].tolist() == [t for w in found[k] for t in subwords.subwords(" " + w.decode())]
 
 
+def test_every_token_trains(subwords):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    given = random.Random(4)
+    own = [" ".join(given.choice(["the", "erlyat,", "été", "mill"]) for _ in range(n)) for n in (0, 1, 15, 16, 40, 900)]
+    run = attention._learn(SimpleNamespace(value=attention.load_vocabulary(attention.VOCABULARY)), attention.WINDOW_SHARE)
+    rows = [r for b in run(iter([pa.RecordBatch.from_pydict({"text": own})])) for r in b.to_pylist() if r["kind"] == "x"]
+    trained = sorted(t for r in rows for t in r["tokens"][attention.STRIDE + 1 :] if t != subwords.pad)
+    _, tokens, _, _ = subwords.sequences([attention.split_words(t) for t in own])
+    assert trained == sorted(tokens[tokens != subwords.begin].tolist())
+
+
 def test_score_is_the_sum_of_the_tokens(subwords):
     """Scoring text by text, token by token, gives what batched scoring gives."""
     found = [attention.split_words("One two three, " * 20), [], attention.split_words("été the of")]
