@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import attention, bayes, compression, grammar, lines, packing, resampling, simhash, suffixes, tagpaths
+from pagemill.llm import attention, bayes, compression, grammar, lines, merkle, packing, resampling, simhash, suffixes, tagpaths, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,16 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf, "documents"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op10_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_WORDS}, []) AS w FROM documents),
@@ -110,3 +120,63 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, c
        sha256(coalesce(array_to_string(items.l, ','), '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
+
+
+def _octopus_sql(levels: int = 12, top_levels: int = 4) -> str:
+    """Trees level by level, then every leaf's walk to the root, by joins on the runs above it.
+
+    Unrolled to trees of 8^12 leaves and 8^4 languages.
+    """
+    part = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = (
+        "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), "
+        "lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, step: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)), "
+        "CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+    )
+    kids = "list(digest ORDER BY idx)"
+
+    def tree(name: str, bottom: str, count: int) -> list[str]:
+        parts = [f"{name}0 AS ({bottom})"]
+        for level in range(count):
+            parts.append(f"{name}_runs{level} AS (SELECT tree, idx // 8 AS p, {kids} AS kids, any_value(size) AS size FROM {name}{level} WHERE size > 1 GROUP BY tree, idx // 8)")
+            parts.append(
+                f"{name}{level + 1} AS (SELECT tree, p AS idx, sha256(array_to_string(kids, '')) AS digest, (size + 7) // 8 AS size FROM {name}_runs{level} "
+                f"UNION ALL SELECT tree, idx, digest, size FROM {name}{level} WHERE size = 1)"
+            )
+        runs = " UNION ALL ".join(f"SELECT tree, {level} AS level, p, kids FROM {name}_runs{level}" for level in range(count))
+        return [*parts, f"{name}_runs AS ({runs})"]
+
+    def walk(name: str, start: str, count: int) -> list[str]:
+        parts = [f"{name}_walk0 AS ({start})"]
+        for level in range(count):
+            others = "list_concat(kids[:w.idx % 8], kids[w.idx % 8 + 2:])"
+            cut = "list_concat(list_concat(kids[:w.idx % 8], [w.cur]), kids[w.idx % 8 + 2:])"
+            parts.append(
+                f"{name}_walk{level + 1} AS (SELECT w.r, w.tree, w.idx // 8 AS idx, CASE WHEN kids IS NULL THEN w.cur ELSE sha256(array_to_string({cut}, '')) END AS cur, "
+                f"CASE WHEN kids IS NULL THEN w.proof ELSE w.proof || array_to_string({others}, '') END AS proof "
+                f"FROM {name}_walk{level} w LEFT JOIN {name}_runs{level} k ON k.tree = w.tree AND k.p = w.idx // 8)"
+            )
+        return parts
+
+    own = "SELECT tree, pos AS idx, leaf AS digest, size FROM leaves"
+    parts = [
+        f"hashed AS (SELECT doc_id, coalesce('L' || hex(lang), '-') AS tree, {leaf.format(part.format('text'))} AS leaf, "
+        f"CASE WHEN {crc} % 3 = 0 THEN {leaf.format(part.format(lowered))} END AS changed FROM documents)",
+        "leaves AS (SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS r, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, "
+        "count(*) OVER (PARTITION BY tree) AS size FROM hashed)",
+        *tree("n", own, levels),
+        f"subroots AS (SELECT tree AS lang_tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS size FROM n{levels})",
+        *tree("t", "SELECT 'top' AS tree, idx, digest, size FROM subroots", top_levels),
+        *walk("n", "SELECT r, tree, pos AS idx, coalesce(changed, leaf) AS cur, '' AS proof FROM leaves", levels),
+        *walk("t", f"SELECT w.r, 'top' AS tree, s.idx, w.cur, w.proof FROM n_walk{levels} w JOIN subroots s ON s.lang_tree = w.tree", top_levels),
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, "
+        f"w.cur AS folded_root, w.cur = t.digest AS verified FROM leaves l JOIN subroots s ON s.lang_tree = l.tree "
+        f"JOIN t_walk{top_levels} w ON w.r = l.r, t{top_levels} t"
+    )
+
+
+ORACLES["op12_merkle"] = _octopus_sql()
