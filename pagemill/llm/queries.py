@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import attention, bayes, compression, grammar, lines, merkle, packing, resampling, simhash, suffixes, tagpaths, whitening
+from pagemill.llm import attention, bayes, compression, grammar, lines, merkle, packing, repeats, resampling, simhash, suffixes, tagpaths, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,15 @@ def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.proofs(table(spark, sf, "documents"))
 
 
+@query
+def op13_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op10_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_WORDS}, []) AS w FROM documents),
@@ -180,3 +189,21 @@ def _octopus_sql(levels: int = 12, top_levels: int = 4) -> str:
 
 
 ORACLES["op12_merkle"] = _octopus_sql()
+
+# bytes are two hexadecimal digits each; strings are cut out of pieces of 512 bytes and the 49 after them
+ORACLES["op13_repeats"] = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(hex(encode(text)), '') AS h FROM documents),
+places AS (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) AS k FROM d),
+cut_up AS (SELECT r, doc_id, k, substring(h, 2 * k + 1, 1122) AS h FROM places),
+windows AS (SELECT r, doc_id, k + j AS s, substring(h, 2 * j + 1, 100) AS t FROM (SELECT r, doc_id, k, h, unnest(range(0, least(512, length(h) // 2 - 49))) AS j FROM cut_up) w),
+owners AS (SELECT t, min(doc_id) AS first_id FROM windows GROUP BY t HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, s FROM windows JOIN owners USING (t) WHERE first_id < doc_id),
+marked AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+runs AS (SELECT r, min(s) AS first, max(s) + 50 AS past FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM marked) m GROUP BY r, run),
+pieces AS (SELECT r, first, past, coalesce(lag(past) OVER (PARTITION BY r ORDER BY first), 0) AS start FROM runs),
+cut AS (SELECT r, sum(past - first) AS removed, count(*) AS n, max(past) AS tail, string_agg(substring(h, 2 * start + 1, 2 * (first - start)), '' ORDER BY first) AS kept
+        FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
