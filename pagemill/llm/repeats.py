@@ -34,10 +34,10 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of text for each bucket of anchors.
 PART_BYTES = 16 << 20
 #: Bytes of segments, and suffixes, sorted together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BUCKET = 1 << 18
 #: Documents with one anchor (counted per chunk) from which its strings are grouped one by one.
-HOT = 50_000
+HOT = 20_000
 
 #: Period and cover: any two places have a distance below the period at which both are covered.
 PERIOD = 16
@@ -174,12 +174,10 @@ def least_owners(text: np.ndarray, places: np.ndarray, owner: np.ndarray, bucket
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _anchor_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of the ANCHOR bytes from each place on."""
-    word = words_at(np.concatenate((text, np.zeros(16, np.uint8))))
-    n, h = len(text), np.zeros(len(text), np.uint64)
-    for shift, mix in zip((0, 8, 16), _MIX):
-        h += word[shift : shift + n]
+def _hashed(*words: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(words[0]), np.uint64)
+    for word, mix in zip(words, _MIX):
+        h += word
         h *= mix
         h ^= h >> np.uint64(29)
     h *= _MIX[0]
@@ -187,6 +185,18 @@ def _anchor_hashes(text: np.ndarray) -> np.ndarray:
     return h
 
 
+def _anchor_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each place on."""
+    word, n = words_at(np.concatenate((text, np.zeros(16, np.uint8)))), len(text)
+    return _hashed(word[:n], word[8 : 8 + n], word[16 : 16 + n])
+
+
+def _hashes_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The same of some places only."""
+    anchors = text[places[:, None] + np.arange(ANCHOR)]
+    return _hashed(*anchors.view("<u8").T)
+
+
 @dataclass
 class Segments:
     """Runs of windows with one anchor: first and last window start, anchor's place and hash, document."""
@@ -311,7 +321,8 @@ def _by_part(finish: Callable[[int, list[dict]], Iterator[pa.RecordBatch]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # row by row: a batch may hold many parts
+                row = batch.slice(i, 1).to_pylist()[0]
                 if row["part"] != part:
                     if held:
                         yield from finish(part, held)
@@ -348,7 +359,7 @@ def _coded(hot: int):
 
 
 def _packed(arrays: list[np.ndarray], raw: bytes = b"") -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(arrays[0])], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays) + raw)
+    return zstandard.ZstdCompressor().compress(np.array([len(arrays[0])], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays) + raw)
 
 
 def _unpacked(data: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
@@ -360,7 +371,7 @@ def _unpacked(data: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-_SEGMENT = [np.uint64, np.int64, np.int64, np.uint8, np.uint8]  # hash, first start, document id, length, anchor's place
+_SEGMENT = [np.int64, np.int64, np.uint8, np.uint8]  # first start, document id, length, anchor's place
 _RUN = [np.int64, np.int64]  # first and last start of hit windows
 _COPY = [np.int64, np.int64, np.int64]  # first start of a segment, of its copy in the document, number of windows
 
@@ -416,7 +427,7 @@ def _candidates(parts: int):
                 s = some[a:b]
                 first, last = found.first[s], found.last[s]
                 raw = b"".join(row["text"][x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist()))
-                data = _packed([found.hash[s], first, ids[found.doc[s]], (last - first + LENGTH).astype(np.uint8), (found.anchor[s] - first).astype(np.uint8)], raw)
+                data = _packed([first, ids[found.doc[s]], (last - first + LENGTH).astype(np.uint8), (found.anchor[s] - first).astype(np.uint8)], raw)
                 out.append((int(part[a]), _CANDIDATES, data))
             if out:
                 at, kinds, data = zip(*out)
@@ -454,7 +465,7 @@ def _hot_windows(parts: int):
 # -- sorting the parts -----------------------------------------------------------------
 
 
-def hit_windows(hashes: np.ndarray, firsts: np.ndarray, docs: np.ndarray, lengths: np.ndarray, leads: np.ndarray, raw: bytes, slice_bytes: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def hit_windows(firsts: np.ndarray, docs: np.ndarray, lengths: np.ndarray, leads: np.ndarray, raw: bytes, slice_bytes: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(segment, window start) of each window that a smaller document has too.
 
     Segments are taken by anchor, some whole anchors at a time. Equal ones are sorted once, with their
@@ -462,6 +473,7 @@ def hit_windows(hashes: np.ndarray, firsts: np.ndarray, docs: np.ndarray, length
     are of one residue.
     """
     begins = np.cumsum(lengths, dtype=np.int64) - lengths
+    hashes = _hashes_at(np.frombuffer(raw, np.uint8), begins + leads)
     order = np.argsort(hashes, kind="stable")
     filled = np.cumsum(lengths[order], dtype=np.int64)
     anchors = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
@@ -607,7 +619,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTE
     grouped one by one, with partial minima before the shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = stored(rows.mapInArrow(_chunks, _CHUNK), "chunks")
+    chunks = stored(rows.mapInArrow(_chunks, _CHUNK), "chunks", compression="zstd")
     parts = max(64, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // part_bytes))
     keys = chunks.mapInArrow(_anchor_keys(parts), _KEYS)
     codes = stored(keys.repartition("part").sortWithinPartitions("part").mapInArrow(_coded(hot), _CODES), "anchor-codes")

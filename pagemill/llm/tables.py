@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.session import materialize
+from pagemill.session import materialize, shared_folder
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -16,9 +17,13 @@ ship_with_jobs(__name__)
 SLICE_BYTES = 4 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """*df* as a Parquet table in the shared folder, read back: it outlives lost executors."""
-    return materialize(df, f"llm-{name}")
+    if compression is None:
+        return materialize(df, f"llm-{name}")
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def folders(df: DataFrame) -> list[str]:
