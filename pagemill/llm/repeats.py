@@ -36,7 +36,7 @@ PART_BYTES = 16 << 20
 #: Bytes of segments, and suffixes, sorted together.
 SLICE_BYTES = 1 << 20
 BUCKET = 1 << 18
-#: Documents with one anchor (counted per chunk) from which its strings are grouped one by one.
+#: Different segments with one anchor (counted per chunk) from which its strings are grouped one by one.
 HOT = 20_000
 
 #: Period and cover: any two places have a distance below the period at which both are covered.
@@ -199,13 +199,15 @@ def _hashes_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Runs of windows with one anchor: first and last window start, anchor's place and hash, document."""
+    """Runs of windows with one anchor: first and last window start, anchor's place and hash, document,
+    and a number by which different segments are counted."""
 
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
     hash: np.ndarray
     doc: np.ndarray
+    mark: np.ndarray
 
 
 def segments(text: np.ndarray, ends: np.ndarray, usable: np.ndarray) -> Segments:
@@ -237,33 +239,30 @@ def segments(text: np.ndarray, ends: np.ndarray, usable: np.ndarray) -> Segments
         new = np.concatenate(([True], (np.diff(place) != 0) | (np.diff(start) != 1)))
         at = np.flatnonzero(new)
         last = np.concatenate((at[1:], [len(start)])) - 1
-        found.append((start[at], start[last], place[at] + begin, full[place[at]], doc[start[at]]))
+        mark = full[start[at] - begin] * _MIX[1] + full[start[last] - begin + LENGTH - ANCHOR]
+        found.append((start[at], start[last], place[at] + begin, full[place[at]], doc[start[at]], mark))
     if not found:
         none = np.empty(0, np.int64)
-        return Segments(none, none, none, none.astype(np.uint64), none)
+        return Segments(none, none, none, none.astype(np.uint64), none, none.astype(np.uint64))
     return Segments(*(np.concatenate(x) for x in zip(*found)))
 
 
-def counted(hashes: np.ndarray, doc: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (part, key) of a chunk's anchors in order, how many documents have each, and which of
-    them every segment's anchor is."""
+def keyed(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a chunk's anchors in order, part by part, which of them every segment's anchor
+    is, and the segments in that order (those of one anchor stay as they were)."""
     part = (hashes % np.uint64(parts)).astype(np.int64)
-    key = ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    joint = (part << 32) | key
-    order = np.argsort(joint, kind="stable")  # documents of one anchor stay in order
-    sorted_ = joint[order]
-    new = np.concatenate(([True], np.diff(sorted_) != 0))
-    other = new | np.concatenate(([True], np.diff(doc[order]) != 0))
+    joint = (part << 32) | ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort(joint, kind="stable")
+    new = np.diff(joint[order], prepend=-1) != 0
     of = np.empty(len(joint), np.int64)
     of[order] = np.cumsum(new) - 1
-    documents = np.add.reduceat(other.astype(np.int64), np.flatnonzero(new))
-    return sorted_[new] >> 32, sorted_[new] & 0xFFFFFFFF, documents, of
+    return joint[order][new], of, order
 
 
 # -- chunks and their anchors ----------------------------------------------------------
 
 _CHUNK = "chunk long, docs array<long>, ends array<long>, size long, text binary"
-_KEYS = "part int, chunk long, keys binary, documents binary"
+_KEYS = "part int, chunk long, keys binary, documents binary, different binary"
 _CODES = "chunk long, part int, codes binary, hot boolean"
 _BLOBS = "part int, chunk long, kind int, data binary"
 _CANDIDATES, _LOCAL = 0, 1
@@ -302,14 +301,20 @@ def _anchor_keys(parts: int):
             found = _chunk_segments(row)
             if not len(found.hash):
                 continue
-            part, key, documents, _ = counted(found.hash, found.doc, parts)
-            edges = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]))
-            keys, numbers = key.astype(np.uint32), np.minimum(documents, 255).astype(np.uint8)
-            pairs = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+            joint, of, order = keyed(found.hash, parts)
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            # documents come in order; one anchor's segments may be equal in any of them
+            documents = np.add.reduceat((np.diff(of[order], prepend=-1) != 0) | (np.diff(found.doc[order], prepend=-1) != 0), first, dtype=np.int64)
+            marks = np.lexsort((found.mark, of))
+            new = (np.diff(of[marks], prepend=-1) != 0) | np.concatenate(([True], np.diff(found.mark[marks]) != 0))
+            different = np.add.reduceat(new, first, dtype=np.int64)
+            part, keys = joint >> 32, (joint & 0xFFFFFFFF).astype(np.uint32)
+            edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+            pairs = list(zip(edges, edges[1:]))
+            few = [np.minimum(x, 255).astype(np.uint8) for x in (documents, different)]
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(part[edges[:-1]], pa.int32()), "chunk": pa.array([row["chunk"]] * len(pairs), pa.int64()),
-                "keys": pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()),
-                "documents": pa.array([numbers[a:b].tobytes() for a, b in pairs], pa.binary()),
+                **{name: pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for name, x in zip(("keys", "documents", "different"), (keys, *few))},
             })
 
     return run
@@ -339,12 +344,12 @@ def _coded(hot: int):
 
     def finish(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows])
-        documents = np.concatenate([np.frombuffer(r["documents"], np.uint8) for r in rows]).astype(np.int64)
+        documents, different = (np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("documents", "different"))
         order = np.argsort(keys, kind="stable")
         starts = np.flatnonzero(np.diff(keys[order], prepend=np.int64(-1)))
-        total = np.add.reduceat(documents[order], starts)
+        total, segs = (np.add.reduceat(x[order], starts, dtype=np.int64) for x in (documents, different))
         codes = np.empty(len(keys), np.uint8)
-        codes[order] = np.repeat((total > 1).astype(np.uint8) + (total >= hot), np.diff(np.append(starts, len(keys))))
+        codes[order] = np.repeat((total > 1).astype(np.uint8) * (1 + (segs >= hot)), np.diff(np.append(starts, len(keys))))
         cuts = np.cumsum([0] + [len(r["documents"]) for r in rows]).tolist()
         parts = [codes[a:b] for a, b in zip(cuts, cuts[1:])]
         yield pa.RecordBatch.from_pydict({
@@ -380,7 +385,7 @@ def _known(row: dict, found: Segments, parts: int) -> np.ndarray:
     """The code of each segment's anchor."""
     if not len(found.hash):
         return np.empty(0, np.uint8)
-    *_, of = counted(found.hash, found.doc, parts)
+    _, of, _ = keyed(found.hash, parts)
     codes = b"".join(c["codes"] for c in sorted(row["codes"], key=lambda c: c["part"]))
     return np.frombuffer(codes, np.uint8)[of]
 
@@ -615,7 +620,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTE
 
     Texts are written once in chunks. Anchors are counted by a shuffle of 32-bit keys; only segments
     whose anchor another document may have too (keys can collide, strings are compared in full) are
-    sent to be sorted, equal ones once per chunk. Strings of an anchor in *hot* or more documents are
+    sent to be sorted, equal ones once per chunk. Strings of an anchor with *hot* or more segments are
     grouped one by one, with partial minima before the shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
