@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tables import slices, texts
+from pagemill.llm.tables import Shared, slices, texts
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -99,7 +98,7 @@ def counted(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return held.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> Broadcast:
+def fit(rows: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> Shared:
     """The model learned from all rows (text, label) with a text and a label, broadcast.
 
     Its size is languages times 2^bits numbers, whatever the rows; label values that the data hold
@@ -120,7 +119,7 @@ def fit(rows: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> Broa
         prior[k] = n[at < 0].sum()
     matrix = np.log(matrix / matrix.sum(0)).astype(np.float32)
     prior = np.log(prior / prior.sum()) if len(found) else prior
-    return spark.sparkContext.broadcast(Model([r.label for r in found], prior, matrix))
+    return Shared(spark, Model([r.label for r in found], prior, matrix))
 
 
 def classify(text: str | None, model: Model, letters: np.ndarray) -> tuple[str, float]:
@@ -134,7 +133,7 @@ def classify(text: str | None, model: Model, letters: np.ndarray) -> tuple[str,
     return model.labels[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def predicted(docs: DataFrame, model: Broadcast) -> DataFrame:
+def predicted(docs: DataFrame, model: Shared) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from the text alone.
 
     score is the posterior probability of lang_pred. A text that is NULL or has no letter, or a

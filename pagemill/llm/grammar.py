@@ -11,11 +11,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tables import slices, stored, texts
+from pagemill.llm.tables import Shared, slices, stored, texts
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -221,7 +220,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Broadcast:
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Shared:
     """Automata from the credentials that the base patterns label in all texts, and from ordinary
     strings beside them: of each kind the *sample* distinct strings of the smallest hash."""
     rows = docs.select("text").mapInArrow(_labelled, "kind string, value string")
@@ -232,7 +231,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Broadcast:
         strings[kind] = [r.value.translate(SYMBOLS) for r in chosen]
     made = {k: inferred(v) for k, v in strings.items() if v}
     background = made.pop("ordinary", [])
-    return docs.sparkSession.sparkContext.broadcast(Formats(made, background))
+    return Shared(docs.sparkSession, Formats(made, background))
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
@@ -252,7 +251,7 @@ def scan(text: str | None, formats: Formats) -> tuple[list[tuple[int, str, int]]
     return [(a, KINDS[k], b) for a, k, b in base], [(a, name, b) for a, _, name, b in found]
 
 
-def secrets(docs: DataFrame, formats: Broadcast) -> DataFrame:
+def secrets(docs: DataFrame, formats: Shared) -> DataFrame:
     """One row per document: counts of base matches by kind, hash of their spans, all spans.
 
     Spans are in code points. A candidate that no base pattern matches is added as

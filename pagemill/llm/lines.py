@@ -8,12 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import bucket_links, components, linked_runs
-from pagemill.llm.tables import slices, stored, texts
+from pagemill.llm.tables import Shared, slices, stored, texts, unused
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -21,9 +20,9 @@ ship_with_jobs(__name__)
 #: Characters of a shingle, and of one where the shorter line of a pair has fewer than SHORT
 #: characters: one changed character spoils as many shingles, which a short line can't afford.
 SHINGLE, SHORT_SHINGLE, SHORT = 5, 3, 50
-#: A line of as many characters or more is no copy of one below SHORT (50 / 0.8, and some more).
-REACH = 65
 SIMILARITY = 0.8
+#: Different short shingles of a line that may still be a copy of one below SHORT characters.
+FEWEST = int((SHORT - SHORT_SHINGLE) / SIMILARITY)
 #: At a similarity of 0.8 a pair meets in one of eighteen bands of six with probability 0.995. Small
 #: shingles are common ones: with fewer rows unlike lines would meet, ever more in larger tables.
 BANDS, ROWS = 18, 6
@@ -62,7 +61,18 @@ def shingle_sizes(line: str) -> tuple[int, ...]:
     """The sizes of shingle by which the line is compared with some other."""
     if len(line) < SHORT:
         return (SHORT_SHINGLE,)
-    return (SHINGLE, SHORT_SHINGLE) if len(line) < REACH else (SHINGLE,)
+    return (SHINGLE, SHORT_SHINGLE) if near_short(line) else (SHINGLE,)
+
+
+def near_short(line: str) -> bool:
+    """Whether the line has so few different short shingles that one below SHORT characters, which
+    has at most SHORT - SHORT_SHINGLE of them, can be similar to it. Long lines seldom need to be read on."""
+    seen: set[str] = set()
+    for start in range(0, max(1, len(line) - SHORT_SHINGLE + 1), 128):
+        seen.update(shingles(line[start : start + 128 + SHORT_SHINGLE - 1], SHORT_SHINGLE))
+        if len(seen) > FEWEST:
+            return False
+    return True
 
 
 def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
@@ -190,7 +200,7 @@ def shared_members(rows: DataFrame) -> DataFrame:
     return stored(members.join(one, "bucket"), "line-members")
 
 
-def id_filter(ids: DataFrame) -> Broadcast:
+def id_filter(ids: DataFrame) -> Shared:
     """A bit for each id's last bits, broadcast: at most 16 MB however many ids there are."""
     spark, count = ids.sparkSession, ids.count()
     bits = min(FILTER_BITS, max(10, (16 * count).bit_length()))
@@ -199,7 +209,7 @@ def id_filter(ids: DataFrame) -> Broadcast:
     made = np.zeros(1 << bits - 5, np.uint32)
     held = words.toPandas()
     made[held.word] = held.bits.to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(made)
+    return Shared(spark, made)
 
 
 def wanted_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -233,7 +243,7 @@ def alike_lines(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     """Whether two lines are copies, by shingles of the size that the shorter one asks for."""
     short, long = sorted((a, b), key=len)
     size = SHORT_SHINGLE if len(short) < SHORT else SHINGLE
-    return (size == SHINGLE or len(long) < REACH) and alike(set(shingles(a, size)), set(shingles(b, size)), threshold)
+    return alike(set(shingles(short, size)), set(shingles(long, size)), threshold)
 
 
 def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
@@ -280,7 +290,7 @@ def duplicate_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Da
 
     A group is a connected component of lines whose sets of five-character shingles have a Jaccard
     similarity of 0.8 or more, over lower-cased lines with white space made even; three-character
-    shingles where the shorter line is below 50 characters (and the other below 65). The first line in
+    shingles where the shorter line is below 50 characters. The first line in
     the order (doc_id, text hash, position) stays, rows without a doc_id coming last. Blank lines
     belong to no group. Rows that agree in doc_id and text count as one.
     """
@@ -307,17 +317,18 @@ def dedup_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET, count: st
     A text all of whose lines are copies becomes empty; NULL stays NULL. With *count*, a column of
     that name has the positions of the lines taken out.
     """
-    removed = duplicate_lines(docs, largest_bucket).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
-    marked = docs.withColumns({"__hash0": F.xxhash64("text"), "__id0": F.col("doc_id").cast("long")})
-    same = (F.col("__hash0") == F.col("__hash")) & F.col("__id0").eqNullSafe(F.col("__id"))
-    joined = marked.join(removed, same, "left").select(*[docs[c] for c in docs.columns], "__removed")
+    own_id, own_hash, other_id, other_hash, gone_at = (unused(docs.columns, n) for n in ("__id0", "__hash0", "__id", "__hash", "__removed"))
+    removed = duplicate_lines(docs, largest_bucket).select(F.col("doc_id").alias(other_id), F.col("text_hash").alias(other_hash), F.col("removed").alias(gone_at))
+    marked = docs.withColumns({own_hash: F.xxhash64("text"), own_id: F.col("doc_id").cast("long")})
+    same = (F.col(own_hash) == F.col(other_hash)) & F.col(own_id).eqNullSafe(F.col(other_id))
+    joined = marked.join(removed, same, "left").select(*[docs[c] for c in docs.columns], gone_at)
     names, with_count = docs.columns, count is not None
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             made = []
-            for text, gone in zip(texts(part), part.column("__removed").to_pylist()):
+            for text, gone in zip(texts(part), part.column(gone_at).to_pylist()):
                 if gone:
                     out = set(gone)
                     text = "\n".join(line for pos, line in enumerate(text.split("\n")) if pos not in out)
@@ -327,4 +338,4 @@ def dedup_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET, count: st
 
     schema = joined.schema if count else docs.schema
     cleaned = joined.mapInArrow(run, schema)
-    return cleaned.withColumnRenamed("__removed", count) if count else cleaned
+    return cleaned.withColumnRenamed(gone_at, count) if count else cleaned

@@ -11,11 +11,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tables import slices, stored, texts
+from pagemill.llm.tables import Shared, slices, stored, texts
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -138,7 +137,7 @@ def kept_back(ids: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(62)) == 0
 
 
-def label_sample(labels: DataFrame, most: int = LABELS) -> Broadcast:
+def label_sample(labels: DataFrame, most: int = LABELS) -> Shared:
     """At most about *most* labelled documents, chosen by hash of the id, broadcast.
 
     Target are those that every row of theirs calls of quality 1 and not toxic; rows without an id
@@ -149,7 +148,7 @@ def label_sample(labels: DataFrame, most: int = LABELS) -> Broadcast:
     total = each.count()
     share = int((1 << 20) * min(1.0, most / max(1, total)))
     chosen = each.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).toPandas().sort_values("doc_id")
-    return labels.sparkSession.sparkContext.broadcast(Labels(chosen.doc_id.to_numpy(np.int64), (chosen.fine & (chosen.toxic == 0)).to_numpy(bool)))
+    return Shared(labels.sparkSession, Labels(chosen.doc_id.to_numpy(np.int64), (chosen.fine & (chosen.toxic == 0)).to_numpy(bool)))
 
 
 def ids_of(part: pa.RecordBatch) -> np.ndarray:
@@ -157,7 +156,7 @@ def ids_of(part: pa.RecordBatch) -> np.ndarray:
     return pa.compute.fill_null(part.column("doc_id").cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
 
 
-def fit(docs: DataFrame, labels: Broadcast, smoothing: float = SMOOTHING) -> Broadcast:
+def fit(docs: DataFrame, labels: Shared, smoothing: float = SMOOTHING) -> Shared:
     """Log ratios from the n-gram counts of all documents (raw) and of the target ones, broadcast.
 
     A bucket's ratio compares its count in target text with the count expected if target text were
@@ -186,10 +185,10 @@ def fit(docs: DataFrame, labels: Broadcast, smoothing: float = SMOOTHING) -> Bro
         raw[own.bucket - offset], target[own.bucket - offset] = own.raw, own.target
         expected = raw * (target.sum() / max(1.0, raw.sum()))
         made.append(np.rint(np.log((target + smoothing) / (expected + smoothing)) * UNIT).astype(np.int32))
-    return spark.sparkContext.broadcast(Ratios(*made))
+    return Shared(spark, Ratios(*made))
 
 
-def scored(docs: DataFrame, ratios: Broadcast, labels: Broadcast, temperature: float = TEMPERATURE) -> DataFrame:
+def scored(docs: DataFrame, ratios: Shared, labels: Shared, temperature: float = TEMPERATURE) -> DataFrame:
     """(doc_id, weight, key, label) of every row; key is the weight with Gumbel noise, label is that
     of the documents kept back for the cut, else -1."""
 
@@ -248,8 +247,8 @@ def kth_largest(rows: DataFrame, column: str, k: int, most: int = 10_000, bins:
 
 @dataclass
 class Classifier:
-    ratios: Broadcast
-    labels: Broadcast
+    ratios: Shared
+    labels: Shared
     #: Smallest key that is kept.
     cutoff: float
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.components import bucket_links, components, linked_runs
 from pagemill.llm.lines import shared_members
-from pagemill.llm.tables import slices, stored, texts
+from pagemill.llm.tables import slices, stored, texts, unused
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -232,7 +232,8 @@ def dedup(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFr
     best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("best")
     )
-    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__hash0", F.xxhash64("text")).withColumn("__id0", F.col("doc_id").cast("long"))
-    kept = marked.join(keep, (F.coalesce("__id0", F.lit(0)) == F.coalesce("__id", F.lit(0))) & (F.col("__hash0") == F.col("__hash")) & F.col("__id0").eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__id0", "__hash0"]).select(*[docs[c] for c in docs.columns])
+    own_id, own_hash, other_id, other_hash = (unused(docs.columns, n) for n in ("__id0", "__hash0", "__id", "__hash"))
+    keep = best.select(F.col("best.doc_id").alias(other_id), F.col("best.text_hash").alias(other_hash)).distinct()
+    marked = docs.withColumn(own_hash, F.xxhash64("text")).withColumn(own_id, F.col("doc_id").cast("long"))
+    kept = marked.join(keep, (F.coalesce(own_id, F.lit(0)) == F.coalesce(other_id, F.lit(0))) & (F.col(own_hash) == F.col(other_hash)) & F.col(own_id).eqNullSafe(F.col(other_id)))
+    return kept.dropDuplicates([own_id, own_hash]).select(*[docs[c] for c in docs.columns])

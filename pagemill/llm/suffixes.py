@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tables import slices, texts
+from pagemill.llm.tables import Shared, slices, texts
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -247,7 +247,7 @@ def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, named_only
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (3 * block_words)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [spark.sparkContext.broadcast(TestBlock.of([(r.item_id, r.text) for r in items.filter(part == b).toLocalIterator()])) for b in range(blocks)]
+    return [Shared(spark, TestBlock.of([(r.item_id, r.text) for r in items.filter(part == b).toLocalIterator()])) for b in range(blocks)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, named_only: bool = True) -> DataFrame:

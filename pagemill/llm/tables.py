@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.session import materialize, shared_folder
 from pagemill.shipping import ship_with_jobs
@@ -26,6 +27,35 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast value that needs no copy of its classes on the executors: it travels pickled by
+    value, which a plain broadcast does not do. A task unpickles it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = value
+
+    def __getstate__(self):
+        return {"_held": self._held}
+
+    @property
+    def value(self):
+        if "_value" not in self.__dict__:
+            self._value = cloudpickle.loads(self._held.value)
+        return self._value
+
+    def unpersist(self) -> None:
+        self._held.unpersist()
+
+
+def unused(columns: list[str], name: str) -> str:
+    """*name*, or a longer one if *columns* have it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def folders(df: DataFrame) -> list[str]:
     """Folders of the files behind *df*, for :func:`dropped`."""
     return sorted({f.rpartition("/")[0] for f in df.inputFiles()})

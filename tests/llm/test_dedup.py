@@ -164,25 +164,28 @@ def test_rows_without_any_id_stay(spark):
 
 def plain_line_dedup(rows):
     """{doc_id: set of removed positions} by comparing all lines."""
-    places, sets = defaultdict(list), {}
+    places, sets = defaultdict(list), {5: {}, 3: {}}
     for i, text in rows:
         for pos, line in enumerate((text or "").split("\n")):
             line = " ".join(line.lower().split())
             if line:
                 places[line].append((i, pos))
-                sets[line] = {line[k : k + 9] for k in range(max(1, len(line) - 8))}
-    want, given = Union(), list(sets)
+                for size in sets:
+                    sets[size][line] = {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
+    want, given = Union(), list(places)
     owners = defaultdict(list)
     for line in given:
         want.find(line)
-        both = defaultdict(int)
-        for s in sets[line]:
-            for other in owners[s]:
-                both[other] += 1
-            owners[s].append(line)
-        for other, n in both.items():
-            if n >= 0.8 * (len(sets[line]) + len(sets[other]) - n) - 1e-9:
-                want.join(line, other)
+        for size, own in sets.items():
+            both = defaultdict(int)
+            for s in own[line]:
+                for other in owners[size, s]:
+                    both[other] += 1
+                owners[size, s].append(line)
+            for other, n in both.items():
+                asked = 3 if min(len(line), len(other)) < 50 else 5
+                if size == asked and n >= 0.8 * (len(own[line]) + len(own[other]) - n) - 1e-9:
+                    want.join(line, other)
     members = defaultdict(list)
     for line in given:
         members[want.find(line)] += places[line]
@@ -203,6 +206,25 @@ def test_op1_against_brute_force(spark, sf, documents):
         assert got[i].n_removed == len(want.get(i, ()))
 
 
+def test_lines_of_few_shingles(spark):
+    """A short line and a long one with the same shingles are copies; so are long ones."""
+    rows = [(1, "-" * 40), (2, "-" * 80), (3, "ab" * 20), (4, "ab" * 300), (5, "=" * 70), (6, "x" + "-" * 30 + "y")]
+    got = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), count="removed").collect()}
+    want = plain_line_dedup(rows)
+    assert {i: set(r or ()) for i, r in got.items()} == {i: want.get(i, set()) for i, _ in rows}
+    assert got[2] == [0] and got[4] == [0] and not got[5]
+
+
+def test_any_column_names(spark):
+    names = "__id __hash __id0 __hash0 __removed".split()
+    rows = [(1, "one line of some words\nand another one", *names), (2, "one line of some words", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    cleaned = lines.dedup_lines(docs)
+    assert cleaned.columns == docs.columns and {tuple(r) for r in cleaned.collect()} == {rows[0], (2, "", *names)}
+    kept = simhash.dedup(docs.unionAll(docs))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == set(rows)
+
+
 def test_near_lines_in_hot_buckets(spark):
     given = random.Random(7)
     words = [f"w{given.randrange(10**6)}" for _ in range(60)]

@@ -341,3 +341,26 @@ def test_pipeline_on_an_empty_table(spark, sf, documents):
         assert docs.count() == 0
         if "bucket" in docs.columns:
             break
+
+
+def test_what_is_broadcast_needs_no_package():
+    """Workers without a copy of the package can read it."""
+    import subprocess
+    import sys
+    import tempfile
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from pagemill.llm import bayes, grammar, resampling, suffixes
+
+    made = [
+        bayes.Model(["en"], np.zeros(1), np.zeros((2, 1))), grammar.Formats({}, []), suffixes.TestBlock.of([("a", "some words")]),
+        resampling.Labels(np.zeros(1, np.int64), np.zeros(1, bool)), resampling.Ratios(np.zeros(2), np.zeros(2)),
+    ]
+    with tempfile.NamedTemporaryFile() as f:
+        f.write(cloudpickle.dumps(made))
+        f.flush()
+        read = f"import pickle, sys; x = pickle.load(open({f.name!r}, 'rb')); assert len(x) == 5; assert 'pagemill' not in sys.modules"
+        done = subprocess.run([sys.executable, "-c", read], cwd="/tmp", env={"PATH": "/usr/bin"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
