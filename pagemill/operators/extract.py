@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import bind_sql, strip_sql
 from pagemill.functions.urls import base_parts_sql, resolve_url_sql, url_host_sql
-from pagemill.operators.shred import ATTRIBUTES, cut_sql, shred
+from pagemill.operators.shred import ATTRIBUTES, PageFunction, cut_sql, shred
 from pagemill.schemas import EXPORT_COLUMNS, FIELDS
 
 # A record before its texts are cut: v0..v1 is the value's range, t0..t1 the text's.
@@ -38,10 +38,16 @@ _SLIM = {
 
 @dataclass(frozen=True)
 class Extractor:
-    """``build()`` is SQL text over one shredded row: an array of slim records."""
+    """``build()`` is SQL text over one shredded row: an array of slim records.
+
+    ``failure()``, if given, is SQL text for why it fails on the row, NULL if it does not; where it
+    fails the records are never worked out. An extractor with a ``function`` is Python instead.
+    """
 
     tags: frozenset[str]
-    build: Callable[[], str]
+    build: Callable[[], str] | None
+    failure: Callable[[], str] | None = None
+    function: PageFunction | None = None
 
 
 def slim_sql(**given: str) -> str:
@@ -193,9 +199,46 @@ EXTRACTORS: dict[str, Extractor] = {
 assert tuple(EXTRACTORS) == FIELDS
 
 
-def register(field: str, tags: Iterable[str], build: Callable[[], str]) -> None:
-    """Add (or replace) an extractor; it is looked up when a plan is built."""
-    EXTRACTORS[field] = Extractor(frozenset(tags), build)
+def register(field: str, tags: Iterable[str], build: Callable[[], str], failure: Callable[[], str] | None = None) -> None:
+    """Add (or replace) an extractor; it is looked up when a plan is built. *failure* tells on which
+    pages it fails: these get a warning, and their other fields stay."""
+    EXTRACTORS[field] = Extractor(frozenset(tags), build, failure)
+
+
+def register_function(field: str, tags: Iterable[str], function: PageFunction) -> None:
+    """Add (or replace) an extractor written in Python: ``function(url, elements)`` gives the page's
+    records as dicts. It runs in the step that parses the page; whatever it raises is a warning of
+    that page and field alone."""
+    EXTRACTORS[field] = Extractor(frozenset(tags), None, None, function)
+
+
+def _functions(fields: Iterable[str]) -> dict[str, tuple[frozenset[str], PageFunction]]:
+    return {f: (EXTRACTORS[f].tags, EXTRACTORS[f].function) for f in fields if EXTRACTORS[f].function}
+
+
+def _records_sql(field: str) -> str:
+    """The field's records; none where its extractor fails."""
+    extractor = EXTRACTORS[field]
+    if extractor.function:
+        record = slim_sql(**{c: f"m.{c}" for c in ("type", "value", "text", "level", "table_index", "row_index", "table_headers")})
+        return f"transform(filter(made, m -> m.field = '{field}'), m -> {record})"
+    if extractor.failure is None:
+        return extractor.build()
+    none = f"filter(array({slim_sql()}), r -> false)"
+    return f"CASE WHEN ({extractor.failure()}) IS NULL THEN {extractor.build()} ELSE {none} END"
+
+
+def failures_sql(fields: Iterable[str]) -> str:
+    """Messages of the extractors that fail on a row, as ``array<string>``."""
+    wanted = list(fields)
+    said = [f"CASE WHEN ({EXTRACTORS[f].failure()}) IS NOT NULL THEN concat('{f}{FAILED}', ({EXTRACTORS[f].failure()})) END" for f in wanted if EXTRACTORS[f].failure]
+    messages = f"array_compact(array({', '.join(said)}))" if said else "cast(array() AS array<string>)"
+    thrown = f"transform(failed, f -> concat(f.field, '{FAILED}', f.message))"
+    return f"concat({messages}, {thrown})" if _functions(wanted) else messages
+
+
+#: Between a field's name and why it failed.
+FAILED = ": extraction failed — "
 
 
 def select_fields(requested: Iterable[str] | None) -> tuple[str, ...]:
@@ -219,19 +262,21 @@ def base_url() -> Column:
 
 def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: bool = False) -> DataFrame:
     """One row per page: ``page_id, url, body, error, warnings, heads, records`` (slim, in emission
-    order; ``heads`` are the headers of the page's tables).
+    order; ``heads`` are the headers of the page's tables). A field that fails on a page is among its
+    warnings and has no records there.
 
     ``dedupe`` keeps the first record per (type, value) within the page.
     """
     wanted = select_fields(fields)
     tags = frozenset().union(*(EXTRACTORS[f].tags for f in wanted))
-    leaves = shred(pages, tags, ATTRIBUTES)
+    leaves = shred(pages, tags, ATTRIBUTES, _functions(wanted))
     if "base" in tags:
         leaves = leaves.withColumn("base", base_url()).withColumn("base_parts", F.expr(base_parts_sql("base")))
-    records = f"concat({', '.join(EXTRACTORS[f].build() for f in wanted)})"
+    records = f"concat({', '.join(_records_sql(f) for f in wanted)})"
     if dedupe:
         records = _first_per_value_sql(records)
-    warnings = F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")
+    brought = F.coalesce("warnings", F.array().cast("array<string>"))
+    warnings = F.when(F.col("error").isNotNull(), brought).otherwise(F.concat(brought, F.expr(failures_sql(wanted)))).alias("warnings")
     heads = F.expr(_table_heads() if "tables" in wanted else "cast(NULL AS array<string>)").alias("heads")
     return leaves.select("page_id", "url", "body", "error", warnings, heads, F.expr(records).alias("records"))
 
@@ -280,19 +325,13 @@ def extract_records(pages: DataFrame, fields: Iterable[str] | None = None, dedup
 
 
 def extract_warnings(pages: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
-    """``page_id, url, message``: one row per requested field of a page that cannot be parsed."""
+    """``page_id, url, message``: one row per requested field that fails on a page, and for each of
+    them where the page cannot be parsed."""
     wanted = select_fields(fields)
-    failed = shred(pages, frozenset().union(*(EXTRACTORS[f].tags for f in wanted))).filter("error IS NOT NULL")
-    return failed.select(
-        "page_id",
-        "url",
-        F.explode(F.array(*map(F.lit, wanted))).alias("field"),
-        "error",
-    ).select(
-        "page_id",
-        "url",
-        F.concat("field", F.lit(": extraction failed — "), "error").alias("message"),
-    )
+    leaves = shred(pages, frozenset().union(*(EXTRACTORS[f].tags for f in wanted)), functions=_functions(wanted))
+    all_of_them = F.transform(F.array(*map(F.lit, wanted)), lambda field: F.concat(field, F.lit(FAILED), "error"))
+    messages = F.when(F.col("error").isNotNull(), all_of_them).otherwise(F.expr(failures_sql(wanted)))
+    return leaves.select("page_id", "url", F.explode(messages).alias("message"))
 
 
 def extract_batch(

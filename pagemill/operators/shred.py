@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import partial
 from html import unescape
 from html.entities import html5
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.schemas import LEAF_SCHEMA
+from pagemill.schemas import LEAF_SCHEMA, MADE_SCHEMA, MAX_PAGE_TEXT
 from pagemill.shipping import ship_with_jobs
 
 ship_with_jobs(__name__)
@@ -269,6 +269,7 @@ class _Batch:
     def __init__(self) -> None:
         self.bytes = 0
         self.ids, self.urls, self.bodies, self.errors, self.warnings = [], [], [], [], []
+        self.made, self.failed = [], []
         self.offsets, self.attr_offsets = [0], [0]
         self.tags, self.last, self.t0, self.t1, self.keys, self.values = [], [], [], [], [], []
 
@@ -295,7 +296,7 @@ class _Batch:
     def full(self) -> bool:
         return self.bytes >= _BATCH_BYTES or len(self.ids) >= _BATCH_PAGES
 
-    def to_arrow(self) -> pa.RecordBatch:
+    def to_arrow(self, functions: bool = False) -> pa.RecordBatch:
         attrs = pa.MapArray.from_arrays(
             pa.array(self.attr_offsets, pa.int32()),
             pa.array(self.keys, pa.string()),
@@ -311,58 +312,121 @@ class _Batch:
             ],
             fields=list(_NODE),
         )
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(self.ids, pa.int64()),
-                pa.array(self.urls, pa.string()),
-                pa.array(self.bodies, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), nodes),
-                pa.array(self.errors, pa.string()),
-                pa.array(self.warnings, pa.list_(pa.string())),
-            ],
-            names=["page_id", "url", "body", "nodes", "error", "warnings"],
-        )
-
-
-def parse_page(parser: _PageParser, html: str | None) -> tuple[bytes, list, str | None]:
-    """Text, nodes and error of one page; a page that is missing or cannot be parsed fails alone."""
+        columns = {
+            "page_id": pa.array(self.ids, pa.int64()),
+            "url": pa.array(self.urls, pa.string()),
+            "body": pa.array(self.bodies, pa.binary()),
+            "nodes": pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), nodes),
+            "error": pa.array(self.errors, pa.string()),
+            "warnings": pa.array(self.warnings, pa.list_(pa.string())),
+        }
+        if functions:
+            columns["made"] = pa.array(self.made, _MADE)
+            columns["failed"] = pa.array(self.failed, _FAILED)
+        return pa.RecordBatch.from_pydict(columns)
+
+
+def text_cost(body: bytes, nodes: list[list]) -> int:
+    """Bytes of text that the page's records come to.
+
+    Elements that are never closed hold all that follows, so a page of n open rows and cells has some
+    n³ of it. A row costs the texts of its cells with their separators, other elements their own.
+    """
+    if len(nodes) ** 2 * (len(body) + 3) <= MAX_PAGE_TEXT:
+        return 0  # it can't be much
+    cells, total, own = [0], 0, 0
+    for tag, _, t0, t1, _ in nodes:
+        if tag == "td":
+            own += t1 - t0 + 3
+        elif tag in TEXT_TAGS:
+            total += t1 - t0
+        cells.append(own)
+    return total + sum(cells[last + 1] - cells[i] for i, (tag, last, *_) in enumerate(nodes) if tag == "tr")
+
+
+def parse_page(parser: _PageParser, html: str | None, limit: int = MAX_PAGE_TEXT) -> tuple[bytes, list, str | None]:
+    """Text, nodes and error of one page; a page that is missing, cannot be parsed or would yield more
+    than *limit* bytes of text fails alone."""
     if html is None:
         return b"", [], "page without markup"
     try:
-        return (*parser.parse(html), None)
+        body, nodes = parser.parse(html)
     except Exception as exc:  # noqa: BLE001 - whatever the markup provokes is the page's warning
         return b"", [], str(exc) or type(exc).__name__
+    if text_cost(body, nodes) > limit:
+        return b"", [], f"its records exceed the {limit}-byte limit"
+    return body, nodes, None
+
+
+#: An extractor written in Python: the page's URL and its elements (``tag``, ``attrs``, ``text``) to
+#: records (dicts with a ``type`` and any of the other record columns).
+PageFunction = Callable[[str, list[dict]], Iterable[dict]]
+
+_MADE_FIELDS = [("type", pa.string()), ("value", pa.string()), ("text", pa.string()), ("level", pa.string()),
+                ("table_index", pa.int32()), ("row_index", pa.int32()), ("table_headers", pa.string())]
+_MADE = pa.list_(pa.struct([("field", pa.string()), *_MADE_FIELDS]))
+_FAILED = pa.list_(pa.struct([("field", pa.string()), ("message", pa.string())]))
+
+
+def run_functions(
+    functions: Mapping[str, tuple[frozenset[str], PageFunction]], url: str, body: bytes, nodes: list[list]
+) -> tuple[list[dict], list[dict]]:
+    """Records of the Python extractors, and a message for each of them that failed on this page.
+
+    A field's records count only if all of them could be made.
+    """
+    made: list[dict] = []
+    failed: list[dict] = []
+    for field, (tags, function) in functions.items():
+        elements = [{"tag": n[0], "attrs": n[4], "text": body[n[2] : n[3]].decode()} for n in nodes if n[0] in tags]
+        try:
+            records = [{"field": field, **{k: r.get(k) for k, _ in _MADE_FIELDS}} for r in function(url, elements)]
+            pa.array(records, _MADE.value_type)
+        except Exception as exc:  # noqa: BLE001 - one extractor's failure is a warning of the page
+            failed.append({"field": field, "message": str(exc) or type(exc).__name__})
+        else:
+            made += records
+    return made, failed
 
 
 def _shred_batches(
-    tags: frozenset[str], attributes: frozenset[str], batches: Iterator[pa.RecordBatch]
+    tags: frozenset[str], attributes: frozenset[str], functions: Mapping[str, tuple[frozenset[str], PageFunction]], batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     parser = _PageParser(tags, attributes)
     out = _Batch()
     for batch in batches:
         for page_id, url, html, warnings in zip(*(column.to_pylist() for column in batch.columns)):
-            out.add(page_id, url, warnings, *parse_page(parser, html))
+            body, nodes, error = parse_page(parser, html)
+            out.add(page_id, url, warnings, body, nodes, error)
+            if functions:
+                made, failed = run_functions(functions, url, body, nodes) if error is None else ([], [])
+                out.made.append(made)
+                out.failed.append(failed)
             if out.full:
-                yield out.to_arrow()
+                yield out.to_arrow(bool(functions))
                 out = _Batch()
     if out.ids:
-        yield out.to_arrow()
+        yield out.to_arrow(bool(functions))
 
 
 def shred(
     pages: DataFrame,
     tags: Iterable[str] = ALL_TAGS,
     attributes: Iterable[str] = ATTRIBUTES,
+    functions: Mapping[str, tuple[frozenset[str], PageFunction]] | None = None,
 ) -> DataFrame:
     """One row per page (``LEAF_SCHEMA``): its text and the wanted elements in document order.
 
     ``nodes[i].last`` is the index of the last element inside ``nodes[i]``; ``t0``/``t1`` are
     byte offsets of its text in ``body``. Works on static and streaming DataFrames. Filter
     pages first: nothing is pushed down through it. Pages may bring ``warnings`` (strings) along.
+    *functions* (field to tags and extractor) are run on each page while it is at hand, each by itself;
+    their outcome is in two more columns (``MADE_SCHEMA``).
     """
-    run = partial(_shred_batches, frozenset(tags), frozenset(attributes))
+    run = partial(_shred_batches, frozenset(tags), frozenset(attributes), dict(functions or {}))
     warnings = F.col("warnings") if "warnings" in pages.columns else F.lit(None)
-    return pages.select("page_id", "url", "html", warnings.cast("array<string>").alias("warnings")).mapInArrow(run, LEAF_SCHEMA)
+    schema = f"{LEAF_SCHEMA}, {MADE_SCHEMA}" if functions else LEAF_SCHEMA
+    return pages.select("page_id", "url", "html", warnings.cast("array<string>").alias("warnings")).mapInArrow(run, schema)
 
 
 def cut_sql(body: str, start: str, stop: str) -> str:

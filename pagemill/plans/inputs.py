@@ -35,6 +35,13 @@ BROKEN_PAGES = (
     "THEN concat('&#', repeat('9', 5000), ';', html) ELSE html END AS html FROM pages"
 )
 
+# Every twentieth page has rows and cells that are never closed, so that each holds all that follow.
+COSTLY_PAGES = (
+    "SELECT page_id, url, CASE WHEN page_id % 20 = 0 THEN concat('<table>', repeat('<tr><td>1', 2000), html) "
+    "WHEN page_id % 20 = 10 THEN concat('<table>', repeat('<tr><td>1', 60000), html) "
+    "WHEN page_id % 20 = 5 THEN concat('<table><tr><td>a<tr><td>b</table>', html) ELSE html END AS html FROM pages"
+)
+
 # References to resolve, each against every page's URL.
 REFERENCES = (
     "SELECT page_id, url, href FROM (SELECT page_id, url, "

@@ -293,6 +293,16 @@ ORACLES: dict[str, str] = {
     "site_header": f"""{plain('title')} SELECT p.page_id, p.url, r.value AS title, lower({HOST.replace('url', 'p.url')}) AS hostname,
       concat('https://', lower({HOST.replace('url', 'p.url')}), '/favicon.ico') AS favicon_url FROM pages p LEFT JOIN recs r ON r.page_id = p.page_id""",
     "registered_extractor": f"WITH {ELEMENTS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, 'list_item' AS type, txt AS value FROM els WHERE tag = 'li'",
+    "page_budget": f"""WITH {ELEMENTS}, n AS (SELECT page_id, count(*) AS k FROM els WHERE tag = 'title' AND txt <> '' GROUP BY page_id)
+      SELECT page_id, page_id % 10 <> 0 AS success, CAST(CASE WHEN page_id % 10 = 0 THEN 0 ELSE coalesce(k, 0) + CASE WHEN page_id % 20 = 5 THEN 2 ELSE 0 END END AS int) AS record_count,
+      CASE WHEN page_id % 10 = 0 THEN 'its records exceed the 67108864-byte limit' END AS error FROM pages LEFT JOIN n USING (page_id)""",
+    "isolated_extractors": f"""WITH {ELEMENTS}, n AS (SELECT page_id, count(*) FILTER (tag = 'title' AND txt <> '') AS n_title, count(*) FILTER (tag = 'li') AS n_li, count(*) FILTER (tag = 'h1') AS n_h1 FROM els GROUP BY page_id),
+      f AS (SELECT page_id, url, page_id % 7 = 0 AS no_items, length(url) % 10 = 0 AS no_words FROM pages),
+      c AS (SELECT page_id, CAST(n_title AS int) AS n_title, CASE WHEN no_items THEN 0 ELSE CAST(n_li AS int) END AS n_list_item, CASE WHEN no_words THEN 0 ELSE CAST(n_h1 AS int) END AS n_h1_size,
+        concat_ws('; ', CASE WHEN no_items THEN concat('list_items: extraction failed — page ', page_id, ' refused') END, CASE WHEN no_words THEN concat('first_words: extraction failed — no words wanted of ', url) END) AS warnings FROM f JOIN n USING (page_id))
+      SELECT page_id, true AS success, CAST(n_title + n_list_item + n_h1_size AS int) AS record_count, warnings, n_title, n_list_item, n_h1_size FROM c""",
+    "isolated_warnings": """SELECT page_id, url, concat('list_items: extraction failed — page ', page_id, ' refused') AS message FROM pages WHERE page_id % 7 = 0
+      UNION ALL SELECT page_id, url, concat('first_words: extraction failed — no words wanted of ', url) AS message FROM pages WHERE length(url) % 10 = 0""",
     # projections
     "resolve_url": f"SELECT page_id, href, CASE href {_WHEN} END AS resolved FROM ({dd(given.REFERENCES)}) q",
     "absolute_redirect": f"""SELECT page_id, href, CASE href {_WHEN} WHEN '' THEN url WHEN 'mailto:a@b.c' THEN href WHEN 'javascript:x' THEN href

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,6 +324,47 @@ def registered_extractor(spark, sf):
         del extract.EXTRACTORS["list_items"]
 
 
+@query
+def page_budget(spark, sf):
+    """Pages whose nested rows come to gigabytes are errors of their own; those with few are read."""
+    return extract.extract_batch(derived(spark, sf, inputs.COSTLY_PAGES), ["title", "tables"]).select(
+        "page_id", "success", "record_count", "error"
+    )
+
+
+@contextmanager
+def _failing_extractors():
+    """One extractor in SQL that fails on every seventh page, one in Python on every tenth."""
+
+    def first_words(url: str, elements: list[dict]) -> list[dict]:
+        if url and len(url) % 10 == 0:
+            raise ValueError(f"no words wanted of {url}")
+        return [{"type": "h1_size", "value": str(len(e["text"]))} for e in elements]
+
+    record = extract.slim_sql(type="'list_item'", value="cast(n.t0 AS string)")
+    extract.register("list_items", ["li"], lambda: f"transform({extract.tagged_sql('li')}, n -> {record})",
+                     failure=lambda: "CASE WHEN page_id % 7 = 0 THEN concat('page ', page_id, ' refused') END")
+    extract.register_function("first_words", ["h1"], first_words)
+    try:
+        yield ["title", "list_items", "first_words"]
+    finally:
+        del extract.EXTRACTORS["list_items"], extract.EXTRACTORS["first_words"]
+
+
+@query
+def isolated_extractors(spark, sf):
+    with _failing_extractors() as fields:
+        batch = extract.extract_batch(pages_of(spark, sf), fields, with_data=True)
+    counts = [F.expr(f"size(filter(data, r -> r.type = '{kind}'))").alias(f"n_{kind}") for kind in ("title", "list_item", "h1_size")]
+    return batch.select("page_id", "success", "record_count", F.array_join("warnings", "; ").alias("warnings"), *counts)
+
+
+@query
+def isolated_warnings(spark, sf):
+    with _failing_extractors() as fields:
+        return extract.extract_warnings(pages_of(spark, sf), fields).select("page_id", "url", "message")
+
+
 # -- projections -----------------------------------------------------------------------
 
 

@@ -31,6 +31,7 @@ TYPES_OF_FIELD = {
 # Limits.
 MAX_URL_LENGTH = 2048
 MAX_BODY_BYTES = 10 * 1024 * 1024
+MAX_PAGE_TEXT = 64 * 1024 * 1024
 MAX_RESULT_ROWS = 2000
 MAX_HISTORY_ROWS = 200
 MAX_REDIRECTS = 3
@@ -47,6 +48,12 @@ LEAF_SCHEMA = (
     "error string, warnings array<string>"
 )
 
+# What extractors written in Python add to such a row: their records, and why others of them failed.
+MADE_SCHEMA = (
+    "made array<struct<field: string, type: string, value: string, text: string, level: string, "
+    "table_index: int, row_index: int, table_headers: string>>, failed array<struct<field: string, message: string>>"
+)
+
 # One row per element of interest.
 NODE_SCHEMA = (
     "page_id long, url string, node_id int, end_id int, tag string, "

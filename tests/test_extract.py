@@ -238,3 +238,38 @@ def test_page_nodes_in_sql(spark):
     every = [tuple(r) for r in spark.sql(sql % "", df=df).collect()]
     assert every == [(1, "h1", "a", None), (1, "p", "b", None), (2, None, None, "page without markup")]
     assert [r.tag for r in spark.sql(sql % ", 'p'", df=df).collect()] == ["p", None]
+
+
+def test_nested_rows_within_and_over_the_budget(spark):
+    """A page of unclosed rows is an error of its own when its records would come to too much text."""
+    rows = [(1, "http://a.example/", "<table>" + "<tr><td>1" * 60 + "<p>after"), (2, "http://a.example/", "<table>" + "<tr><td>1" * 60_000),
+            (3, "http://a.example/", "<tr><td>" * 20_000), (4, "http://a.example/", "<table>" + "<tr><td>1</td></tr>" * 20_000 + "</table>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    batch = {r.page_id: r for r in ex.extract_batch(pages, ["tables", "paragraphs"]).collect()}
+    assert [batch[i].success for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert batch[1].record_count == 61 and batch[4].record_count == 20_000
+    found = ex.extract_records(pages.filter("page_id = 1"), ["tables"]).orderBy("row_index").collect()
+    assert found[58].value == "11after | 1after" and found[59].value == "1after"
+    assert "limit" in batch[2].error and batch[2].record_count == 0
+
+
+def test_a_failing_extractor_is_one_warning(spark):
+    def words(url, elements):
+        return [{"type": "words", "value": str(len(e["text"].split())), "row_index": 1 // len(e["text"])} for e in elements]
+
+    ex.register_function("words", ["p"], words)
+    ex.register("caption", ["img"], lambda: f"transform({ex.tagged_sql('img')}, n -> {ex.slim_sql(type=repr('alt'), value='n.attrs[' + repr('alt') + ']')})",
+                     failure=lambda: f"CASE WHEN exists({ex.tagged_sql('img')}, n -> n.attrs['alt'] IS NULL) THEN 'image without text' END")
+    try:
+        rows = [(1, "http://a.example/", "<title>A</title><p>one two</p><img alt=x>"), (2, "http://b.example/", "<title>B</title><p></p><p>one</p><img>"), (3, "http://c.example/", None)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        fields = ["title", "words", "caption"]
+        found = {(r.page_id, r.type, r.value) for r in ex.extract_records(pages, fields).collect()}
+        assert found == {(1, "title", "A"), (1, "words", "2"), (1, "alt", "x"), (2, "title", "B")}
+        said = {(r.page_id, r.message) for r in ex.extract_warnings(pages, fields).collect()}
+        second = {(2, "caption: extraction failed — image without text"), (2, "words: extraction failed — integer division or modulo by zero")}
+        assert said == second | {(3, f"{f}: extraction failed — page without markup") for f in fields}
+        batch = {r.page_id: r for r in ex.extract_batch(pages, fields).collect()}
+        assert {(2, w) for w in batch[2].warnings} == second and batch[2].success and batch[1].warnings == [] and not batch[3].success
+    finally:
+        del ex.EXTRACTORS["words"], ex.EXTRACTORS["caption"]
