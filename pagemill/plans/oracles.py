@@ -410,6 +410,12 @@ ORACLES: dict[str, str] = {
     "stream_history": f"{plain('title', 'link')} SELECT page_id AS job_id, type, value FROM ({_FIRST_PER_VALUE}) f WHERE copy = 1",
     "stream_rate_audit": f"SELECT * FROM ({_RATES}) r WHERE window_us + 86400000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000",
     "stream_cache": _STORES,
+    "stream_jobs": f"""WITH e AS (SELECT *, epoch_us(ts) AS us FROM ({given.STATUS_EVENTS}) s), w AS (SELECT max(us) // 1000 - 21600000 AS ms FROM e),
+      seen AS (SELECT e.*, lead(us) OVER (PARTITION BY job_id ORDER BY us, event_id) AS then_us FROM e, w WHERE us // 1000 < w.ms)
+      SELECT job_id, 'update' AS kind, us, event_id, stage, status FROM seen
+      UNION ALL SELECT job_id, 'evicted' AS kind, us, event_id, stage, status FROM seen, w
+      WHERE status <> 'running' AND CASE WHEN then_us IS NULL THEN (us + 43200000000) // 1000 < w.ms ELSE then_us > us + 43200000000 END""",
+    "stream_cache_late": f"SELECT * FROM ({_STORES}) s WHERE event_id IN (SELECT event_id FROM events WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 21600000 FROM events))",
     "stream_latest_status": f"""SELECT job_id, stage, status, status IN ('done', 'error') AS finished
       FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS k FROM ({given.STATUS_EVENTS}) e) l WHERE k = 1""",
 }

@@ -29,6 +29,7 @@ from pagemill.sources.readers import (
     stream_table,
 )
 from pagemill.sources.writers import export_cap, write_csv, write_json
+from pagemill.streaming.ordered import stream_cache_in_order, stream_jobs
 from pagemill.streaming.pages import stream_extract, stream_history
 from pagemill.streaming.requests import stream_cache, stream_latest_status, stream_rate_audit
 
@@ -878,3 +879,35 @@ def stream_latest_status_jobs(spark, sf):
     run.awaitTermination()
     updates = spark.read.parquet(path)
     return audit.latest_status(updates, "job_id", "ts", "event_id", ["stage", "status"])
+
+
+def _late_event_stream(spark: SparkSession, sf: str, batches: int = 5) -> DataFrame:
+    """The events as a stream of five micro-batches, a fifth of the time each; of the last three hours
+    of each every third event comes a batch later."""
+    path, events = scratch(spark, "late-events"), events_of(spark, sf)
+    events = events.selectExpr("*", "user_id AS job_id", "event_type AS stage",
+                               "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status")
+    us = epoch_micros(events, "ts")
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    span = (high - low) // batches + 1
+    own = F.floor((us - low) / span)
+    late = (F.floor((us - low + 3 * 3_600_000_000) / span) > own) & (F.col("event_id") % 3 == 0)
+    dealt = events.withColumn("batch", F.least(F.when(late, own + 1).otherwise(own), F.lit(batches - 1)))
+    for b in range(batches):  # one file after the other, so that they are read in this order
+        dealt.filter(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return stream_table(spark, path, dealt.drop("batch").schema, files_per_trigger=1)
+
+
+@query_named("stream_jobs")
+def stream_job_store(spark, sf):
+    """Updates and evictions of a job store over five micro-batches with late rows."""
+    stream = stream_jobs(_late_event_stream(spark, sf), "job_id", "ts", "event_id", ttl_seconds=DAY // 2, lateness="6 hours")
+    found = _run_to_table(stream, spark, "stream-jobs")
+    return found.select("job_id", "kind", epoch_micros(found, "ts").alias("us"), "event_id", "stage", "status")
+
+
+@query_named("stream_cache_late")
+def stream_cache_late_rows(spark, sf):
+    """Cache hits over five micro-batches with late rows: those of the batch operator."""
+    stream = stream_cache_in_order(_late_event_stream(spark, sf), "user_id", "ts", "event_id", DAY, "6 hours")
+    return _hits(_run_to_table(stream, spark, "stream-cache-late"))
