@@ -18,12 +18,14 @@ REDIRECT_STATUSES = (301, 302, 303, 307, 308)
 _RESULT = ("start_url", "final_url", "hops", "outcome")
 
 
-def redirect_edges(responses: DataFrame) -> DataFrame:
-    """``url, redirects, target`` from ``url, status, location``; NULL target: nowhere to go."""
+def redirect_edges(responses: DataFrame, *columns: str) -> DataFrame:
+    """``url, redirects, target`` from ``url, status, location`` (and other *columns*, and ``fetched_at`` if there);
+    NULL target: nowhere to go."""
     redirects = F.coalesce(F.col("status").isin(*REDIRECT_STATUSES), F.lit(False))
     located = F.coalesce(F.col("location"), F.lit("")) != ""
+    brought = [*columns, *(c for c in ("fetched_at",) if c in responses.columns)]
     return responses.select(
-        "url", redirects.alias("redirects"), F.when(redirects & located, absolute_redirect("location", "url")).alias("target")
+        "url", redirects.alias("redirects"), F.when(redirects & located, absolute_redirect("location", "url")).alias("target"), *brought
     )
 
 
@@ -38,13 +40,14 @@ def follow_chains(edges: DataFrame, blocked: DataFrame | None = None, max_hops:
 
     Outcomes: ``ok``, ``too_many`` (more than *max_hops* redirects), ``blocked`` (a hop's host
     is in *blocked*), ``missing`` (no response for a hop). The narrow edges are written out
-    once; after that the plan is *max_hops* equi joins. URLs that do not redirect never enter
-    a join, and finished chains leave the loop under a key of their own. Copies of a URL are
-    combined to one row first, so a URL that many chains lead to has a single row on the
-    right, and the skew join can split its left side.
+    once; after that comes one equi join per hop, over the chains that still run: each hop is
+    written, and chains that have ended are read from there. Copies of a URL are combined to one
+    row first, the newest if *edges* have ``fetched_at``, so a URL that many chains lead to has a
+    single row on the right, and the skew join can split its left side.
     """
+    newest = ["fetched_at"] if "fetched_at" in edges.columns else []
     known = (
-        edges.groupBy("url").agg(F.max(F.struct("redirects", "target")).alias("edge")).select("url", "edge.*")
+        edges.groupBy("url").agg(F.max(F.struct(*newest, "redirects", "target")).alias("edge")).select("url", "edge.redirects", "edge.target")
     )
     if blocked is not None:
         refused = blocked.select(F.col("host").alias("_host")).distinct().withColumn("refused", F.lit(True))
@@ -71,38 +74,41 @@ def follow_chains(edges: DataFrame, blocked: DataFrame | None = None, max_hops:
         .otherwise("ok")
         .alias("outcome"),
     )
-    chains = known.filter(moving).select(
+    running = known.filter(moving).select(
         F.col("url").alias("start_url"),
         F.col("target").alias("at"),
         F.lit(1).alias("hops"),
         _arrival(F.lit(1), F.col("target_refused"), max_hops).alias("outcome"),
     )
     step = known.select(
-        F.col("url").alias("key"), "redirects", "target", "target_refused", F.lit(True).alias("present")
+        F.col("url").alias("at"), "redirects", "target", "target_refused", F.lit(True).alias("present")
     )
+    done = [settled]
     for _ in range(max_hops):
-        # a finished chain matches nothing, and its own start spreads it evenly
-        key = F.when(F.col("outcome").isNull(), F.col("at")).otherwise(F.concat(F.lit("\n"), "start_url"))
-        joined = chains.withColumn("key", key).join(step, "key", "left")
-        running = F.col("outcome").isNull()
-        hop = running & F.coalesce(F.col("redirects"), F.lit(False))
+        # what has ended stays in the table of its hop; only the others are looked up once more
+        frontier = materialize(running, "chain-hop")
+        done.append(_finished(frontier.filter("outcome IS NOT NULL")))
+        hop = F.coalesce(F.col("redirects"), F.lit(False))
         hops = F.col("hops") + F.when(hop, 1).otherwise(0)
         outcome = (
-            F.when(~running, F.col("outcome"))
-            .when(F.col("present").isNull(), "missing")
+            F.when(F.col("present").isNull(), "missing")
             .when(hop & (hops > max_hops), "too_many")
             .when(~hop | F.col("target").isNull(), "ok")
             .otherwise(_arrival(hops, F.col("target_refused"), max_hops))
         )
         moved = hop & F.col("target").isNotNull() & (hops <= max_hops)
-        chains = joined.select(
+        running = frontier.filter("outcome IS NULL").drop("outcome").join(step, "at", "left").select(
             "start_url",
             F.when(moved, F.col("target")).otherwise(F.col("at")).alias("at"),
             hops.alias("hops"),
             outcome.alias("outcome"),
         )
-    finished = chains.select("start_url", F.col("at").alias("final_url"), "hops", "outcome")
-    return reduce(DataFrame.unionByName, [settled.select(*_RESULT), finished.select(*_RESULT)])
+    done.append(_finished(running))
+    return reduce(DataFrame.unionByName, [part.select(*_RESULT) for part in done])
+
+
+def _finished(chains: DataFrame) -> DataFrame:
+    return chains.select("start_url", F.col("at").alias("final_url"), "hops", "outcome")
 
 
 def _arrival(hops: Column, target_refused: Column, max_hops: int) -> Column:

@@ -56,6 +56,9 @@ def slim_sql(**given: str) -> str:
     return f"named_struct({', '.join(pairs)})"
 
 
+_NO_RECORDS = f"filter(array({slim_sql()}), r -> false)"
+
+
 def tagged_sql(tag: str, condition: str = "true") -> str:
     """The page's *tag* elements ``n`` that meet *condition*, in document order."""
     return f"filter(nodes, n -> n.tag = '{tag}' AND {condition})"
@@ -224,8 +227,7 @@ def _records_sql(field: str) -> str:
         return f"transform(filter(made, m -> m.field = '{field}'), m -> {record})"
     if extractor.failure is None:
         return extractor.build()
-    none = f"filter(array({slim_sql()}), r -> false)"
-    return f"CASE WHEN ({extractor.failure()}) IS NULL THEN {extractor.build()} ELSE {none} END"
+    return f"CASE WHEN ({extractor.failure()}) IS NULL THEN {extractor.build()} ELSE {_NO_RECORDS} END"
 
 
 def failures_sql(fields: Iterable[str]) -> str:
@@ -263,16 +265,21 @@ def base_url() -> Column:
 def page_arrays(pages: DataFrame, fields: Iterable[str] | None = None, dedupe: bool = False) -> DataFrame:
     """One row per page: ``page_id, url, body, error, warnings, heads, records`` (slim, in emission
     order; ``heads`` are the headers of the page's tables). A field that fails on a page is among its
-    warnings and has no records there.
+    warnings and has no records there. Pages may bring ``wanted`` along, a bit mask of the fields (the
+    first field is bit 0): others are neither collected nor extracted on that page.
 
     ``dedupe`` keeps the first record per (type, value) within the page.
     """
     wanted = select_fields(fields)
     tags = frozenset().union(*(EXTRACTORS[f].tags for f in wanted))
-    leaves = shred(pages, tags, ATTRIBUTES, _functions(wanted))
+    bits = {1 << i: f for i, f in enumerate(wanted)} if "wanted" in pages.columns else {}
+    leaves = shred(pages, tags, ATTRIBUTES, _functions(wanted), {bit: EXTRACTORS[f].tags for bit, f in bits.items()})
     if "base" in tags:
         leaves = leaves.withColumn("base", base_url()).withColumn("base_parts", F.expr(base_parts_sql("base")))
-    records = f"concat({', '.join(_records_sql(f) for f in wanted)})"
+    parts = {f: _records_sql(f) for f in wanted}
+    for bit, f in bits.items():
+        parts[f] = f"CASE WHEN wanted IS NULL OR wanted & {bit} <> 0 THEN {parts[f]} ELSE {_NO_RECORDS} END"
+    records = f"concat({', '.join(parts.values())})"
     if dedupe:
         records = _first_per_value_sql(records)
     brought = F.coalesce("warnings", F.array().cast("array<string>"))

@@ -76,10 +76,11 @@ def too_large(responses: DataFrame, limit: int = MAX_BODY_BYTES) -> DataFrame:
 
 
 def decode_pages(responses: DataFrame, limit: int = MAX_BODY_BYTES) -> DataFrame:
-    """Responses that are pages, decoded: ``url, html, encoding`` (and ``page_id`` if present).
+    """Responses that are pages, decoded: ``url, html, encoding`` (and ``page_id``, ``handle`` and
+    ``fetched_at`` if present).
     The others are the rows of :func:`refused_responses`."""
     kept = size_cap(html_only(responses), limit).withColumn("charset", detect_charset("body", "content_type"))
-    ids = [c for c in ("page_id",) if c in responses.columns]
+    ids = [c for c in ("page_id", "handle", "fetched_at") if c in responses.columns]
     return kept.select(
         *ids,
         "url",

@@ -269,7 +269,7 @@ class _Batch:
     def __init__(self) -> None:
         self.bytes = 0
         self.ids, self.urls, self.bodies, self.errors, self.warnings = [], [], [], [], []
-        self.made, self.failed = [], []
+        self.made, self.failed, self.wanted = [], [], []
         self.offsets, self.attr_offsets = [0], [0]
         self.tags, self.last, self.t0, self.t1, self.keys, self.values = [], [], [], [], [], []
 
@@ -319,6 +319,7 @@ class _Batch:
             "nodes": pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), nodes),
             "error": pa.array(self.errors, pa.string()),
             "warnings": pa.array(self.warnings, pa.list_(pa.string())),
+            "wanted": pa.array(self.wanted, pa.int32()),
         }
         if functions:
             columns["made"] = pa.array(self.made, _MADE)
@@ -390,14 +391,19 @@ def run_functions(
 
 
 def _shred_batches(
-    tags: frozenset[str], attributes: frozenset[str], functions: Mapping[str, tuple[frozenset[str], PageFunction]], batches: Iterator[pa.RecordBatch]
+    tags: frozenset[str], attributes: frozenset[str], batches: Iterator[pa.RecordBatch],
+    functions: Mapping[str, tuple[frozenset[str], PageFunction]] | None = None, tags_of_bit: Mapping[int, frozenset[str]] | None = None,
 ) -> Iterator[pa.RecordBatch]:
-    parser = _PageParser(tags, attributes)
+    parsers = {None: _PageParser(tags, attributes)}
     out = _Batch()
     for batch in batches:
-        for page_id, url, html, warnings in zip(*(column.to_pylist() for column in batch.columns)):
-            body, nodes, error = parse_page(parser, html)
+        for page_id, url, html, warnings, *mask in zip(*(column.to_pylist() for column in batch.columns)):
+            wanted = mask[0] if mask else None
+            if wanted not in parsers:
+                parsers[wanted] = _PageParser(frozenset().union(*(t for bit, t in tags_of_bit.items() if wanted & bit)), attributes)
+            body, nodes, error = parse_page(parsers[wanted], html)
             out.add(page_id, url, warnings, body, nodes, error)
+            out.wanted.append(wanted)
             if functions:
                 made, failed = run_functions(functions, url, body, nodes) if error is None else ([], [])
                 out.made.append(made)
@@ -414,6 +420,7 @@ def shred(
     tags: Iterable[str] = ALL_TAGS,
     attributes: Iterable[str] = ATTRIBUTES,
     functions: Mapping[str, tuple[frozenset[str], PageFunction]] | None = None,
+    tags_of_bit: Mapping[int, frozenset[str]] | None = None,
 ) -> DataFrame:
     """One row per page (``LEAF_SCHEMA``): its text and the wanted elements in document order.
 
@@ -421,12 +428,14 @@ def shred(
     byte offsets of its text in ``body``. Works on static and streaming DataFrames. Filter
     pages first: nothing is pushed down through it. Pages may bring ``warnings`` (strings) along.
     *functions* (field to tags and extractor) are run on each page while it is at hand, each by itself;
-    their outcome is in two more columns (``MADE_SCHEMA``).
+    their outcome is in two more columns (``MADE_SCHEMA``). Pages may bring a bit mask ``wanted`` along if
+    *tags_of_bit* is given: of such a page only the tags of its bits are collected.
     """
-    run = partial(_shred_batches, frozenset(tags), frozenset(attributes), dict(functions or {}))
+    run = partial(_shred_batches, frozenset(tags), frozenset(attributes), functions=dict(functions or {}), tags_of_bit=tags_of_bit)
     warnings = F.col("warnings") if "warnings" in pages.columns else F.lit(None)
     schema = f"{LEAF_SCHEMA}, {MADE_SCHEMA}" if functions else LEAF_SCHEMA
-    return pages.select("page_id", "url", "html", warnings.cast("array<string>").alias("warnings")).mapInArrow(run, schema)
+    mask = [F.col("wanted").cast("int").alias("wanted")] if tags_of_bit else []
+    return pages.select("page_id", "url", "html", warnings.cast("array<string>").alias("warnings"), *mask).mapInArrow(run, schema)
 
 
 def cut_sql(body: str, start: str, stop: str) -> str:

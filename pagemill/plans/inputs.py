@@ -68,6 +68,15 @@ REQUESTS = """SELECT event_id, ts, user_id, concat('https://u', user_id, '.examp
 PAGE_REQUESTS = """SELECT url, CASE WHEN page_id % 3 = 0 THEN LIST('title', 'links') WHEN page_id % 3 = 1 THEN LIST('paragraphs') ELSE LIST('images') END AS fields
   FROM pages"""
 
+# Up to two requests for a page, each with fields of its own; every fourth page is not asked for.
+TWO_REQUESTS = """SELECT 2 * page_id AS request_id, url, LIST('title', 'links', 'nothing') AS fields FROM pages WHERE page_id % 4 <> 1
+  UNION ALL SELECT 2 * page_id + 1 AS request_id, url, CASE WHEN page_id % 2 = 0 THEN LIST('paragraphs') ELSE LIST('headings', 'title') END AS fields FROM pages WHERE page_id % 4 > 1"""
+
+# Older and newer copies of every response: the older one redirects elsewhere, the newest counts.
+CRAWL_COPIES = """SELECT url, status, location, content_type, html, 2 AS fetched_at FROM ({0}) c
+  UNION ALL SELECT url, 302 AS status, 'https://gone.example.com/' AS location, NULL AS content_type, '' AS html, 1 AS fetched_at FROM ({0}) c
+  UNION ALL SELECT url, 200 AS status, NULL AS location, 'text/html' AS content_type, '<title>old</title>' AS html, NULL AS fetched_at FROM ({0}) c"""
+
 # An attempt log: a user's events of one type are the attempts at one URL.
 ATTEMPTS = """SELECT concat('https://u', user_id, '.example.com/', event_type) AS url,
   CAST(event_id AS bigint) AS attempt,
@@ -119,6 +128,7 @@ CRAWL_RESPONSES = f"""SELECT page_id, url, status, location, CASE WHEN status <>
   CASE WHEN status <> 200 THEN '' WHEN page_id % 5 = 0 THEN concat('<meta http-equiv="refresh" content="0; url=', refresh, '">', html) ELSE html END AS html
   FROM (SELECT r.page_id, r.url, r.status, r.location, p.html, concat('https://r', (r.page_id + 28) % 13, '.example.com/p/', r.page_id + 28) AS refresh
     FROM ({RESPONSES}) r JOIN (SELECT page_id, html FROM pages) p ON p.page_id = r.page_id) q"""
+CRAWL_COPIES = CRAWL_COPIES.format(CRAWL_RESPONSES)
 CRAWL_ROBOTS = """SELECT concat('https://r', n, '.example.com') AS site, CASE WHEN n = 4 THEN 500 ELSE 200 END AS status,
   concat('User-agent: *', chr(10), CASE WHEN n = 3 THEN 'Disallow: /p/' ELSE 'Disallow:' END) AS body
   FROM (SELECT DISTINCT page_id % 13 AS n FROM pages) s"""

@@ -267,6 +267,8 @@ ORACLES: dict[str, str] = {
     "read_responses": """SELECT url, 200 AS status, content_type, CAST(CASE WHEN page_id % 6 = 3 THEN 2 * length(html) ELSE octet_length(encode(html)) END AS int) AS n_bytes
       FROM (""" + dd(given.RAW_RESPONSES).replace("SELECT page_id, url,", "SELECT page_id, url, html,") + ") r",
     "read_body_files": "SELECT page_id % 4 AS part, CAST(sum(octet_length(encode(html)) + 1) AS int) AS n_bytes, 200 AS status FROM pages GROUP BY part",
+    "read_body_files_capped": """WITH b AS (SELECT CAST(page_id % 8 <> 0 AS bigint) AS part, CAST(sum(octet_length(encode(html)) + 1) AS int) AS n FROM pages GROUP BY ALL)
+      SELECT part, CASE WHEN n = (SELECT min(n) FROM b) THEN n END AS n_bytes, CASE WHEN n > (SELECT min(n) FROM b) THEN 'RESPONSE_TOO_LARGE' END AS code FROM b""",
     # extraction
     "shred": f"""WITH {ELEMENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_id FROM els WHERE tag <> 'li')
       SELECT k.page_id, CAST(k.node_id AS int) AS node_id, (SELECT CAST(max(x.node_id) AS int) FROM kept x WHERE x.page_id = k.page_id AND x.i >= k.i AND x.i < k.j) AS end_id,
@@ -367,6 +369,9 @@ ORACLES: dict[str, str] = {
     "redirect_chain": _chains(f"SELECT url, status <> 200 AS hop, location AS target FROM ({given.RESPONSES}) r", given.BLOCKED_SITES),
     "meta_refresh_chain": _chains(f"SELECT concat('https://r.example.com/p/', page_id) AS url, page_id % 6 > 1 AS hop, {_REFRESH_TARGET} AS target FROM pages", "SELECT '' AS host WHERE false"),
     "crawl_batch": _CRAWL_BATCH,
+    "crawl_batch_copies": _CRAWL_BATCH,
+    "answer_requests": f"""{plain('title', 'heading', 'paragraph', 'link')}, asked AS ({dd(given.TWO_REQUESTS)})
+      SELECT request_id, page_id, type, value, text FROM asked JOIN recs ON source_url = asked.url AND list_contains(fields, concat(type, CASE type WHEN 'title' THEN '' ELSE 's' END))""",
     "requested_records": f"""{plain('title', 'paragraph', 'link')} SELECT page_id, type, value FROM recs
       WHERE CASE page_id % 3 WHEN 0 THEN type IN ('title', 'link') WHEN 1 THEN type = 'paragraph' ELSE false END""",
     "job_with_records": f"{_HISTORY} SELECT j.run, j.id AS job_id, j.url, j.status, CAST(j.record_count AS int) AS record_count, r.type, r.value FROM jobs j JOIN job_records r ON r.job_id = j.id AND r.run = j.run",

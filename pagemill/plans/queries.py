@@ -17,9 +17,10 @@ from pagemill.functions.times import epoch_micros
 from pagemill.operators import audit, chains, extract, history, hosts, records, responses, robots
 from pagemill.operators.shred import nodes
 from pagemill.plans import inputs
-from pagemill.plans.crawl import crawl_batch, crawl_to_records, distinct_records_by_type
+from pagemill.plans.crawl import answer_requests, crawl_batch, crawl_to_records, distinct_records_by_type
 from pagemill.session import shared_folder
 from pagemill.sources.readers import (
+    large_body_files,
     read_body_files,
     read_pages,
     read_responses,
@@ -197,6 +198,18 @@ def read_body_files_folder(spark, sf):
     return read_body_files(spark, f"{path}/*/*.txt").select(part, F.octet_length("body").alias("n_bytes"), "status")
 
 
+@query
+def read_body_files_capped(spark, sf):
+    """Files within a limit, and those over it by their size alone."""
+    path = scratch(spark, "bodies")
+    parts = pages_of(spark, sf).select("html", F.when(F.col("page_id") % 8 == 0, 0).otherwise(1).alias("part"))
+    parts.repartition(2, "part").write.partitionBy("part").text(path, lineSep="\n")
+    limit = spark.read.format("binaryFile").load(f"{path}/*/*.txt").agg(F.min("length")).first()[0]
+    part = F.regexp_extract("url", r"part=(\d+)", 1).cast("long").alias("part")
+    kept = read_body_files(spark, f"{path}/*/*.txt", limit=limit).select(part, F.octet_length("body").alias("n_bytes"), F.lit(None).cast("string").alias("code"))
+    return kept.unionByName(large_body_files(spark, f"{path}/*/*.txt", limit).select(part, F.lit(None).cast("int").alias("n_bytes"), "code"))
+
+
 # -- extraction ------------------------------------------------------------------------
 
 _PLAIN_TAGS = ("title", "h1", "a", "p")
@@ -609,29 +622,57 @@ def meta_refresh_chain(spark, sf):
     return chains.meta_refresh_chain(derived(spark, sf, inputs.REFRESHING_PAGES))
 
 
-@query_named("crawl_batch")
-def crawl_batch_rows(spark, sf):
-    responses = derived(spark, sf, inputs.CRAWL_RESPONSES).withColumn("body", F.encode("html", "UTF-8"))
+def _crawled(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    responses = derived(spark, sf, text).withColumn("body", F.encode("html", "UTF-8")).drop("page_id", "html")
     requests = derived(spark, sf, inputs.RESPONSES).select("page_id", "url")
-    batch = crawl_batch(requests, responses.drop("page_id", "html"), ["title", "links"], derived(spark, sf, inputs.CRAWL_ROBOTS),
+    batch = crawl_batch(requests, responses, ["title", "links"], derived(spark, sf, inputs.CRAWL_ROBOTS),
                         derived(spark, sf, inputs.BLOCKED_SITES), limit=6_000)
     warning = F.array_join("warnings", "; ").alias("warning")
     return batch.select("page_id", "url", "success", "record_count", warning, "code", "error")
 
 
+@query_named("crawl_batch")
+def crawl_batch_rows(spark, sf):
+    return _crawled(spark, sf, inputs.CRAWL_RESPONSES)
+
+
+@query
+def crawl_batch_copies(spark, sf):
+    """The same answer with an older copy of every response, and one of unknown time."""
+    return _crawled(spark, sf, inputs.CRAWL_COPIES)
+
+
+@query_named("answer_requests")
+def answered_requests(spark, sf):
+    answers = answer_requests(derived(spark, sf, inputs.TWO_REQUESTS), pages_of(spark, sf), dedupe=False)
+    return answers.select("request_id", "page_id", "type", "value", "text")
+
+
 @query
 def requested_records(spark, sf):
     found = extract.extract_records(pages_of(spark, sf), ["title", "paragraphs", "links"])
     return records.requested_records(derived(spark, sf, inputs.PAGE_REQUESTS), found).select("page_id", "type", "value")
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Saved jobs of two runs, the second over even pages, and the keyword records of those."""
+    """Saved jobs of two runs, the second over even pages, and the keyword records of those. Saved once
+    per application: the queries on it read what is there."""
+    own = (spark.sparkContext.applicationId, sf)
+    if own not in _SAVED:
+        _SAVED[own] = _save_history(spark, sf)
+    path = _SAVED[own]
+    return history.read_jobs(spark, path), records.filter_type(history.read_job_records(spark, path), "meta_keywords")
+
+
+def _save_history(spark: SparkSession, sf: str) -> str:
     path, pages = scratch(spark, "saved-meta"), rich(spark, sf)
     for run, own, first in (("r1", pages, 1_700_000_000), ("r2", pages.filter("page_id % 2 = 0"), 1_700_000_030)):
         created = F.timestamp_seconds(F.lit(first) + F.col("page_id") % 60)
         history.save_history(own, path, ["meta"], run, created, F.col("page_id") % 100 + 0.25)
-    return history.read_jobs(spark, path), records.filter_type(history.read_job_records(spark, path), "meta_keywords")
+    return path
 
 
 @query

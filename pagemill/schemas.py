@@ -45,7 +45,7 @@ JOB_TTL_SECONDS = 300
 LEAF_SCHEMA = (
     "page_id long, url string, body binary, "
     "nodes array<struct<tag: string, last: int, t0: int, t1: int, attrs: map<string, string>>>, "
-    "error string, warnings array<string>"
+    "error string, warnings array<string>, wanted int"
 )
 
 # What extractors written in Python add to such a row: their records, and why others of them failed.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import browser_trim
+from pagemill.schemas import MAX_BODY_BYTES
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 RESPONSE_SCHEMA = "url string, status int, content_type string, location string, body binary"
@@ -46,17 +47,24 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(browser_trim("value").alias("url")).filter("url <> ''")
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Raw responses (parquet, ``RESPONSE_SCHEMA``)."""
-    return spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+def read_responses(spark: SparkSession, path: str, handles: bool = False) -> DataFrame:
+    """Raw responses (parquet, ``RESPONSE_SCHEMA``), with *handles* also where each one stands: its file
+    and the row in it, which costs no reading of bodies."""
+    rows = spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+    if not handles:
+        return rows
+    return rows.select("*", F.concat("_metadata.file_path", F.lit("#"), "_metadata.row_index").alias("handle"))
 
 
-def read_body_files(spark: SparkSession, path: str, content_type: str = "text/html") -> DataFrame:
-    """A folder of saved bodies, one file each, whatever their size; the path stands in for the URL.
+def read_body_files(spark: SparkSession, path: str, content_type: str = "text/html", limit: int | None = None) -> DataFrame:
+    """A folder of saved bodies, one file each; the path stands in for the URL.
 
-    ``size_cap`` and ``too_large`` part them by size.
+    With *limit*, files of more bytes are left out by their size and never opened;
+    :func:`large_body_files` tells which. Without it all are read, and ``size_cap`` and ``too_large``
+    part them.
     """
     files = spark.read.format("binaryFile").load(path)
+    files = files if limit is None else files.filter(F.col("length") <= limit)
     return files.select(
         F.col("path").alias("url"),
         F.lit(200).alias("status"),
@@ -64,3 +72,12 @@ def read_body_files(spark: SparkSession, path: str, content_type: str = "text/ht
         F.lit(None).cast("string").alias("location"),
         F.col("content").alias("body"),
     )
+
+
+def large_body_files(spark: SparkSession, path: str, limit: int = MAX_BODY_BYTES) -> DataFrame:
+    """``url, code, message`` of the files that :func:`read_body_files` leaves out at this limit, from
+    their names and sizes alone."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.filter(F.col("length") > limit).select(
+        F.col("path").alias("url"), F.lit("RESPONSE_TOO_LARGE").alias("code"), F.lit(f"Response body exceeds the {limit}-byte limit.").alias("message")
+    )
