@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -56,8 +56,10 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 #: Nodes on either side that smoothing takes in, and the share of a standard deviation that a node
 #: must exceed.
-RADIUS, SHARE = 2, 0.5
+RADIUS, SHARE = 2, 1.0
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that hold the whole page, side matter too.
+WHOLE = frozenset(("", "html", "body", "main"))
 
 
 @dataclass
@@ -65,25 +67,27 @@ class Element:
     name: str
     parent: int
     out: bool  # menu, header, footer, side matter
-    path: tuple[str, ...] = field(repr=False)
+    path: int  # number of its tag path from the root
+    depth: int
+    linked: bool  # in a link
+    article: int  # the nearest article that it is or is in, 0 for none
 
 
 @dataclass
 class Node:
-    """A run of text between tags: its element, block number, text, and whether it is in a link."""
+    """A run of text between tags: its element, block number and text."""
 
     element: int
     block: int
     text: str
-    linked: bool
 
 
-def aside(name: str, attributes: str, inside: tuple[str, ...]) -> bool:
+def aside(name: str, attributes: str, in_article: bool) -> bool:
     """Whether the element holds side matter by its name, role, class or id."""
     if name in ASIDE:
         return True
     if name == "header":
-        return "article" not in inside
+        return not in_article
     if not attributes or name in KEPT:
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -99,8 +103,9 @@ def aside(name: str, attributes: str, inside: tuple[str, ...]) -> bool:
 
 def shredded(html: str) -> tuple[list[Element], list[Node]]:
     """Elements and text nodes in page order; end tags that are left out are put in."""
-    elements = [Element("", -1, False, ())]
+    elements = [Element("", -1, False, 0, 0, False, 0)]
     nodes: list[Node] = []
+    paths: dict[tuple[int, str], int] = {}
     stack, block = [0], 0
     opened: Counter[str] = Counter()
 
@@ -110,9 +115,7 @@ def shredded(html: str) -> tuple[list[Element], list[Node]]:
 
     def text_of(raw: str) -> None:
         if raw and not raw.isspace():
-            here = stack[-1]
-            linked = any(elements[i].name == "a" for i in stack[-6:])
-            nodes.append(Node(here, block, unescape(raw), linked))
+            nodes.append(Node(stack[-1], block, unescape(raw)))
         elif raw and nodes and nodes[-1].block == block:
             nodes[-1].text += " "
 
@@ -168,76 +171,125 @@ def shredded(html: str) -> tuple[list[Element], list[Node]]:
         if m[3].endswith("/>") and name in ("svg", "path", "g", "use", "rect", "circle"):
             continue
         up = elements[stack[-1]]
-        out = up.out or aside(name, m[3][:-1], up.path)
+        out = up.out or aside(name, m[3][:-1], up.article > 0)
         stack.append(len(elements))
         opened[name] += 1
-        elements.append(Element(name, stack[-2], out, (*up.path, name) if len(up.path) < 64 else up.path))
+        path = paths.setdefault((up.path, name), len(paths) + 1)
+        article = stack[-1] if name == "article" else up.article
+        elements.append(Element(name, stack[-2], out, path, up.depth + 1, up.linked or name == "a", article))
     return elements, nodes
 
 
-def selected(elements: list[Element], nodes: list[Node]) -> list[int]:
-    """Numbers of the content nodes by tag-path ratios.
+def selected(elements: list[Element], nodes: list[Node]) -> tuple[list[bool], list[bool]]:
+    """Of each node whether it is content by tag-path ratios, and whether it is on the main path.
 
     Over the nodes of each root-to-leaf path the mean text length and the mean punctuation are
-    taken; each node gets those of its path, smoothed over its neighbours; the fused value is their
-    product, lessened by the path's share of linked text. Nodes above a share of the standard
-    deviation are content.
+    taken; each node gets the logarithms of those of its path (one very long node would raise the
+    threshold above all others), smoothed over its neighbours; the fused value is their
+    product, lessened by the path's share of linked text. A path whose nodes' mean value is above a
+    share of the standard deviation is content with all its nodes. Of these paths the one with most
+    text outside links, times the root of its number of nodes, is the main one; text of less than a
+    punctuation mark a node counts less.
     """
-    if not nodes:
-        return []
     lengths = np.array([len(n.text.strip()) for n in nodes], float)
     marks = np.array([len(PUNCTUATION.findall(n.text)) for n in nodes], float)
-    linked = np.array([n.linked for n in nodes], float)
-    numbers: dict[tuple[str, ...], int] = {}
+    linked = np.array([elements[n.element].linked for n in nodes], float)
+    numbers: dict[int, int] = {}
     path = np.array([numbers.setdefault(elements[n.element].path, len(numbers)) for n in nodes])
     count = np.bincount(path)
-    ratio = (np.bincount(path, lengths) / count)[path]
-    punctuation = (np.bincount(path, marks) / count)[path]
-    density = (np.bincount(path, lengths * linked) / np.maximum(1, np.bincount(path, lengths)))[path]
+    held = np.bincount(path, lengths)
+    ratio, punctuation = held / count, np.bincount(path, marks) / count
+    unlinked = 1 - np.bincount(path, lengths * linked) / np.maximum(1, held)
     window = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / (RADIUS / 2)) ** 2)
 
     def smooth(x: np.ndarray) -> np.ndarray:
-        held = np.convolve(x, window)[RADIUS : RADIUS + len(x)]
-        return held / np.convolve(np.ones(len(x)), window)[RADIUS : RADIUS + len(x)]
+        total = np.convolve(x, window)[RADIUS : RADIUS + len(x)]
+        return total / np.convolve(np.ones(len(x)), window)[RADIUS : RADIUS + len(x)]
 
-    fused = smooth(ratio) * (1 + smooth(punctuation)) * (1 - density)
-    found = np.flatnonzero(fused >= SHARE * fused.std())
-    return found.tolist() if len(found) and fused[found].any() else [int(lengths.argmax())]
+    fused = smooth(np.log1p(ratio[path])) * (1 + smooth(np.log1p(punctuation[path]))) * unlinked[path]
+    value = np.bincount(path, fused) / count
+    content = value >= SHARE * fused.std()
+    main = int(np.where(content, held * np.sqrt(count) * np.minimum(1, punctuation + 0.1) * unlinked, -1).argmax())
+    return content[path].tolist(), (path == main).tolist()
 
 
-def container(elements: list[Element], nodes: list[Node], chosen: list[int]) -> int:
-    """The deepest section that holds all of the chosen text; the article around it, if any."""
-    weight = [0] * len(elements)
-    for k in chosen:
-        weight[nodes[k].element] += len(nodes[k].text)
+def container(elements: list[Element], nodes: list[Node], main: list[bool]) -> int:
+    """The deepest section that holds all nodes of the main path; the article around it, if any."""
+    count = [0] * len(elements)
+    for n, own in zip(nodes, main):
+        count[n.element] += own
     for i in range(len(elements) - 1, 0, -1):
-        weight[elements[i].parent] += weight[i]
-    best = max((i for i, w in enumerate(weight) if w == weight[0]), key=lambda i: (len(elements[i].path), i))
+        count[elements[i].parent] += count[i]
+    best = max((i for i, c in enumerate(count) if c == count[0]), key=lambda i: (elements[i].depth, i))
     while best and elements[best].name in PARTS:
         best = elements[best].parent
-    inside, i = best, best
-    while i:
-        if elements[i].name in ("article", "main"):
-            inside = i
-            break
-        i = elements[i].parent
-    return inside
-
-
-def headings_before(elements: list[Element], nodes: list[Node], root: int) -> set[int]:
-    """The elements beside *root*, before it, whose whole text is headings."""
-    if not root:
-        return set()
-    beside, heading = [0] * root, [False] * root  # of each element the sibling of root that it is in
-    for i in range(1, root):
-        up = elements[i].parent
-        beside[i] = i if up == elements[root].parent else beside[up]
-        heading[i] = heading[up] or elements[i].name in HEADINGS
-    held: dict[int, bool] = {}
-    for n in nodes:
-        if n.element < root and (own := beside[n.element]):
-            held[own] = held.get(own, True) and heading[n.element]
-    return {i for i, only in held.items() if only}
+    return elements[best].article or best
+
+
+@dataclass
+class Part:
+    """What an element beside or in the container holds."""
+
+    heading: bool = True  # nothing but headings
+    content: bool = False  # a content node
+    deep: bool = False  # a content node in an element of its own
+    main: bool = False
+    size: int = 0
+    linked: int = 0
+
+
+def children(elements: list[Element], nodes: list[Node], up: int, content: list[bool], main: list[bool]) -> dict[int, Part]:
+    """The children of the element *up* that hold text."""
+    child, heading = [0] * len(elements), [False] * len(elements)
+    for i in range(1, len(elements)):
+        above = elements[i].parent
+        child[i] = i if above == up else child[above]
+        heading[i] = heading[above] or elements[i].name in HEADINGS
+    parts: dict[int, Part] = {}
+    for n, chosen, own in zip(nodes, content, main):
+        if at := child[n.element]:
+            part = parts.setdefault(at, Part())
+            part.heading &= heading[n.element]
+            part.content |= chosen
+            part.deep |= chosen and n.element != at
+            part.main |= own
+            part.size += len(n.text)
+            part.linked += len(n.text) * elements[n.element].linked
+    return parts
+
+
+def article(elements: list[Element], nodes: list[Node]) -> tuple[set[int], set[int]]:
+    """Elements whose text is the article, and elements in these that are not.
+
+    The container of the main path goes whole, but for sections of mostly linked text without
+    content. If it is the page's body, sections before the first and after the last that hold the
+    main path stay only if they hold content in elements of their own. Beside the container
+    headings before it stay; unless it is an article, also paragraphs, lists and the like that are
+    content, and sections on the container's own tag path that hold content in elements of theirs.
+    """
+    content, main = selected(elements, nodes)
+    root = container(elements, nodes, main)
+    kept, dropped = {root}, set()
+    own = elements[root]
+    if root:
+        for i, part in children(elements, nodes, own.parent, content, main).items():
+            e = elements[i]
+            if i < root and part.heading:
+                kept.add(i)
+            elif i != root and own.name not in WHOLE and own.name != "article":
+                if part.content if e.name in PARTS and part.linked * 2 < part.size else e.path == own.path and part.deep:
+                    kept.add(i)
+    if own.name != "article":
+        inside = children(elements, nodes, root, content, main)
+        holding = [i for i, part in inside.items() if part.main] or [root]
+        for i, part in inside.items():
+            if elements[i].name in PARTS or part.main or part.heading:
+                continue
+            if not part.content and part.linked * 2 > part.size:
+                dropped.add(i)
+            elif own.name in WHOLE and not min(holding) < i < max(holding) and not part.deep:
+                dropped.add(i)
+    return kept, dropped
 
 
 def main_text(html: str | None) -> str:
@@ -245,17 +297,16 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     elements, nodes = shredded(html)
-    kept = [n for n in nodes if not elements[n.element].out]
-    if not kept:
+    nodes = [n for n in nodes if not elements[n.element].out]
+    if not nodes:
         return ""
-    root = container(elements, kept, selected(elements, kept))
+    kept, dropped = article(elements, nodes)
     inside = [False] * len(elements)
-    for i in (root, *headings_before(elements, kept, root)):
-        inside[i] = True
+    inside[0] = 0 in kept
     for i in range(1, len(elements)):
-        inside[i] = inside[i] or inside[elements[i].parent]
+        inside[i] = i in kept or inside[elements[i].parent] and i not in dropped
     blocks: dict[int, list[str]] = {}
-    for n in kept:
+    for n in nodes:
         if inside[n.element]:
             blocks.setdefault(n.block, []).append(n.text)
     lines = (BLANK.sub(" ", "".join(b)).strip() for b in blocks.values())
@@ -265,10 +316,11 @@ def main_text(html: str | None) -> str:
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page from its whole markup.
 
-    Navigation, headers, footers, side matter, adverts, notices, forms and reader comments go by
-    element, role, class or id; among the rest tag-path ratios select content nodes, and the text
-    of the lowest section that holds all of them is the result, whole, with the headings beside it. NULL, empty or textless markup gives an
-    empty text; repeated rows come back as often as they came in. Nothing is shuffled.
+    What an element, role, class or id calls navigation, header, footer, side matter, advert,
+    notice, form or reader comments goes first. Among the rest tag-path ratios select content, and
+    the lowest section that holds the main path is the result (:func:`article`), whole, with the
+    headings beside it. NULL, empty or textless markup gives an empty text; repeated rows come back
+    as often as they came in. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,50 @@ def test_op3_div_sections_of_any_length_stay(sections, head):
     assert tagpaths.main_text(div_page(*sections, head=head)) == "\n".join(want)
 
 
+NOTICE = "By reading on, you agree to all terms, old and new, of this site; we store, share, and sell what you type, say, or think. " * 4
+MENU = "<div><a href=/a>start</a> <a href=/b>more of it</a> <a href=/c>even more</a></div>"
+TEASERS = "<div><div><a href=/x>Ten pans you need</a></div><div><a href=/y>Pots, again</a></div></div>"
+PARAGRAPHS = [f"Kettle {k}, once filled, takes four minutes; nobody asked why." for k in range(9)]
+
+
+def unnamed_page(kind):
+    """(page, its text): no article, no telling names; the longest node is a notice."""
+    p = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    halves = "".join(f"<div>{''.join(f'<p>{x}</p>' for x in part)}</div>" for part in (PARAGRAPHS[:2], PARAGRAPHS[2:]))
+    text = "\n".join(["Kettles", *PARAGRAPHS])
+    body = {
+        "one": f"{MENU}<div>{NOTICE}</div><div><h1>Kettles</h1>{p}</div>{TEASERS}<div>us, 2001</div>",
+        "after": f"{MENU}<div><h1>Kettles</h1>{p}</div>{TEASERS}<div>{NOTICE}</div>",
+        "halves": f"{MENU}<div>{NOTICE}</div><div><h1>Kettles</h1>{halves}</div>{TEASERS}",
+        "body": f"{MENU}<div>{NOTICE}</div><h1>Kettles</h1>{halves}{TEASERS}<div>us, 2001</div>",
+        "menu inside": f"<div>{NOTICE}</div><div>{MENU}<h1>Kettles</h1>{halves}{TEASERS}</div>",
+        "lead": f"{MENU}<div><h1>Kettles</h1><p>{PARAGRAPHS[0]}</p><div>{p.partition('</p>')[2]}</div>{TEASERS}</div><div>{NOTICE}</div>",
+    }[kind]
+    return f"<html><body>{body}</body></html>", text
+
+
+@pytest.mark.parametrize("kind", ["one", "after", "halves", "body", "menu inside", "lead"])
+def test_op3_selection_decides(kind, monkeypatch):
+    page, text = unnamed_page(kind)
+    assert tagpaths.main_text(page) == text
+    monkeypatch.setattr(tagpaths, "selected", lambda elements, nodes: ([True] * len(nodes), [True] * len(nodes)))
+    assert tagpaths.main_text(page) != text
+
+    def longest(elements, nodes):
+        own = [len(n.text) == max(len(m.text) for m in nodes) for n in nodes]
+        return own, own
+
+    monkeypatch.setattr(tagpaths, "selected", longest)
+    assert tagpaths.main_text(page) != text
+
+
+def test_op3_paths_have_no_depth_limit():
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    p = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    menu = "<div><a href=/a>" + "<span>" * 9 + "start here, friends, and go on, if you like" + "</span>" * 9 + "</a></div>"
+    assert tagpaths.main_text(deep(90, menu + f"<div>{NOTICE}</div>" + deep(2, p))) == "\n".join(PARAGRAPHS)
+
+
 def test_op3_heading_beside_one_long_section():
     page = f"<body><div><div class=nav>a b</div><h1>Kettles</h1><div>{''.join(f'<p>{p}</p>' for p in LONG)}</div></div></body>"
     assert tagpaths.main_text(page) == "\n".join(["Kettles", *LONG])
