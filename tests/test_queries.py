@@ -25,3 +25,14 @@ def test_query(spark, connection, name):
 
 def test_entry(spark):
     assert {r.type for r in entry(spark).collect()} == {"title", "heading", "link"}
+
+
+@pytest.mark.parametrize("name", ["apply_filters"])
+def test_query_on_urls_under_several_ids(spark, tmp_path, name):
+    import duckdb
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages.limit(20).unionAll(pages.limit(20).selectExpr("page_id + 10001", "url", "html")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    copies = duckdb.connect()
+    copies.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert difference(spark, copies, str(tmp_path), name, queries(), oracle_sql()) is None

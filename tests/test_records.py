@@ -65,6 +65,11 @@ def test_dedupe(table):
     assert ords(rc.dedupe_rows(table)) == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6)]
 
 
+def test_filters_keep_the_records_of_each_page(table):
+    """Two pages of one URL have the same title; each shows its own."""
+    assert ords(rc.apply_filters(table, "title", True, "hello", True, within=("page_id",))) == [(1, 0), (2, 0)]
+
+
 def test_dedupe_combines_copies_before_the_shuffle(table):
     plan = rc.dedupe_records(table)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_min") > plan.index("Exchange")  # below it in the tree
