@@ -27,7 +27,7 @@ def test_entry(spark):
     assert {r.type for r in entry(spark).collect()} == {"title", "heading", "link"}
 
 
-@pytest.mark.parametrize("name", ["apply_filters", "dedupe_rows"])
+@pytest.mark.parametrize("name", ["apply_filters", "dedupe_rows", "requested_records"])
 def test_query_on_urls_under_several_ids(spark, tmp_path, name):
     import duckdb
 

@@ -107,6 +107,11 @@ def test_requested_records(spark, table):
     assert {r.type for r in kept.collect()} == {"link", "meta_description", "meta_keywords"} and kept.count() == 5
 
 
+def test_requests_that_name_a_page_are_for_that_page(spark, table):
+    requests = spark.createDataFrame([(1, URL, ["links"]), (2, URL, ["title"])], "page_id long, url string, fields array<string>")
+    assert ords(rc.requested_records(requests, table)) == [(1, 2), (1, 3), (1, 7), (2, 0)]
+
+
 def test_union_fills_missing_columns(spark, table):
     other = spark.createDataFrame([(9, 0, "title", "x")], "page_id long, ord long, type string, value string")
     assert rc.union_records(table, other).filter("page_id = 9").first().source_url is None
