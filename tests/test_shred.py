@@ -63,3 +63,33 @@ def test_batches_are_cut_by_size():
     rows = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "url": ["u"] * 40, "html": [html] * 40, "warnings": [None] * 40})
     out = list(sh._shred_batches(sh.ALL_TAGS, sh.ATTRIBUTES, iter([rows])))
     assert len(out) > 1 and sum(b.num_rows for b in out) == 40
+
+
+def test_a_page_of_too_much_text_is_not_read_to_its_end():
+    for parser in (sh._PageParser(sh.ALL_TAGS, sh.ATTRIBUTES), Standard(sh.ALL_TAGS, sh.ATTRIBUTES)):
+        body, nodes, error = sh.parse_page(parser, "<table>" + "<tr><td>1" * 60_000)
+        assert (body, nodes, error) == (b"", [], "its records exceed the 67108864-byte limit")
+        assert len(parser._nodes) < 2_500
+        assert sh.parse_page(parser, "<p>next")[0] == b"next"
+        assert sh.parse_page(parser, "<table>" + "<tr><td>1" * 2_000 + "&#" + "9" * 5000 + ";")[2] != error
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stopping_early_changes_no_outcome(seed, monkeypatch):
+    monkeypatch.setattr(sh, "MAX_PAGE_TEXT", 0)
+    rng, stopped = random.Random(seed), 0
+    for _ in range(2500):
+        html = "".join(rng.choices(PIECES + ["<td>", "<tr>", "text"] * 10, k=rng.randint(1, 40)))
+        limit = rng.choice((10, 60, 400))
+        for reader in (sh._PageParser, Standard):
+            parser, whole = reader(sh.ALL_TAGS, sh.ATTRIBUTES), reader(sh.ALL_TAGS, sh.ATTRIBUTES)
+            try:
+                body, nodes = whole.parse(html)
+                expected = (body, nodes, None) if sh.text_cost(len(body), nodes) <= limit else (b"", [], f"its records exceed the {limit}-byte limit")
+            except Exception as exc:  # noqa: BLE001
+                expected = (b"", [], str(exc))
+            assert sh.parse_page(parser, html, limit) == expected, html
+            if expected[2] is None:
+                assert parser._cost == sh.text_cost(len(body), nodes)
+            stopped += len(parser._nodes) < len(whole._nodes)
+    assert stopped > 100
