@@ -312,6 +312,25 @@ def test_score_is_the_sum_of_the_tokens(subwords):
         assert math.isclose(got[k], total / math.log(10), rel_tol=1e-4)
 
 
+def test_equal_texts_score_alike_in_any_company(subwords):
+    """To the last bit, whatever is scored together with them, and however many windows at once."""
+    given = random.Random(8)
+    own = [attention.split_words(" ".join(given.choice(["the", "erlyat,", "été", "mill", "x"]) for _ in range(n))) for n in (0, 0, 1, 15, 40, 900, 9000)]
+    _, tokens, _, _ = subwords.sequences(own)
+    classes = attention.Classes.of(np.bincount(tokens[tokens <= subwords.end], minlength=subwords.end + 1).astype(float))
+    w = attention.begun(classes)
+
+    def scores(found):
+        _, tokens, sizes, _ = subwords.sequences(found)
+        ids, text = subwords.windows(tokens, sizes)
+        return attention.log10_scores(w, classes, ids, text, len(found)).tolist()
+
+    alone = [scores([words])[0] for words in own]
+    for company in range(1, 40):
+        many = given.choices(range(len(own)), k=company)
+        assert scores([own[i] for i in many]) == [alone[i] for i in many]
+
+
 def test_op9_edges(spark, edges, empty):
     from pyspark.sql import functions as F
 
