@@ -41,3 +41,17 @@ def test_a_local_folder_of_each_machine_is_refused_on_a_cluster(spark, tmp_path)
     for given in ({"folder": str(tmp_path)}, {"folder": None, "warehouse": str(tmp_path)}):
         with pytest.raises(RuntimeError, match="set spark.checkpoint.dir"):
             session.shared_folder(Cluster(spark, **given, loses=True))
+
+
+def test_a_session_that_names_no_folder_has_one_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(spark.conf, "get", lambda key, default=None, get=spark.conf.get: default if key == "spark.checkpoint.dir" else get(key, default))
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    folder = session.shared_folder(spark)
+    assert folder == session.shared_folder(spark)
+    assert session.materialize(spark.range(3), "three").count() == 3
+
+
+def test_a_cluster_on_one_machine_takes_the_warehouse(spark, tmp_path):
+    made = Cluster(spark, None, warehouse=str(tmp_path))
+    made.master = "local-cluster[3,2,3000]"
+    assert session.shared_folder(made) == f"{tmp_path}/pagemill-tables"
