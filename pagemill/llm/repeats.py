@@ -265,7 +265,7 @@ _CHUNK = "chunk long, docs array<long>, ends array<long>, size long, text binary
 _KEYS = "part int, chunk long, keys binary, documents binary, different binary"
 _CODES = "chunk long, part int, codes binary, hot boolean"
 _BLOBS = "part int, chunk long, kind int, data binary"
-_CANDIDATES, _LOCAL = 0, 1
+_CANDIDATES, _LOCAL, _HOT = 0, 1, 2
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,8 +409,16 @@ def _collapsed(row: dict, found: Segments, some: np.ndarray) -> tuple[list[int],
     return asked, runs, copies
 
 
+def _packed_segments(row: dict, found: Segments, some: np.ndarray) -> bytes:
+    first, last = found.first[some], found.last[some]
+    ids = np.array([0 if d is None else d for d in row["docs"]], np.int64)[found.doc[some]]
+    raw = b"".join(row["text"][a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist()))
+    return _packed([first, ids, (last - first + LENGTH).astype(np.uint8), (found.anchor[some] - first).astype(np.uint8)], raw)
+
+
 def _candidates(parts: int):
-    """Packed segments for the parts of their anchors, and what the chunk knows by itself."""
+    """Packed segments for the parts of their anchors, those of very common ones, and what the chunk
+    knows by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -423,17 +431,14 @@ def _candidates(parts: int):
                 size = len(local[0]).to_bytes(8, "little")
                 out.append((parts + row["chunk"] % parts, _LOCAL, size + local[0] + local[1]))
             some = np.array(asked, np.int64)
-            some = some[known[some] == 1]
+            hot = known[some] == 2
+            if hot.any():  # they only travel along
+                out.append((parts + row["chunk"] % parts, _HOT, _packed_segments(row, found, some[hot])))
+            some = some[~hot]
             part = (found.hash[some] % np.uint64(parts)).astype(np.int64)
             some, part = some[np.argsort(part, kind="stable")], np.sort(part)
-            ids = np.array([0 if d is None else d for d in row["docs"]], np.int64)
             edges = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)])).tolist()
-            for a, b in zip(edges, edges[1:]):
-                s = some[a:b]
-                first, last = found.first[s], found.last[s]
-                raw = b"".join(row["text"][x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist()))
-                data = _packed([first, ids[found.doc[s]], (last - first + LENGTH).astype(np.uint8), (found.anchor[s] - first).astype(np.uint8)], raw)
-                out.append((int(part[a]), _CANDIDATES, data))
+            out += [(int(part[a]), _CANDIDATES, _packed_segments(row, found, some[a:b])) for a, b in zip(edges, edges[1:])]
             if out:
                 at, kinds, data = zip(*out)
                 yield pa.RecordBatch.from_pydict({
@@ -444,28 +449,24 @@ def _candidates(parts: int):
     return run
 
 
-def _hot_windows(parts: int):
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of very common anchors one by one: ``string, doc, chunk, at``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            found = _chunk_segments(row)
-            known = _known(row, found, parts)
-            asked, *_ = _collapsed(row, found, np.flatnonzero(known > 0))
-            at, docs = [], []
-            for i in asked:
-                if known[i] == 2:
-                    starts = range(int(found.first[i]), int(found.last[i]) + 1)
-                    at += starts
-                    docs += [row["docs"][found.doc[i]]] * len(starts)
-            if at:
+    for batch in batches:
+        for row in batch.to_pylist():
+            (first, doc, length, _), raw = _unpacked(row["data"], _SEGMENT)
+            text, begin, counts = np.frombuffer(raw, np.uint8), np.cumsum(length, dtype=np.int64) - length, length.astype(np.int64) - LENGTH + 1
+            past = np.cumsum(counts)
+            for a in range(0, int(counts.sum()), BUCKET):
+                window = np.arange(a, min(a + BUCKET, int(past[-1])))
+                own = np.searchsorted(past, window, "right")
+                step = window - (past - counts)[own]
+                strings = text[(begin[own] + step)[:, None] + np.arange(LENGTH)].tobytes()
+                offsets = pa.py_buffer(np.arange(0, len(strings) + 1, LENGTH, np.int32))
                 yield pa.RecordBatch.from_pydict({
-                    "string": pa.array([row["text"][a : a + LENGTH] for a in at], pa.binary()), "doc": pa.array(docs, pa.int64()),
-                    "chunk": pa.array([row["chunk"]] * len(at), pa.int64()), "at": pa.array(at, pa.int64()),
+                    "string": pa.Array.from_buffers(pa.binary(), len(window), [None, offsets, pa.py_buffer(strings)]), "doc": pa.array(doc[own]),
+                    "chunk": pa.array(np.full(len(window), row["chunk"])), "at": pa.array(first[own] + step),
                 })
 
-    return run
-
 
 # -- sorting the parts -----------------------------------------------------------------
 
@@ -528,11 +529,11 @@ def as_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_part(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    local = [r for r in rows if r["kind"] == _LOCAL]
-    if local:
+    others = [r for r in rows if r["kind"] != _CANDIDATES]
+    if others:
         yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array([r["chunk"] for r in local], pa.int64()), "kind": pa.array([_LOCAL] * len(local), pa.int32()),
-            "data": pa.array([r["data"] for r in local], pa.binary()),
+            "chunk": pa.array([r["chunk"] for r in others], pa.int64()), "kind": pa.array([r["kind"] for r in others], pa.int32()),
+            "data": pa.array([r["data"] for r in others], pa.binary()),
         })
     asked = [r for r in rows if r["kind"] == _CANDIDATES]
     if not asked:
@@ -620,8 +621,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTE
 
     Texts are written once in chunks. Anchors are counted by a shuffle of 32-bit keys; only segments
     whose anchor another document may have too (keys can collide, strings are compared in full) are
-    sent to be sorted, equal ones once per chunk. Strings of an anchor with *hot* or more segments are
-    grouped one by one, with partial minima before the shuffle.
+    sent to be sorted, equal ones once per chunk. Strings of an anchor with *hot* or more segments, which
+    are found in the same pass, are grouped one by one, with partial minima before the shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = stored(rows.mapInArrow(_chunks, _CHUNK), "chunks", compression="zstd")
@@ -632,13 +633,14 @@ def without_repeats(docs: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTE
     asking = chunks.join(answer, "chunk")
     blobs = asking.mapInArrow(_candidates(parts), _BLOBS)
     found = stored(blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_by_part(_sorted_part), "chunk long, kind int, data binary"), "repeats")
-    per_chunk = found.groupBy("chunk").agg(F.collect_list(F.struct("kind", "data")).alias("found"))
+    per_chunk = found.filter(F.col("kind") != _HOT).groupBy("chunk").agg(F.collect_list(F.struct("kind", "data")).alias("found"))
     cleaned = chunks.join(per_chunk, "chunk", "left")
     none = F.lit(None).cast("array<long>").alias("hot")
     if codes.filter("hot").isEmpty():
         cleaned = cleaned.select("*", none)
     else:
-        windows = stored(asking.mapInArrow(_hot_windows(parts), "string binary, doc long, chunk long, at long"), "hot-strings")
+        packed = found.filter(F.col("kind") == _HOT).select("chunk", "data")
+        windows = stored(packed.mapInArrow(_hot_windows, "string binary, doc long, chunk long, at long"), "hot-strings")
         least = windows.groupBy("string").agg(F.min("doc").alias("least"))
         hit = windows.join(least, "string").filter("least < doc").groupBy("chunk").agg(F.collect_list("at").alias("hot"))
         cleaned = cleaned.join(stored(hit, "hot-hits"), "chunk", "left")

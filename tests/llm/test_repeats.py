@@ -114,3 +114,22 @@ def test_a_cover_that_meets():
         for s in range(repeats.PERIOD):
             d = repeats.MEETING[r, s]
             assert {(r + d) % repeats.PERIOD, (s + d) % repeats.PERIOD} <= set(repeats.COVER)
+
+
+def test_very_common_anchors_take_no_further_pass(spark, monkeypatch):
+    """Chunks are cut into segments to count anchors and to find candidates, and not once more for hot ones."""
+    rows = made(5, 60)
+    given, cut = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.sparkContext.accumulator(0)
+    one = repeats._chunk_segments
+
+    def counted(row):
+        cut.add(1)
+        return one(row)
+
+    monkeypatch.setattr(repeats, "_chunk_segments", counted)
+    passes = []
+    for hot in (repeats.HOT, 2):
+        before = cut.value
+        assert result(repeats.without_repeats(given, hot)) == plain(rows)
+        passes.append(cut.value - before)
+    assert passes[0] == passes[1]
