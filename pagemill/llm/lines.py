@@ -23,6 +23,8 @@ SHINGLE, SHORT_SHINGLE, SHORT = 5, 3, 50
 SIMILARITY = 0.8
 #: Different short shingles of a line that may still be a copy of one below SHORT characters.
 FEWEST = int((SHORT - SHORT_SHINGLE) / SIMILARITY)
+#: Characters that tell of most lines that they have more than FEWEST.
+BEGUN = 130
 #: At a similarity of 0.8 a pair meets in one of eighteen bands of six with probability 0.995. Small
 #: shingles are common ones: with fewer rows unlike lines would meet, ever more in larger tables.
 BANDS, ROWS = 18, 6
@@ -57,6 +59,27 @@ def shingles(line: str, size: int = SHINGLE) -> list[str]:
     return [line[i : i + size] for i in range(max(1, len(line) - size + 1))]
 
 
+def as_numbers(line: str, size: int) -> bool:
+    """Whether every shingle of the line has a number: it is no shorter, and its characters fit."""
+    return len(line) >= size and (line.isascii() or 21 * size <= 63 or ord(max(line)) >> 63 // size == 0)
+
+
+def shingle_set(line: str, size: int) -> set[int | str]:
+    """The different shingles, each as a number that stands for it alone, its characters side by side;
+    those with a character that does not fit, and a line shorter than a shingle, as they are."""
+    if len(line) < size:
+        return {line}
+    c, n, bits = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), len(line) - size + 1, 63 // size
+    codes = c[:n].copy()
+    for i in range(1, size):
+        codes <<= bits
+        codes |= c[i : i + n]
+    if as_numbers(line, size):
+        return set(codes.tolist())
+    wide = np.convolve(c >> bits != 0, np.ones(size, int))[size - 1 :][:n] > 0
+    return set(codes[~wide].tolist()) | {line[i : i + size] for i in np.flatnonzero(wide).tolist()}
+
+
 def shingle_sizes(line: str) -> tuple[int, ...]:
     """The sizes of shingle by which the line is compared with some other."""
     if len(line) < SHORT:
@@ -75,6 +98,28 @@ def near_short(line: str) -> bool:
     return True
 
 
+def sizes_of(lines: list[str]) -> list[tuple[int, ...]]:
+    """:func:`shingle_sizes` of each line. Long lines are read together as far as most of them need be."""
+    out, long = [(SHINGLE,)] * len(lines), []
+    for i, line in enumerate(lines):
+        if len(line) < BEGUN:
+            out[i] = shingle_sizes(line)
+        else:
+            long.append(i)
+    for start in range(0, len(long), 4096):
+        some = long[start : start + 4096]
+        begun = "".join(lines[i][:BEGUN] for i in some).encode("utf-32-le", "surrogatepass")
+        c, n = np.frombuffer(begun, np.uint32).astype(np.int64).reshape(-1, BEGUN), BEGUN - SHORT_SHINGLE + 1
+        codes = c[:, :n].copy()
+        for i in range(1, SHORT_SHINGLE):
+            codes <<= 63 // SHORT_SHINGLE
+            codes |= c[:, i : i + n]
+        codes.sort(1)
+        for i in np.flatnonzero((codes[:, 1:] != codes[:, :-1]).sum(1) < FEWEST).tolist():
+            out[some[i]] = shingle_sizes(lines[some[i]])
+    return out
+
+
 def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     """MinHash signatures, one row of BANDS * ROWS numbers per line."""
     out = np.empty((len(lines), BANDS * ROWS), np.uint32)
@@ -107,7 +152,12 @@ def _signatures(lines: list[str], size: int) -> np.ndarray:
     x = (h >> np.uint64(32)).astype(np.uint32)[inside[:n]]
     counts = sizes - size + 1
     starts = np.cumsum(counts) - counts
-    return np.stack([np.minimum.reduceat(x * a + b, starts) for a, b in zip(FACTORS, OFFSETS)], axis=1)
+    out, y = np.empty((len(lines), BANDS * ROWS), np.uint32), np.empty_like(x)
+    for k, (a, b) in enumerate(zip(FACTORS, OFFSETS)):
+        np.multiply(x, a, out=y)
+        y += b
+        out[:, k] = np.minimum.reduceat(y, starts)
+    return out
 
 
 def band_keys(made: np.ndarray, size: int = SHINGLE, rows: int = ROWS) -> np.ndarray:
@@ -156,8 +206,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i not in seen:
                 own[i] = line
         seen.update(own)
+        asked = sizes_of(list(own.values()))
         for size in (SHINGLE, SHORT_SHINGLE):
-            chosen = {i: line for i, line in own.items() if size in shingle_sizes(line)}
+            chosen = {i: line for (i, line), sizes in zip(own.items(), asked) if size in sizes}
             if chosen:
                 keys = band_keys(signatures(list(chosen.values()), size), size)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(chosen), np.int64), BANDS))], ["bucket", "id"])
@@ -243,7 +294,7 @@ def alike_lines(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     """Whether two lines are copies, by shingles of the size that the shorter one asks for."""
     short, long = sorted((a, b), key=len)
     size = SHORT_SHINGLE if len(short) < SHORT else SHINGLE
-    return alike(set(shingles(short, size)), set(shingles(long, size)), threshold)
+    return alike(shingle_set(short, size), shingle_set(long, size), threshold)
 
 
 def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
@@ -252,12 +303,13 @@ def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
     return np.fromiter((alike_lines(lines[i], lines[i + 1]) for i in at.tolist()), bool, len(at))
 
 
-def _counted(lines: list[str], size: int, threshold: float):
+def _counted(lines: list[str], asked: list[tuple[int, ...]], size: int, threshold: float):
     """For a line, which of all *lines* have a similar set of shingles of *size*; of the lines that
     aren't compared by that size none."""
-    sets = [set(shingles(x, size)) if size in shingle_sizes(x) else set() for x in lines]
+    sets = [shingle_set(x, size) if size in sizes else set() for x, sizes in zip(lines, asked)]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    codes, unique = pd.factorize(np.array([s for x in sets for s in x], object)) if sizes.any() else (np.empty(0, np.int64), [])
+    kind = np.int64 if all(as_numbers(x, size) for x, own in zip(lines, sets) if own) else object
+    codes, unique = pd.factorize(np.array([s for x in sets for s in x], kind)) if sizes.any() else (np.empty(0, np.int64), [])
     owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
 
     def near(i: int) -> np.ndarray:
@@ -273,8 +325,20 @@ def similar(table: pa.Table, threshold: float = SIMILARITY):
     """Exact Jaccard similarity of the shingle sets of a bucket's lines, for `spanning_links`."""
     lines = table["text"].to_pylist()
     if len(lines) <= FEW:
-        return lambda i, rest: np.fromiter((alike_lines(lines[i], lines[j], threshold) for j in rest.tolist()), bool, len(rest))
-    long, short = _counted(lines, SHINGLE, threshold), _counted(lines, SHORT_SHINGLE, threshold)
+        made: dict[tuple[int, int], set] = {}
+
+        def own(i: int, size: int) -> set:
+            if (i, size) not in made:
+                made[i, size] = shingle_set(lines[i], size)
+            return made[i, size]
+
+        def one_by_one(i: int, rest: np.ndarray) -> np.ndarray:
+            sizes = [SHORT_SHINGLE if min(len(lines[i]), len(lines[j])) < SHORT else SHINGLE for j in rest.tolist()]
+            return np.fromiter((alike(own(i, size), own(j, size), threshold) for j, size in zip(rest.tolist(), sizes)), bool, len(rest))
+
+        return one_by_one
+    asked = sizes_of(lines)
+    long, short = (_counted(lines, asked, size, threshold) for size in (SHINGLE, SHORT_SHINGLE))
     below = np.fromiter((len(x) < SHORT for x in lines), bool, len(lines))
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:

@@ -336,3 +336,18 @@ def test_shared_rows_over_batches():
         for b, i in rows:
             of[b].add(i)
         assert found == sorted((b, i) for b, ids in of.items() if len(ids) > 1 for i in ids)
+
+
+def test_shingles_as_numbers_are_those_of_the_line():
+    """The same counts and overlaps for any characters, and the same sizes for lines taken together."""
+    given = random.Random(3)
+    letters = ["a", "b", " ", "é", "ж", "\u0fff", "\u1000", "北", "𝒳", "\U0010fffe", "\0", "\ud800"]
+    made = ["".join(given.choice(letters[: given.choice((1, 4, 12))]) for _ in range(given.randrange(1, 30))) for _ in range(4000)]
+    for size in (lines.SHINGLE, lines.SHORT_SHINGLE):
+        for a, b in zip(made, made[1:]):
+            plain, own = [set(lines.shingles(x, size)) for x in (a, b)], [lines.shingle_set(x, size) for x in (a, b)]
+            assert (*map(len, plain), len(plain[0] & plain[1])) == (*map(len, own), len(own[0] & own[1]))
+            assert lines.as_numbers(a, size) == all(isinstance(x, int) for x in own[0])
+    long = [x * given.randrange(1, 40) for x in made[:1000]] + ["".join(map(chr, range(97, 97 + n))) * 3 for n in range(1, 70)]
+    assert lines.sizes_of(long) == [lines.shingle_sizes(x) for x in long]
+    assert lines.sizes_of([]) == []
