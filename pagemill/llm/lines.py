@@ -80,6 +80,24 @@ def shingle_set(line: str, size: int) -> set[int | str]:
     return set(codes[~wide].tolist()) | {line[i : i + size] for i in np.flatnonzero(wide).tolist()}
 
 
+def shingle_codes(line: str, size: int) -> np.ndarray | None:
+    """:func:`shingle_set` in ascending order where every shingle has a number, else nothing."""
+    if len(line) < size:
+        return None
+    c, n, bits = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), len(line) - size + 1, 63 // size
+    if bits < 21 and not line.isascii() and int(c.max()) >> bits:
+        return None
+    wide = c.astype(np.int64)
+    codes = wide[:n].copy()
+    for i in range(1, size):
+        codes <<= bits
+        codes |= wide[i : i + n]
+    codes.sort()
+    new = np.ones(n, bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    return codes[new]
+
+
 def shingle_sizes(line: str) -> tuple[int, ...]:
     """The sizes of shingle by which the line is compared with some other."""
     if len(line) < SHORT:
@@ -290,11 +308,23 @@ def alike(a: set[str], b: set[str], threshold: float = SIMILARITY) -> bool:
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
+def alike_codes(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool:
+    """:func:`alike` for ascending arrays of different numbers."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
+        return False
+    merged = np.concatenate((a, b))
+    merged.sort()
+    both = np.count_nonzero(merged[1:] == merged[:-1])
+    return both >= threshold * (len(merged) - both) - 1e-9
+
+
 def alike_lines(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     """Whether two lines are copies, by shingles of the size that the shorter one asks for."""
-    short, long = sorted((a, b), key=len)
-    size = SHORT_SHINGLE if len(short) < SHORT else SHINGLE
-    return alike(shingle_set(short, size), shingle_set(long, size), threshold)
+    size = SHORT_SHINGLE if min(len(a), len(b)) < SHORT else SHINGLE
+    own, other = shingle_codes(a, size), shingle_codes(b, size)
+    if own is None or other is None:
+        return alike(shingle_set(a, size), shingle_set(b, size), threshold)
+    return alike_codes(own, other, threshold)
 
 
 def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
@@ -306,16 +336,22 @@ def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
 def _counted(lines: list[str], asked: list[tuple[int, ...]], size: int, threshold: float):
     """For a line, which of all *lines* have a similar set of shingles of *size*; of the lines that
     aren't compared by that size none."""
-    sets = [shingle_set(x, size) if size in sizes else set() for x, sizes in zip(lines, asked)]
+    none = np.empty(0, np.int64)
+    sets = [shingle_codes(x, size) if size in sizes else none for x, sizes in zip(lines, asked)]
+    if any(x is None for x in sets):
+        sets = [shingle_set(x, size) if size in sizes else set() for x, sizes in zip(lines, asked)]
+        flat = np.array([s for x in sets for s in x], object)
+    else:
+        flat = np.concatenate(sets)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    kind = np.int64 if all(as_numbers(x, size) for x, own in zip(lines, sets) if own) else object
-    codes, unique = pd.factorize(np.array([s for x in sets for s in x], kind)) if sizes.any() else (np.empty(0, np.int64), [])
-    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+    codes, unique = pd.factorize(flat) if len(flat) else (none, [])
+    ends, upto = np.cumsum(sizes), np.zeros(len(codes) + 1, np.int64)
 
     def near(i: int) -> np.ndarray:
-        mark = np.zeros(len(unique), bool)
-        mark[codes[ends[i] - sizes[i] : ends[i]]] = True
-        both = np.bincount(owner[mark[codes]], minlength=len(sets))
+        mark = np.zeros(len(unique), np.int8)
+        mark[codes[ends[i] - sizes[i] : ends[i]]] = 1
+        np.cumsum(mark[codes], out=upto[1:])
+        both = upto[ends] - upto[ends - sizes]
         return (both > 0) & (both >= threshold * (sizes[i] + sizes - both) - 1e-9)
 
     return near
@@ -325,16 +361,20 @@ def similar(table: pa.Table, threshold: float = SIMILARITY):
     """Exact Jaccard similarity of the shingle sets of a bucket's lines, for `spanning_links`."""
     lines = table["text"].to_pylist()
     if len(lines) <= FEW:
-        made: dict[tuple[int, int], set] = {}
+        made: dict[tuple[int, int], np.ndarray | None] = {}
 
-        def own(i: int, size: int) -> set:
+        def own(i: int, size: int) -> np.ndarray | None:
             if (i, size) not in made:
-                made[i, size] = shingle_set(lines[i], size)
+                made[i, size] = shingle_codes(lines[i], size)
             return made[i, size]
 
+        def both(i: int, j: int) -> bool:
+            size = SHORT_SHINGLE if min(len(lines[i]), len(lines[j])) < SHORT else SHINGLE
+            a, b = own(i, size), own(j, size)
+            return alike_lines(lines[i], lines[j], threshold) if a is None or b is None else alike_codes(a, b, threshold)
+
         def one_by_one(i: int, rest: np.ndarray) -> np.ndarray:
-            sizes = [SHORT_SHINGLE if min(len(lines[i]), len(lines[j])) < SHORT else SHINGLE for j in rest.tolist()]
-            return np.fromiter((alike(own(i, size), own(j, size), threshold) for j, size in zip(rest.tolist(), sizes)), bool, len(rest))
+            return np.fromiter((both(i, j) for j in rest.tolist()), bool, len(rest))
 
         return one_by_one
     asked = sizes_of(lines)
@@ -343,7 +383,9 @@ def similar(table: pa.Table, threshold: float = SIMILARITY):
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
         by_short = below[rest] | below[i]
-        return np.where(by_short, short(i)[rest], long(i)[rest])
+        if not by_short.any():
+            return long(i)[rest]
+        return np.where(by_short, short(i)[rest], False if by_short.all() else long(i)[rest])
 
     return near
 

@@ -351,3 +351,34 @@ def test_shingles_as_numbers_are_those_of_the_line():
     long = [x * given.randrange(1, 40) for x in made[:1000]] + ["".join(map(chr, range(97, 97 + n))) * 3 for n in range(1, 70)]
     assert lines.sizes_of(long) == [lines.shingle_sizes(x) for x in long]
     assert lines.sizes_of([]) == []
+
+
+def test_lines_are_compared_as_sorted_numbers(monkeypatch):
+    """The same links as by sets of strings, and no Python set where every shingle has a number."""
+    given = random.Random(31)
+    alphabets = ["ab ", "abcdefghij ", "éßж ", "北京市ab ", "a\U0001f600b"]
+    for _ in range(60):
+        alphabet = given.choice(alphabets)
+        base = "".join(given.choices(alphabet, k=given.choice([1, 4, 30, 48, 52, 200])))
+        made = [base]
+        for _ in range(given.choice([1, 5, 30])):
+            x = list(given.choice(made))
+            for _ in range(given.randrange(4)):
+                x[given.randrange(len(x))] = given.choice(alphabet)
+            made.append("".join(x) + given.choice(["", "", "-", alphabet]))
+        plain_sets = {(x, size): set(lines.shingles(x, size)) for x in made for size in (3, 5)}
+
+        def plain(a, b, sets=plain_sets):
+            size = 3 if min(len(a), len(b)) < 50 else 5
+            a, b = sets[a, size], sets[b, size]
+            return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+        near, every = lines.similar(pa.table({"text": made})), np.arange(len(made))
+        for i, x in enumerate(made):
+            assert near(i, every).tolist() == [plain(x, y) for y in made] == [lines.alike_lines(x, y) for y in made]
+    monkeypatch.setattr(lines, "shingle_set", None)
+    few = ["the same words in a line of more than fifty characters, " + x for x in ("here", "there")]
+    few.append("quite another line, of more than fifty characters as well, été")
+    assert lines.similar_pairs(pa.table({"text": few}), np.array([0, 1])).tolist() == [True, False]
+    assert lines.similar(pa.table({"text": few}))(0, np.arange(3)).tolist() == [True, True, False]
+    assert lines.similar(pa.table({"text": few * 9}))(0, np.arange(3)).tolist() == [True, True, False]
