@@ -40,11 +40,44 @@ def spanning_links(near: Near, n: int) -> list[tuple[int, int]]:
     return links
 
 
-def linked_runs(prepare: Callable[[pa.Table], Near], pair: Callable[[pa.Table, np.ndarray], np.ndarray] | None = None):
+def links_together(near: Callable[[np.ndarray, np.ndarray], np.ndarray], starts: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`spanning_links` gives for each of many runs, as rows: every step compares a row of
+    each run that is not done yet. near(i, j): which rows i and j are linked, pair by pair."""
+    us, vs = [], []
+    work = [([s], np.arange(s + 1, s + n)) for s, n in zip(starts, sizes) if n > 1]
+    while work:
+        counts = [len(rest) for _, rest in work]
+        i, j = np.repeat([todo.pop() for todo, _ in work], counts), np.concatenate([rest for _, rest in work])
+        hit = near(i, j)
+        us.append(i[hit])
+        vs.append(j[hit])
+        after, end = [], 0
+        for (todo, rest), n in zip(work, counts):
+            own = hit[end : end + n]
+            end += n
+            if own.any():
+                todo += rest[own].tolist()
+                rest = rest[~own]
+            if not todo and len(rest):
+                todo, rest = [int(rest[0])], rest[1:]
+            if len(rest):
+                after.append((todo, rest))
+        work = after
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def linked_runs(
+    prepare: Callable[[pa.Table], Near],
+    pair: Callable[[pa.Table, np.ndarray], np.ndarray] | None = None,
+    rows: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None,
+    few: int = 2,
+):
     """For `mapInArrow` over rows sorted by `bucket`: links (u, v) between ids of equal buckets.
 
     *prepare* gives the comparison for a run of one bucket. *pair*, if given, decides runs of two
-    rows together: for positions i it tells whether rows i and i + 1 are linked.
+    rows together: for positions i it tells whether rows i and i + 1 are linked. *rows*, if given, does
+    so for rows i and j of a table; with it runs of up to *few* rows are compared together.
     """
 
     def of_runs(table: pa.Table) -> pa.RecordBatch:
@@ -58,7 +91,12 @@ def linked_runs(prepare: Callable[[pa.Table], Near], pair: Callable[[pa.Table, n
             twos = twos[pair(table, twos)]
             us.append(ids[twos])
             vs.append(ids[twos + 1])
-        for start, size in zip(starts, sizes):
+        mid = (sizes > 2) & (sizes <= few) if rows is not None else np.zeros(len(sizes), bool)
+        if mid.any():
+            i, j = links_together(rows(table), starts[mid].tolist(), sizes[mid].tolist())
+            us.append(ids[i])
+            vs.append(ids[j])
+        for start, size in zip(starts[~mid], sizes[~mid]):
             if size > 2 or size == 2 and pair is None:
                 made = spanning_links(prepare(table.slice(start, size)), int(size))
                 if made:

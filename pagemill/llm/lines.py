@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,13 +32,23 @@ BANDS, ROWS = 18, 6
 LARGEST_BUCKET = 2_000
 #: Lines of a bucket that are compared one by one; more are compared with one in a single step.
 FEW = 12
+#: Most lines of a bucket that is compared together with others, and characters of pairs compared at once.
+TOGETHER, COMPARED = 64, 1 << 15
+#: Bits of a line's sketch, by which most unlike lines are told apart.
+CELLS = 4096
 #: Characters hashed at once (fits a core's cache).
 PART = 1 << 16
 #: Lines that a task remembers to give their bands once only.
 HELD_IDS = 1_000_000
+#: Rows (bucket, id) that travel as one packed part, rows of parts that a task holds at most before it
+#: gives out what it can, and rows that a task packs at once.
+PART_ROWS, HELD_ROWS, PACKED_ROWS = 1 << 17, 1 << 22, 1 << 20
 #: log2 of the bits of the filter of lines whose text is wanted, at most: 16 MB.
 FILTER_BITS = 27
 
+#: Where a text has none of these, nor a space at either end, the white space in its lines is even.
+ODD_SPACE = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+
 _GIVEN = np.random.default_rng(20)
 FACTORS = _GIVEN.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 OFFSETS = _GIVEN.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -49,6 +59,18 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """:func:`normal` of each line."""
+    lines, even = text.lower().split("\n"), True
+    for odd in ODD_SPACE:
+        if odd in text:
+            even = False
+            break
+    if even and text[0] != " " != text[-1]:
+        return lines
+    return [" ".join(line.split()) for line in lines]
+
+
 def line_id(line: str) -> int:
     """64-bit id of a normal line. Among a billion distinct lines two share one with probability 0.03."""
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -120,20 +142,30 @@ def sizes_of(lines: list[str]) -> list[tuple[int, ...]]:
     """:func:`shingle_sizes` of each line. Long lines are read together as far as most of them need be."""
     out, long = [(SHINGLE,)] * len(lines), []
     for i, line in enumerate(lines):
-        if len(line) < BEGUN:
-            out[i] = shingle_sizes(line)
+        if len(line) < SHORT:
+            out[i] = (SHORT_SHINGLE,)
+        elif len(line) - SHORT_SHINGLE < FEWEST:
+            out[i] = (SHINGLE, SHORT_SHINGLE)
         else:
             long.append(i)
-    for start in range(0, len(long), 4096):
-        some = long[start : start + 4096]
-        begun = "".join(lines[i][:BEGUN] for i in some).encode("utf-32-le", "surrogatepass")
-        c, n = np.frombuffer(begun, np.uint32).astype(np.int64).reshape(-1, BEGUN), BEGUN - SHORT_SHINGLE + 1
-        codes = c[:, :n].copy()
-        for i in range(1, SHORT_SHINGLE):
-            codes <<= 63 // SHORT_SHINGLE
-            codes |= c[:, i : i + n]
-        codes.sort(1)
-        for i in np.flatnonzero((codes[:, 1:] != codes[:, :-1]).sum(1) < FEWEST).tolist():
+    n = BEGUN - SHORT_SHINGLE + 1
+    for start in range(0, len(long), 512):
+        some = long[start : start + 512]
+        begun = [lines[i][:BEGUN] for i in some]
+        counts = np.fromiter(map(len, begun), np.int64, len(some)) - SHORT_SHINGLE + 1
+        c = np.frombuffer("".join([x.ljust(BEGUN) for x in begun]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, BEGUN)
+        h = np.zeros((len(some), n), np.uint32)
+        for i in range(SHORT_SHINGLE):
+            h += c[:, i : i + n]
+            h *= np.uint32(0x9E3779B1)
+        h >>= np.uint32(21)  # shingles of different places here are different ones
+        if counts.min() < n:
+            h = np.where(np.arange(n) < counts[:, None], h, h[:, :1])
+        h += np.arange(len(some), dtype=np.uint32)[:, None] << np.uint32(11)
+        seen = np.zeros(len(some) << 11, np.uint8)
+        seen[h.reshape(-1)] = 1
+        eight = seen.view(np.uint64).reshape(-1, 1 << 8).sum(1)  # eight sums side by side, of 128 at most
+        for i in np.flatnonzero(eight * np.uint64(0x0101010101010101) >> np.uint64(56) <= FEWEST).tolist():
             out[some[i]] = shingle_sizes(lines[some[i]])
     return out
 
@@ -193,9 +225,10 @@ def band_keys(made: np.ndarray, size: int = SHINGLE, rows: int = ROWS) -> np.nda
 def _lines(part: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
     """(row, position, normal line) of the lines with a word."""
     for row, text in enumerate(texts(part)):
-        for pos, line in enumerate((text or "").split("\n")):
-            if line := normal(line):
-                yield row, pos, line
+        if text:
+            for pos, line in enumerate(normal_lines(text)):
+                if line:
+                    yield row, pos, line
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,19 +287,110 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(ids[keep])], ["bucket", "id"])
 
 
-def shared_buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, id): distinct lines of the bands' buckets that hold two or more; of buckets with the
-    same lines only one."""
-    return shared_members(docs.select("text").mapInArrow(_buckets, "bucket long, id long"))
+def part_of(bucket: np.ndarray, parts: int) -> np.ndarray:
+    """A part from 0 to parts - 1 for each bucket, by its high bits."""
+    high = (bucket.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)
+    return (high >> np.uint64(32)).astype(np.int32)
+
+
+def packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, id) as (part, rows): the rows of one part side by side."""
+    held: list[np.ndarray] = []
 
+    def out() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        part = part_of(np.ascontiguousarray(rows[:, 0]), parts)
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.concatenate((first, [len(rows)])).astype(np.int32) * 16
+        made = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), made], ["part", "rows"])
 
-def shared_members(rows: DataFrame) -> DataFrame:
-    """Of *rows* (bucket, id) the distinct ones of buckets that hold two ids or more; of buckets with
-    the same ids only one."""
-    members = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_shared, "bucket long, id long"), "line-buckets")
-    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    for batch in batches:
+        rows = np.stack([batch.column(name).to_numpy() for name in ("bucket", "id")], 1)
+        for start in range(0, len(rows), PACKED_ROWS):
+            held.append(rows[start : start + PACKED_ROWS])
+            if sum(map(len, held)) >= PACKED_ROWS:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
+
+
+def in_order(rows: np.ndarray) -> np.ndarray:
+    """The rows (bucket, id) in that order."""
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def together(rows: np.ndarray) -> np.ndarray:
+    """Which rows have a bucket that another row has too."""
+    order = np.argsort(rows[:, 0])
+    same = np.diff(rows[order, 0]) == 0
+    out = np.empty(len(rows), bool)
+    out[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    return out
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
+    """Of packed rows sorted by part the distinct ones of buckets with two ids or more. Of a part of more
+    than *most* rows those that are known to be such come out before the part ends, and perhaps again
+    after that; `again` marks them."""
+    told = np.empty(0, np.int64)  # buckets of which rows came out already
+    held: list[np.ndarray] = []
+    count, limit, now = 0, most, None
+
+    def batch(rows: np.ndarray, again: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.full(len(rows), again))], ["bucket", "id", "again"])
+
+    def settle() -> tuple[np.ndarray, np.ndarray]:
+        """Rows to give out, and those that are alone so far."""
+        rows = np.concatenate(held)
+        some = together(rows) | np.isin(rows[:, 0], told) if len(told) else together(rows)
+        alone, rows = rows[~some], in_order(rows[some])
+        new = np.concatenate(([True], (np.diff(rows, axis=0) != 0).any(1)))[: len(rows)]
+        rows = rows[new]  # several times the same one may be left: alone as well
+        shared = together(rows) | np.isin(rows[:, 0], told) if len(told) else together(rows)
+        return rows[shared], np.concatenate((alone, rows[~shared]))
+
+    for packs in batches:
+        for part, bytes_of in zip(packs.column("part").to_pylist(), packs.column("rows")):
+            if part != now:
+                if held:
+                    yield batch(settle()[0], len(told) > 0)
+                told, held, count, limit, now = told[:0], [], 0, most, part
+            held.append(np.frombuffer(bytes_of.as_buffer(), np.int64).reshape(-1, 2))
+            count += len(held[-1])
+            if count > limit:
+                rows, alone = settle()
+                told = np.union1d(told, rows[:, 0])
+                yield batch(rows, True)
+                held, count = [alone], len(alone)
+                limit = max(most, 2 * count)
+    if held:
+        yield batch(settle()[0], len(told) > 0)
+
+
+def shared_buckets(docs: DataFrame, lines: int | None = None) -> DataFrame:
+    """(bucket, id): distinct lines of the bands' buckets that hold two or more; of buckets with the
+    same lines only one. *lines*: how many lines there are, if that is known."""
+    return shared_members(docs.select("text"), _buckets, None if lines is None else BANDS * lines)
+
+
+def shared_members(given: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], count: int | None = None) -> DataFrame:
+    """Of the rows (bucket, id) that *rows_of* makes of *given* the distinct ones of buckets that hold two
+    ids or more; of buckets with the same ids only one. They travel packed, in parts that are even where
+    *count*, about how many rows there are, is known."""
+    parts = max(8 * int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), (count or 0) // PART_ROWS)
+    packs = given.mapInArrow(lambda batches: packed(rows_of(batches), parts), "part int, rows binary")
+    found = packs.repartition("part").sortWithinPartitions("part").mapInArrow(unpacked, "bucket long, id long, again boolean")
+    members = stored(found, "line-buckets")
+    once = members.select("bucket", "id")
+    if not members.filter("again").isEmpty():
+        once = stored(once.distinct(), "line-buckets")
+    sets = once.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x"))
     one = sets.groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return stored(members.join(one, "bucket"), "line-members")
+    return stored(once.join(one, "bucket"), "line-members")
 
 
 def id_filter(ids: DataFrame) -> Shared:
@@ -327,10 +451,114 @@ def alike_lines(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     return alike_codes(own, other, threshold)
 
 
+def _sketches(lines: list[str]) -> np.ndarray:
+    """CELLS bits for each line: those of the cells to which its shingles are hashed."""
+    out = np.zeros((len(lines), CELLS // 64), np.uint64)
+    for start in range(0, len(lines), 256):
+        some = [x if len(x) >= SHINGLE else x.ljust(SHINGLE) for x in lines[start : start + 256]]
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        c = np.frombuffer("".join([*some, " " * (SHINGLE - 1)]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = np.zeros(len(c) - SHINGLE + 1, np.uint32)
+        for i in range(SHINGLE):
+            h += c[i : i + len(h)]
+            h *= np.uint32(0x9E3779B1)
+        h >>= np.uint32(32 - CELLS.bit_length() + 1)
+        ends = np.cumsum(sizes)
+        for back in range(1, SHINGLE):
+            h[ends - back] = h[ends - sizes]  # one that would reach into the next line
+        h += np.repeat(np.arange(len(some), dtype=np.uint32) * np.uint32(CELLS), sizes)
+        seen = np.zeros(len(some) * CELLS, np.uint8)
+        seen[h] = 1
+        out[start : start + 256] = np.packbits(seen.reshape(-1, CELLS), axis=1).view(np.uint64)
+    return out
+
+
+def _overlaps(lines: list[str], size: int, threshold: float) -> np.ndarray | None:
+    """Whether the first and the second line of each two are similar, by shingles of a size that no
+    line falls short of; nothing if the characters are too many to number a shingle by them."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    c = np.frombuffer("".join([*lines, " " * (size - 1)]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    top = int(c.max())
+    if top >= 1 << 16:
+        letters = np.unique(c)
+        c, top = np.searchsorted(letters, c), len(letters) - 1
+    elif top >= 1 << 7:
+        seen = np.zeros(top + 1, bool)
+        seen[c] = True
+        c = (np.cumsum(seen, dtype=np.int32) - 1)[c]
+        top = int(c.max())
+    one, n = max(1, top.bit_length()), len(c) - size + 1
+    if one * size > 60:
+        return None
+    wide, bits = c.astype(np.int64), one * size
+    codes = wide[: n + size - 2] << one
+    codes |= wide[1 : n + size - 1]  # two characters
+    if size >= 4:
+        four = codes[: n + size - 4] << 2 * one
+        four |= codes[2 : n + size - 2]
+        codes = four
+    codes = codes[:n] << one if size % 2 else codes[:n]
+    if size % 2:
+        codes |= wide[size - 1 :]
+    ends = np.cumsum(sizes)
+    over = (ends[:, None] - np.arange(1, size)).ravel()
+    if bits + len(lines).bit_length() > 60:
+        codes = np.unique(codes, return_inverse=True)[1]
+        bits = int(codes.max()).bit_length()
+    codes[over] = 1 << bits  # what reaches into the next line: one shingle more, of each line
+    codes <<= 1
+    codes += np.repeat((np.arange(len(lines)) >> 1 << bits + 2) | (np.arange(len(lines)) & 1), sizes)
+    codes.sort()  # by pair, shingle, line
+    step = np.diff(codes)
+    pairs = ends[1::2]
+    until = np.searchsorted(np.flatnonzero(step), pairs - 1)  # borders between different ones before the pair's end
+    total = np.diff(until, prepend=-1) - 2
+    both = np.diff(np.searchsorted(np.flatnonzero((step == 1) & (codes[1:] & 1 == 1)), pairs - 1), prepend=0) - 1
+    return both >= threshold * (total - both) - 1e-9
+
+
+def pairwise(lines: list[str], threshold: float = SIMILARITY) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """:func:`alike_lines` of lines i and j for many pairs, so many at once as have COMPARED characters.
+
+    Shingles in cells that only one line's sketch has are not in both; where so many differ that the
+    lines can't be similar, they are not compared."""
+    length, sketches = np.fromiter(map(len, lines), np.int64, len(lines)), _sketches(lines)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        shorter, chars = np.minimum(length[i], length[j]), length[i] + length[j]
+        apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64)
+        most = chars - 2 * (SHINGLE - 1)  # shingles of both
+        maybe = most - apart >= threshold * (most + apart) - 1e-6
+        short, tiny, out = shorter < SHORT, shorter < SHORT_SHINGLE, np.zeros(len(i), bool)
+        for size, here in ((SHORT_SHINGLE, short & ~tiny), (SHINGLE, ~short & maybe)):
+            at = np.flatnonzero(here)
+            ends = np.cumsum(chars[at])
+            start = 0
+            while start < len(at):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COMPARED, "right")))
+                some = at[start:stop]
+                found = _overlaps([lines[k] for two in zip(i[some].tolist(), j[some].tolist()) for k in two], size, threshold)
+                if found is None:
+                    tiny[some] = True
+                else:
+                    out[some] = found
+                start = stop
+        for k in np.flatnonzero(tiny).tolist():
+            out[k] = alike_lines(lines[i[k]], lines[j[k]], threshold)
+        return out
+
+    return near
+
+
 def similar_pairs(table: pa.Table, at: np.ndarray) -> np.ndarray:
     """For buckets of two lines, at rows i and i + 1."""
-    lines = table["text"].to_pylist()
-    return np.fromiter((alike_lines(lines[i], lines[i + 1]) for i in at.tolist()), bool, len(at))
+    lines, two = table["text"].to_pylist(), np.arange(0, 2 * len(at), 2)
+    return pairwise([lines[i] for k in at.tolist() for i in (k, k + 1)])(two, two + 1)
+
+
+def similar_rows(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For buckets compared together: which rows i and j of *table* are similar."""
+    return pairwise(table["text"].to_pylist())
 
 
 def _counted(lines: list[str], asked: list[tuple[int, ...]], size: int, threshold: float):
@@ -401,10 +629,10 @@ def duplicate_lines(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Da
     belong to no group. Rows that agree in doc_id and text count as one.
     """
     found = stored(occurrences(docs), "lines")
-    members = shared_buckets(docs)
+    members = shared_buckets(docs, found.count())
     ids = members.select("id").distinct()
     rows = members.join(wanted_lines(docs, ids), "id").select("bucket", "id", "text")
-    links = bucket_links(stored(rows, "line-texts"), linked_runs(similar, similar_pairs), largest_bucket)
+    links = bucket_links(stored(rows, "line-texts"), linked_runs(similar, similar_pairs, similar_rows, TOGETHER), largest_bucket)
     roots = stored(components(links), "line-roots")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
     each = found.groupBy("line_id").agg(F.min(place).alias("first"), F.max(place).alias("last"))

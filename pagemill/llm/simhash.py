@@ -189,7 +189,7 @@ def similar_texts(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> Data
     differ in about ten bits, twice as many at times, and cells for that many would tell little apart.
     """
     rows = docs.select(F.xxhash64("text").alias("id"), "text").filter("text IS NOT NULL")
-    members = shared_members(rows.mapInArrow(_set_buckets, "bucket long, id long"))
+    members = shared_members(rows, _set_buckets)
     wanted = rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sets = wanted.mapInArrow(_shingle_sets, "id long, shingles array<long>")
     held = stored(members.join(sets, "id").select("bucket", "id", "shingles"), "text-shingles")

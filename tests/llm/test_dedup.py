@@ -382,3 +382,55 @@ def test_lines_are_compared_as_sorted_numbers(monkeypatch):
     assert lines.similar_pairs(pa.table({"text": few}), np.array([0, 1])).tolist() == [True, False]
     assert lines.similar(pa.table({"text": few}))(0, np.arange(3)).tolist() == [True, True, False]
     assert lines.similar(pa.table({"text": few * 9}))(0, np.arange(3)).tolist() == [True, True, False]
+
+
+def test_buckets_of_lines_are_compared_together(monkeypatch):
+    """The links of the comparison one by one, which is not called; shingles that no number holds are left to it."""
+    given = random.Random(41)
+    alphabets = ["ab ", "abcdefghij ", "éßж ", "北京市ab ", "a\U0001f600b", "".join(map(chr, range(0x4E00, 0x6E00)))]
+    rows = []
+    for bucket in range(60):
+        alphabet = given.choice(alphabets[:5] if bucket % 20 else alphabets[5:])
+        base = "".join(given.choices(alphabet, k=given.choice([1, 2, 4, 30, 48, 52, 200, 9000 if alphabet == alphabets[5] else 400])))
+        made = {base}
+        for _ in range(given.choice([1, 2, 5, 30])):
+            x = list(given.choice(sorted(made)))
+            for _ in range(given.randrange(4)):
+                x[given.randrange(len(x))] = given.choice(alphabet)
+            made.add("".join(x) + given.choice(["", "-", alphabet[:9]]))
+        rows += [(bucket, len(rows) + k, x) for k, x in enumerate(sorted(made))]
+    table = pa.table({"bucket": [r[0] for r in rows], "id": [r[1] for r in rows], "text": [r[2] for r in rows]})
+    links = lambda *a: {(u, v) for b in components.linked_runs(*a)(iter(table.to_batches(max_chunksize=100))) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())}
+    assert links(lines.similar, lines.similar_pairs, lines.similar_rows, lines.TOGETHER) == links(lines.similar)
+    monkeypatch.setattr(lines, "alike_codes", None)
+    few = ["the same words in a line of more than fifty characters, " + x for x in ("here", "there")]
+    few.append("quite another line, of more than fifty characters as well, été")
+    assert lines.similar_pairs(pa.table({"text": few}), np.array([0, 1])).tolist() == [True, False]
+    assert lines.similar_rows(pa.table({"text": few}))(np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [True, False, False]
+
+
+def test_bucket_rows_travel_packed():
+    """Parts of any size, and parts that a task can't hold, give the distinct rows of shared buckets."""
+    given = random.Random(43)
+    for most in (1, 2, 7, 10**6):
+        for _ in range(40):
+            rows = [(given.choice([-(1 << 63), -5, 0, 7, 1 << 62, (1 << 63) - 1]) + given.randrange(3) * given.choice([0, 1 << 20]) % 2, given.randrange(-4, 4)) for _ in range(given.randrange(1, 40))]
+            table = pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "id": pa.array([i for _, i in rows], pa.int64())})
+            packs = [x for b in lines.packed(iter(table.to_batches(max_chunksize=9)), 5) for x in b.to_pylist()]
+            packs += [x for b in lines.packed(iter(table.to_batches(max_chunksize=4)), 5) for x in b.to_pylist()]
+            assert all(0 <= x["part"] < 5 for x in packs)
+            packs = pa.Table.from_pylist(sorted(packs, key=lambda x: x["part"]), pa.schema([("part", pa.int32()), ("rows", pa.binary())]))
+            found = [x for b in lines.unpacked(iter(packs.to_batches(max_chunksize=3)), most) for x in b.to_pylist()]
+            of = defaultdict(set)
+            for b, i in rows:
+                of[b].add(i)
+            want = sorted((b, i) for b, ids in of.items() if len(ids) > 1 for i in ids)
+            assert sorted({(x["bucket"], x["id"]) for x in found}) == want
+            assert len(found) == len(want) or any(x["again"] for x in found)
+
+
+def test_normal_lines_are_those_taken_one_by_one():
+    given = random.Random(44)
+    for _ in range(5000):
+        text = "".join(given.choices(["a", "B", " ", "\n", "\t", "\x85", "　", "Σ", "İ", " ", "\x1c", "."], [5, 3, 2, 1, 0.1, 0.1, 0.1, 1, 0.3, 0.1, 0.1, 0.3], k=given.randrange(1, 14)))
+        assert lines.normal_lines(text) == [lines.normal(x) for x in text.split("\n")]
