@@ -517,20 +517,27 @@ def _overlaps(lines: list[str], size: int, threshold: float) -> np.ndarray | Non
     return both >= threshold * (total - both) - 1e-9
 
 
-def pairwise(lines: list[str], threshold: float = SIMILARITY) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """:func:`alike_lines` of lines i and j for many pairs, so many at once as have COMPARED characters.
-
-    Shingles in cells that only one line's sketch has are not in both; where so many differ that the
-    lines can't be similar, they are not compared."""
+def sketched(lines: list[str], threshold: float = SIMILARITY) -> Callable[..., np.ndarray]:
+    """Of lines i and j of SHORT characters or more, whether they can't be similar: shingles in cells that
+    only one line's sketch has are not in both, and too many are."""
     length, sketches = np.fromiter(map(len, lines), np.int64, len(lines)), _sketches(lines)
 
+    def apart(i, j: np.ndarray) -> np.ndarray:
+        least = np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64)
+        most = length[i] + length[j] - 2 * (SHINGLE - 1)  # shingles of both
+        return most - least < threshold * (most + least) - 1e-6
+
+    return apart
+
+
+def pairwise(lines: list[str], threshold: float = SIMILARITY) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """:func:`alike_lines` of lines i and j for many pairs, so many at once as have COMPARED characters."""
+    length, apart = np.fromiter(map(len, lines), np.int64, len(lines)), sketched(lines, threshold)
+
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         shorter, chars = np.minimum(length[i], length[j]), length[i] + length[j]
-        apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64)
-        most = chars - 2 * (SHINGLE - 1)  # shingles of both
-        maybe = most - apart >= threshold * (most + apart) - 1e-6
         short, tiny, out = shorter < SHORT, shorter < SHORT_SHINGLE, np.zeros(len(i), bool)
-        for size, here in ((SHORT_SHINGLE, short & ~tiny), (SHINGLE, ~short & maybe)):
+        for size, here in ((SHORT_SHINGLE, short & ~tiny), (SHINGLE, ~(short | apart(i, j)))):
             at = np.flatnonzero(here)
             ends = np.cumsum(chars[at])
             start = 0
@@ -562,8 +569,8 @@ def similar_rows(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarr
 
 
 def _counted(lines: list[str], asked: list[tuple[int, ...]], size: int, threshold: float):
-    """For a line, which of all *lines* have a similar set of shingles of *size*; of the lines that
-    aren't compared by that size none."""
+    """For a line and the numbers of others, which of them have a similar set of shingles of *size*; of
+    the lines that aren't compared by that size none."""
     none = np.empty(0, np.int64)
     sets = [shingle_codes(x, size) if size in sizes else none for x, sizes in zip(lines, asked)]
     if any(x is None for x in sets):
@@ -575,12 +582,17 @@ def _counted(lines: list[str], asked: list[tuple[int, ...]], size: int, threshol
     codes, unique = pd.factorize(flat) if len(flat) else (none, [])
     ends, upto = np.cumsum(sizes), np.zeros(len(codes) + 1, np.int64)
 
-    def near(i: int) -> np.ndarray:
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
         mark = np.zeros(len(unique), np.int8)
         mark[codes[ends[i] - sizes[i] : ends[i]]] = 1
-        np.cumsum(mark[codes], out=upto[1:])
-        both = upto[ends] - upto[ends - sizes]
-        return (both > 0) & (both >= threshold * (sizes[i] + sizes - both) - 1e-9)
+        if 2 * len(rest) < len(sizes):  # only their shingles
+            of = np.concatenate([codes[ends[j] - sizes[j] : ends[j]] for j in rest.tolist()])
+            found, until = np.concatenate(([0], np.cumsum(mark[of], dtype=np.int64))), np.cumsum(sizes[rest])
+            both = found[until] - found[until - sizes[rest]]
+        else:
+            np.cumsum(mark[codes], out=upto[1:])
+            both = (upto[ends] - upto[ends - sizes])[rest]
+        return (both > 0) & (both >= threshold * (sizes[i] + sizes[rest] - both) - 1e-9)
 
     return near
 
@@ -609,11 +621,15 @@ def similar(table: pa.Table, threshold: float = SIMILARITY):
     long, short = (_counted(lines, asked, size, threshold) for size in (SHINGLE, SHORT_SHINGLE))
     below = np.fromiter((len(x) < SHORT for x in lines), bool, len(lines))
 
+    apart = sketched(lines, threshold)
+
     def near(i: int, rest: np.ndarray) -> np.ndarray:
-        by_short = below[rest] | below[i]
-        if not by_short.any():
-            return long(i)[rest]
-        return np.where(by_short, short(i)[rest], False if by_short.all() else long(i)[rest])
+        by_short, out = below[rest] | below[i], np.zeros(len(rest), bool)
+        for counted, here in ((short, by_short), (long, ~(by_short | apart(i, rest)))):
+            at = np.flatnonzero(here)
+            if len(at):
+                out[at] = counted(i, rest[at])
+        return out
 
     return near
 

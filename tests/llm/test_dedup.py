@@ -434,3 +434,18 @@ def test_normal_lines_are_those_taken_one_by_one():
     for _ in range(5000):
         text = "".join(given.choices(["a", "B", " ", "\n", "\t", "\x85", "　", "Σ", "İ", " ", "\x1c", "."], [5, 3, 2, 1, 0.1, 0.1, 0.1, 1, 0.3, 0.1, 0.1, 0.3], k=given.randrange(1, 14)))
         assert lines.normal_lines(text) == [lines.normal(x) for x in text.split("\n")]
+
+
+def test_large_buckets_compare_only_what_is_left(monkeypatch):
+    """A line that is like no other does not have all of the bucket counted against each of them."""
+    words = [f"word{k}" for k in range(60)]
+    made = [" ".join([*words[:k], "edited", *words[k + 1 :]]) for k in range(60)] * 2 + ["the one that is quite unlike " * 9]
+    counts, plain = [], lines._counted
+
+    def counting(*given):
+        near = plain(*given)
+        return lambda i, rest: counts.append(len(rest)) or near(i, rest)
+
+    monkeypatch.setattr(lines, "_counted", counting)
+    links = components.spanning_links(lines.similar(pa.table({"text": made})), len(made))
+    assert len(links) == 119 and sum(counts) < 2 * len(made)
