@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ HELD_IDS = 1_000_000
 PART_ROWS, HELD_ROWS, PACKED_ROWS = 1 << 17, 1 << 22, 1 << 20
 #: log2 of the bits of the filter of lines whose text is wanted, at most: 16 MB.
 FILTER_BITS = 27
+#: Words of the filter that reach the driver as one row: 256 KB before packing.
+PIECE = 1 << 16
 
 #: Where a text has none of these, nor a space at either end, the white space in its lines is even.
 ODD_SPACE = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
@@ -393,15 +396,41 @@ def shared_members(given: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]
     return stored(once.join(one, "bucket"), "line-members")
 
 
+def _filter_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a filter (piece, place in it, bits), those of one piece side by side, as whole pieces."""
+    piece, made = None, np.zeros(PIECE, np.uint32)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(made.tobytes(), 1)], pa.binary())], ["piece", "words"])
+
+    for batch in batches:
+        pieces, place, bits = (batch.column(name).to_numpy() for name in ("piece", "place", "bits"))
+        edges = np.flatnonzero(np.diff(pieces)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(pieces)]):
+            if start == end:
+                continue
+            if piece is not None and piece != pieces[start]:
+                yield out()
+                made[:] = 0
+            piece = int(pieces[start])
+            made[place[start:end]] = bits[start:end].astype(np.uint32)
+    if piece is not None:
+        yield out()
+
+
 def id_filter(ids: DataFrame) -> Shared:
-    """A bit for each id's last bits, broadcast: at most 16 MB however many ids there are."""
+    """A bit for each id's last bits, broadcast: at most 16 MB however many ids there are. The driver gets
+    it piece by piece, each a row of packed words: words as rows of their own would be gigabytes there."""
     spark, count = ids.sparkSession, ids.count()
     bits = min(FILTER_BITS, max(10, (16 * count).bit_length()))
     place = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
     words = ids.groupBy(F.shiftright(place, 5).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((id & {(1 << bits) - 1}) & 31 AS INT))")).alias("bits"))
+    placed = words.select(F.floor(F.col("word") / PIECE).cast("int").alias("piece"), F.pmod("word", F.lit(PIECE)).alias("place"), "bits")
+    pieces = placed.repartition("piece").sortWithinPartitions("piece").mapInArrow(_filter_pieces, "piece int, words binary")
     made = np.zeros(1 << bits - 5, np.uint32)
-    held = words.toPandas()
-    made[held.word] = held.bits.to_numpy().astype(np.uint32)
+    for row in pieces.toLocalIterator():
+        at, held = row.piece * PIECE, np.frombuffer(zlib.decompress(row.words), np.uint32)
+        made[at : at + PIECE] = held[: len(made) - at]
     return Shared(spark, made)
 
 
